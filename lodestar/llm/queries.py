@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .language import identify
 from .packing import pack
+from .quality import judge
 from .sharding import shard
 from .simhash import near_duplicates
-from .storage import table
+from .storage import crc_remainder, table
 from .token_counts import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +29,17 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly", "threshold")
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    training = docs.filter(crc_remainder("doc_id") != 0)
+    return identify(docs, training).select("doc_id", (crc_remainder("doc_id") == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
@@ -35,7 +49,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_packing": op2_packing, "op4_simhash": op4_simhash, "op9_sharding": op9_sharding, "op10_token_counts": op10_token_counts}
+    return {"op2_packing": op2_packing, "op4_simhash": op4_simhash, "op5_quality": op5_quality, "op6_language": op6_language, "op9_sharding": op9_sharding, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
