@@ -15,12 +15,20 @@ from .sharding import shard
 from .simhash import near_duplicates
 from .storage import crc_remainder, table
 from .token_counts import count_tokens
+from .toxicity import fit_toxicity, score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    train = crc_remainder("doc_id") != 0
+    model = fit_toxicity(docs.filter(train), table(spark, sf_dir, "labels").filter(train))
+    return score_toxicity(docs, model).select("doc_id", (crc_remainder("doc_id") == 0).alias("held_out"), "score", "predicted")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -49,7 +57,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_packing": op2_packing, "op4_simhash": op4_simhash, "op5_quality": op5_quality, "op6_language": op6_language, "op9_sharding": op9_sharding, "op10_token_counts": op10_token_counts}
+    return {"op1_toxicity": op1_toxicity, "op2_packing": op2_packing, "op4_simhash": op4_simhash, "op5_quality": op5_quality, "op6_language": op6_language, "op9_sharding": op9_sharding, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
