@@ -3,8 +3,8 @@
 Confirmed toxic texts are the positives; every other text of the training side counts as unlabelled, whatever its
 label. The risk is that of Kiryo et al. (2017): with prior p, p R+(1) + max(0, R_u(0) - p R+(0)); where the
 corrected negative risk falls below zero, a step is taken that raises it again, so the model does not learn the
-unlabelled texts by heart. Features say whether a text has a hashed word, or a hashed run of letters at the start of
-a word. The few with the largest evidence are kept, so a text's score is a sum over its distinct words.
+unlabelled texts by heart. Features say whether a text has a hashed word, or words with a hashed beginning, once,
+twice or more, or four times or more. The few with the largest evidence are kept.
 
 Training reads a bounded sample (``positive_rows`` and ``unlabelled_rows``); the class prior comes from all labels
 of the training side. Scoring is one narrow pass over whole texts with a weight table of fixed size.
@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 from .ngrams import bare_words
 from .textbatch import Words, mix64, slices, texts_of, word_bytes
 
-#: Lengths (in bytes, with the mark of a word's start) of the runs of letters that are features, beside whole words.
-PREFIXES = (5, 6, 7)
+#: Lengths in bytes of the beginnings of words that are features, beside whole words.
+PREFIXES = (4, 5, 6, 7, 8, 9)
+#: A feature counts once for each of these numbers of occurrences that a text reaches.
+LEVELS = (1, 2, 4)
 
 
 def word_features(words: pa.Array, buckets: int) -> np.ndarray:
@@ -50,22 +52,37 @@ def word_features(words: pa.Array, buckets: int) -> np.ndarray:
 
 
 def document_features(texts: pa.Array, buckets: int, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, feature) pairs of a batch; ``keep``: only buckets marked there."""
+    """Distinct (text, feature) pairs of a batch, ordered; feature = bucket * levels + level.
+
+    ``keep`` marks the features that are wanted; words without any are passed over.
+    """
     words = Words(texts)
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
     if not len(words.ids):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return none
     features = word_features(bare_words(words.vocab), buckets)
     if keep is not None:
-        features[(features >= 0) & ~keep[np.maximum(features, 0)]] = -1
-    useful = (features >= 0).any(1)
-    at = np.flatnonzero(useful[words.ids])
-    pair = np.unique(words.doc_of()[at] * len(words.vocab) + words.ids[at])
+        wanted = keep.reshape(buckets, len(LEVELS)).any(1)
+        features[(features >= 0) & ~wanted[np.maximum(features, 0)]] = -1
+    at = np.flatnonzero((features >= 0).any(1)[words.ids])
+    pair, times = np.unique(words.doc_of()[at] * len(words.vocab) + words.ids[at], return_counts=True)
     doc, word = pair // len(words.vocab), pair % len(words.vocab)
-    cells = [doc[ok] * buckets + features[word[ok], k] for k in range(features.shape[1]) if (ok := features[word, k] >= 0).any()]
-    if not cells:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    cells = np.unique(np.concatenate(cells))
-    return cells // buckets, cells % buckets
+    cells, counts = [], []
+    for k in range(features.shape[1]):
+        ok = features[word, k] >= 0
+        cells.append(doc[ok] * buckets + features[word[ok], k])
+        counts.append(times[ok])
+    cell, where = np.unique(np.concatenate(cells), return_inverse=True)
+    if not len(cell):
+        return none
+    count = np.bincount(where, np.concatenate(counts))
+    doc, base = cell // buckets, (cell % buckets) * len(LEVELS)
+    out = [(doc[count >= n], base[count >= n] + i) for i, n in enumerate(LEVELS)]
+    doc, feature = np.concatenate([d for d, _ in out]), np.concatenate([f for _, f in out])
+    if keep is not None:
+        doc, feature = doc[keep[feature]], feature[keep[feature]]
+    order = np.lexsort([feature, doc])
+    return doc[order], feature[order]
 
 
 class NonNegativePU:
@@ -138,7 +155,7 @@ def evidence(positive: np.ndarray, unlabelled: np.ndarray, n_positive: int, n_un
 
 
 class ToxicityModel:
-    """A weight for each kept bucket, an offset, and the bound that turns margins into probabilities."""
+    """A weight for each feature (zero: not kept) and an offset."""
 
     def __init__(self, buckets: int, weights: np.ndarray, offset: float):
         self.buckets, self.weights, self.offset = buckets, weights, offset
@@ -154,11 +171,12 @@ def _sampled(ids: DataFrame, n: int, bound: int, id_col: str) -> DataFrame:
     return ids.filter(F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1_000_000)) < int(min(1.0, bound / max(n, 1)) * 1_000_000))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, positive_rows: int = 6000, unlabelled_rows: int = 12_000, features: int = 3000, buckets: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, positive_rows: int = 6000, unlabelled_rows: int = 12_000, features: int = 3000, buckets: int = 1 << 17, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Train on a bounded sample of the rows of ``docs``; ``labels`` must hold rows of the training side only."""
     marks = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("toxic"))
     sizes = marks.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("k")).head()
-    nothing = ToxicityModel(buckets, np.zeros(buckets), -30.0)
+    width = buckets * len(LEVELS)
+    nothing = ToxicityModel(buckets, np.zeros(width), -30.0)
     if not sizes.k:
         return nothing
     toxic = marks.filter("toxic = 1")
@@ -183,11 +201,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, positive_rows: int = 6000,
         sides[int(marks_[i])].append(np.frombuffer(cells[i], np.int32))
     if not sides[1] or not sides[0]:
         return nothing
-    counts = {k: np.bincount(np.concatenate(v), minlength=buckets) for k, v in sides.items()}
+    counts = {k: np.bincount(np.concatenate(v), minlength=width) for k, v in sides.items()}
     rank = evidence(counts[1], counts[0], len(sides[1]), len(sides[0]))
     kept = np.argsort(-rank, kind="stable")[:features]
     kept = kept[rank[kept] > 3]
-    place = np.full(buckets, -1)
+    place = np.full(width, -1)
     place[kept] = np.arange(len(kept))
 
     def matrix(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
@@ -197,7 +215,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, positive_rows: int = 6000,
 
     # Balanced as toxic texts are among labelled ones: the prior of the unlabelled side.
     model = NonNegativePU(min(0.5, max(1e-3, sizes.k / sizes.n)), len(kept)).fit(matrix(sides[1]), matrix(sides[0]))
-    weights = np.zeros(buckets)
+    weights = np.zeros(width)
     weights[kept] = model.w[:-1]
     return ToxicityModel(buckets, weights, float(model.w[-1]))
 
