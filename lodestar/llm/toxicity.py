@@ -88,7 +88,7 @@ def document_features(texts: pa.Array, buckets: int, keep: np.ndarray | None = N
 class NonNegativePU:
     """A linear model on binary features with the non-negative risk estimator (sigmoid loss)."""
 
-    def __init__(self, prior: float, features: int, rate: float = 0.05, decay: float = 1e-4, seed: int = 5):
+    def __init__(self, prior: float, features: int, rate: float = 0.02, decay: float = 1e-3, seed: int = 5):
         self.prior, self.rate, self.decay = prior, rate, decay
         self.w = np.zeros(features + 1)
         self.moments = np.zeros(features + 1), np.zeros(features + 1)
@@ -204,7 +204,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, positive_rows: int = 6000,
     counts = {k: np.bincount(np.concatenate(v), minlength=width) for k, v in sides.items()}
     rank = evidence(counts[1], counts[0], len(sides[1]), len(sides[0]))
     kept = np.argsort(-rank, kind="stable")[:features]
-    kept = kept[rank[kept] > 3]
+    kept = kept[rank[kept] > 4.5]
     place = np.full(width, -1)
     place[kept] = np.arange(len(kept))
 
