@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .html_text import extract_text
 from .language import identify
 from .packing import pack
 from .quality import judge
@@ -33,6 +34,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -57,7 +62,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_toxicity": op1_toxicity, "op2_packing": op2_packing, "op4_simhash": op4_simhash, "op5_quality": op5_quality, "op6_language": op6_language, "op9_sharding": op9_sharding, "op10_token_counts": op10_token_counts}
+    return {"op1_toxicity": op1_toxicity, "op2_packing": op2_packing, "op3_html_text": op3_html_text, "op4_simhash": op4_simhash, "op5_quality": op5_quality, "op6_language": op6_language, "op9_sharding": op9_sharding, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
