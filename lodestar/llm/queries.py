@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontam import contaminated
 from .html_text import extract_text
 from .language import identify
 from .packing import pack
@@ -53,6 +54,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, training).select("doc_id", (crc_remainder("doc_id") == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
@@ -62,7 +67,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_toxicity": op1_toxicity, "op2_packing": op2_packing, "op3_html_text": op3_html_text, "op4_simhash": op4_simhash, "op5_quality": op5_quality, "op6_language": op6_language, "op9_sharding": op9_sharding, "op10_token_counts": op10_token_counts}
+    return {"op1_toxicity": op1_toxicity, "op2_packing": op2_packing, "op3_html_text": op3_html_text, "op4_simhash": op4_simhash, "op5_quality": op5_quality, "op6_language": op6_language, "op7_decontamination": op7_decontamination, "op9_sharding": op9_sharding, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
