@@ -12,6 +12,7 @@ from .decontam import contaminated
 from .html_text import extract_text
 from .language import identify
 from .packing import pack
+from .pitman_yor import score_texts
 from .quality import judge
 from .sharding import shard
 from .simhash import near_duplicates
@@ -58,6 +59,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_remainder("doc_id") == 1
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"))
+    return score_texts(docs, docs.filter(~F.col("held_out")), carried=("held_out",))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
@@ -67,7 +74,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_toxicity": op1_toxicity, "op2_packing": op2_packing, "op3_html_text": op3_html_text, "op4_simhash": op4_simhash, "op5_quality": op5_quality, "op6_language": op6_language, "op7_decontamination": op7_decontamination, "op9_sharding": op9_sharding, "op10_token_counts": op10_token_counts}
+    return {"op1_toxicity": op1_toxicity, "op2_packing": op2_packing, "op3_html_text": op3_html_text, "op4_simhash": op4_simhash, "op5_quality": op5_quality, "op6_language": op6_language, "op7_decontamination": op7_decontamination, "op8_language_model": op8_language_model, "op9_sharding": op9_sharding, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
