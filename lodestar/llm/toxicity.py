@@ -186,32 +186,45 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, positive_rows: int = 6000,
     chosen = F.broadcast(others.join(F.broadcast(chosen.select(id_col)), id_col, "left_anti").unionByName(chosen))
     rows = docs.select(F.col(id_col), F.col(text_col)).join(chosen, id_col).select("toxic", text_col)
 
-    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros((2, width), np.int64), np.zeros(2, np.int64)
         for part in slices(batches, text_col):
+            side = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             doc, feature = document_features(texts_of(part, text_col), buckets)
-            start = np.searchsorted(doc, np.arange(part.num_rows + 1))
-            cells = [feature[a:b].astype(np.int32).tobytes() for a, b in zip(start, start[1:])]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cells, pa.binary())], names=["toxic", "cells"])
-
-    table = rows.mapInArrow(featured, "toxic int, cells binary").toArrow()
-    order = np.lexsort([np.asarray(table["cells"].to_numpy(), object).astype(bytes), table["toxic"].to_numpy()])
-    cells, marks_ = table["cells"].to_pylist(), table["toxic"].to_numpy()
-    sides: dict[int, list[np.ndarray]] = {1: [], 0: []}
-    for i in order.tolist():
-        sides[int(marks_[i])].append(np.frombuffer(cells[i], np.int32))
-    if not sides[1] or not sides[0]:
+            total += np.bincount(side[doc] * width + feature, minlength=2 * width).reshape(2, width)
+            seen += np.bincount(side, minlength=2)
+        flat = np.concatenate([total.ravel(), seen])
+        some = np.flatnonzero(flat)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(flat[some])], names=["at", "n"])
+
+    # As many numbers as there are features, whatever the number of rows.
+    got = rows.mapInArrow(counted, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    flat = np.zeros(2 * width + 2, np.int64)
+    flat[got["at"].to_numpy()] = got["n"].to_numpy()
+    n_side = flat[2 * width :]
+    if not n_side.all():
         return nothing
-    counts = {k: np.bincount(np.concatenate(v), minlength=width) for k, v in sides.items()}
-    rank = evidence(counts[1], counts[0], len(sides[1]), len(sides[0]))
+    rank = evidence(flat[width : 2 * width], flat[:width], int(n_side[1]), int(n_side[0]))
     kept = np.argsort(-rank, kind="stable")[:features]
     kept = kept[rank[kept] > 4.5]
     place = np.full(width, -1)
     place[kept] = np.arange(len(kept))
 
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text_col):
+            doc, feature = document_features(texts_of(part, text_col), buckets, place >= 0)
+            start = np.searchsorted(doc, np.arange(part.num_rows + 1))
+            cells = [np.sort(place[feature[a:b]]).astype(np.int16).tobytes() for a, b in zip(start, start[1:])]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cells, pa.binary())], names=["toxic", "cells"])
+
+    # At most positive_rows + unlabelled_rows rows of kept features.
+    got = rows.mapInArrow(featured, "toxic int, cells binary").toArrow()
+    sides: dict[int, list[np.ndarray]] = {1: [], 0: []}
+    for side, cells in sorted(zip(got["toxic"].to_pylist(), got["cells"].to_pylist())):
+        sides[side].append(np.frombuffer(cells, np.int16))
+
     def matrix(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
-        doc = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        feature = place[np.concatenate(lists)]
-        return doc[feature >= 0], feature[feature >= 0], len(lists)
+        return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists).astype(np.int64), len(lists)
 
     # Balanced as toxic texts are among labelled ones: the prior of the unlabelled side.
     model = NonNegativePU(min(0.5, max(1e-3, sizes.k / sizes.n)), len(kept)).fit(matrix(sides[1]), matrix(sides[0]))
