@@ -192,3 +192,19 @@ def identify(docs: DataFrame, training: DataFrame, fit_rows: int = 6000, buckets
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang.tolist(), pa.string()), pa.array(score, pa.float64())], names=[id_col, "lang_pred", "score"])
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(predict, f"`{id_col}` {id_type}, lang_pred string, score double")
+
+
+def known_language(docs: DataFrame, training: DataFrame, fit_rows: int = 6000, buckets: int = 2048, least_score: float = 0.2, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is told with at least ``least_score``; a narrow step."""
+    tree = fit_language_tree(training, fit_rows, buckets, lang_col, text_col, id_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text_col, 4 << 20):
+            sure = np.zeros(part.num_rows, bool)
+            if tree is not None:
+                x, has = gram_shares(texts_of(part, text_col), buckets)
+                if has.any():
+                    sure[has] = tree.decide(x[has])[1] >= least_score
+            yield part.filter(pa.array(sure))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -1,9 +1,10 @@
 """Quality rules (operator 5): an isolation forest on rule statistics, with a threshold from labelled rows.
 
 Rule statistics are computed for every whole text in one narrow pass. An isolation forest is grown on a bounded
-sample of labelled rows that pass the base rules (``fit_rows``); random splits isolate unusual documents after few cuts, so a short mean
-path marks an anomaly. The threshold comes from all such labelled rows: their scores are counted by label in a
-histogram, and it is the score that parts good from bad best among those that keep at least ``keep_good`` of the good rows.
+sample (``fit_rows``) of labelled rows that pass the base rules; random splits isolate unusual documents after few
+cuts, so a short mean path marks an anomaly. The threshold comes from all such labelled rows: their scores are counted by label in a
+histogram, and it is the score that parts good from bad best among those that keep at least ``keep_good`` of the
+good rows.
 
 Defined cases: a null, empty or white-space text has no words (all statistics 0, base_failed, not kept); repeated
 rows get equal results; without usable labels the forest is not grown and only the base rules decide; an empty
@@ -178,8 +179,25 @@ class IsolationForest:
         return 2.0 ** -(total / len(self.trees) / max(float(_harmonic_path(self.sample)), 1e-9))
 
 
-def judge(
-    docs: DataFrame,
+class RuleModel:
+    """The base rules, the forest (None: too few labelled rows) and its threshold."""
+
+    def __init__(self, forest: IsolationForest | None, threshold: float, min_words: int, repeat_percent: int):
+        self.forest, self.threshold, self.min_words, self.repeat_percent = forest, threshold, min_words, repeat_percent
+
+    def base_failed(self):
+        return (F.col("n_words") < self.min_words) | (100 * F.col("n_repeat_words") > self.repeat_percent * F.col("n_words"))
+
+    def keeps(self, stats: dict[str, np.ndarray]) -> np.ndarray:
+        """The verdict on statistics as numpy columns."""
+        passed = (stats["n_words"] >= self.min_words) & (100 * stats["n_repeat_words"] <= self.repeat_percent * stats["n_words"])
+        if self.forest is None or not len(passed):
+            return passed
+        return passed & (self.forest.score(np.column_stack([stats[c] for c in FEATURES])) < self.threshold)
+
+
+def fit_rules(
+    stats: DataFrame,
     labels: DataFrame,
     fit_rows: int = 20_000,
     keep_good: float = 0.995,
@@ -189,32 +207,51 @@ def judge(
     trees: int = 100,
     sample: int = 256,
     id_col: str = "doc_id",
-    text_col: str = "text",
     quality_col: str = "quality",
-) -> DataFrame:
+) -> RuleModel:
+    """Grow the forest on a bounded sample of labelled rows and set the threshold by all of them."""
+    model = RuleModel(None, 1.0, min_words, repeat_percent)
+    # One label for each id, so that repeated label rows do not multiply documents; bad wins.
+    marks = labels.filter(F.col(quality_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(quality_col).cast("int").alias("good"))
+    labelled = written(stats.filter(~model.base_failed()).join(marks, id_col).select("good", *FEATURES), "labelled-statistics")
+    rows = labelled_rows(labelled, fit_rows)[:, 1:]
+    if len(rows) < 2:
+        return model
+    model.forest = IsolationForest(rows, trees, sample)
+    bin_of = F.floor(F.col("anomaly") * bins).cast("int").alias("bin")
+    counts = _scored(labelled, model.forest, "good int").groupBy("good", bin_of).agg(F.count("*").alias("n")).collect()
+    model.threshold = choose_threshold({(r.good, r.bin): r.n for r in counts}, bins, keep_good)
+    return model
+
+
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(id, counts, base_failed, anomaly, threshold, kept) for each document.
 
     base_failed: fewer than ``min_words`` words, or over ``repeat_percent`` per cent of the words in repeated
     windows. kept: not base_failed, and an anomaly score below the threshold.
     """
     stats = written(rule_statistics(docs, id_col, text_col), "rule-statistics")
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
-    stats = stats.withColumn("base_failed", failed)
-    # One label for each id, so that repeated label rows do not multiply documents; bad wins.
-    marks = labels.filter(F.col(quality_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(quality_col).alias("good"))
-    labelled = written(stats.filter(~F.col("base_failed")).join(marks, id_col).select("good", *FEATURES), "labelled-statistics")
-    fit = labelled_rows(labelled, fit_rows)
-    rows, good = fit[:, 1:], fit[:, 0]
-    if len(rows) < 2:
-        return stats.select(F.col(id_col), *COUNTS, "base_failed", F.lit(0.0).alias("anomaly"), F.lit(1.0).alias("threshold"), (~F.col("base_failed")).alias("kept"))
-    forest = IsolationForest(rows, trees, sample)
-    scored_labels = _scored(labelled.select("good", *FEATURES), forest, "good int")
-    counts = scored_labels.select("good", F.floor(F.col("anomaly") * bins).cast("int").alias("bin")).groupBy("good", "bin").agg(F.count("*").alias("n")).collect()
-    threshold = choose_threshold({(r.good, r.bin): r.n for r in counts}, bins, keep_good)
-    id_type = docs.schema[id_col].dataType.simpleString()
-    carried = [F.col(id_col), *[F.col(c) for c in COUNTS], F.col("base_failed")]
-    scored = _scored(stats.select(*carried, *FEATURES), forest, f"`{id_col}` {id_type}, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean")
-    return scored.withColumn("threshold", F.lit(threshold)).withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < F.lit(threshold)))
+    model = fit_rules(stats, labels, id_col=id_col, **options)
+    stats = stats.withColumn("base_failed", model.base_failed())
+    carried = [id_col, *COUNTS, "base_failed"]
+    if model.forest is None:
+        scored = stats.select(*carried, F.lit(0.0).alias("anomaly"))
+    else:
+        id_type = docs.schema[id_col].dataType.simpleString()
+        scored = _scored(stats.select(*carried, *FEATURES), model.forest, f"`{id_col}` {id_type}, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean")
+    return scored.withColumn("threshold", F.lit(model.threshold)).withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < F.lit(model.threshold)))
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``judge`` keeps; a narrow step once the model is fitted."""
+    stats = written(rule_statistics(docs, id_col, text_col), "rule-statistics")
+    model = fit_rules(stats, labels, id_col=id_col, **options)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text_col):
+            yield part.filter(pa.array(model.keeps(_statistics(texts_of(part, text_col)))))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def labelled_rows(labelled: DataFrame, fit_rows: int) -> np.ndarray:

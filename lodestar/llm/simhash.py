@@ -10,8 +10,9 @@ buckets stay small; every choice is exact. A bucket beyond ``tile_rows`` is deal
 holds an unbounded group. Within a task the bit-sliced comparison finds links, and only a spanning forest of them is
 given out, never all pairs. Components are found by rounds of large-star and small-star.
 
-``wide_groups`` does the same for a similarity threshold on the sets of word shingles, with a wide fingerprint (many
-bits make the estimate sharp) and buckets from random samples of its bits.
+``one_of_each_group`` keeps one document of each group for a similarity threshold on the sets of word shingles: a wide
+fingerprint makes the estimate of the similarity sharp (its share of differing bits is the angle between the sets),
+and buckets are samples of its bits, as many as bring a pair at the threshold together with ``recall``.
 
 Defined cases: null, empty and white-space texts have fingerprint zero and are linked like any other; fewer words
 than a shingle make one shingle of all words; repeated rows and equal texts share a fingerprint; an empty table
@@ -97,9 +98,11 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _tiled(rows: DataFrame, node: str, tile_rows: int) -> DataFrame:
-    """Rows of (tab, key, ...) with the pair of tiles (i, j) that they take part in; (0, 0) for ordinary buckets."""
-    full = rows.groupBy("tab", "key").agg(F.count("*").alias("m")).filter(F.col("m") > tile_rows)
+def _tiled(rows: DataFrame, node: str, tile_rows: int, full: DataFrame) -> DataFrame:
+    """Rows of (tab, key, ...) with the pair of tiles (i, j) that they take part in; (0, 0) for ordinary buckets.
+
+    ``full``: the buckets (tab, key, m) with more than ``tile_rows`` rows.
+    """
     tiles = F.ceil(F.coalesce(F.col("m"), F.lit(1)) / tile_rows).cast("int")
     rows = rows.join(full, ["tab", "key"], "left").withColumn("tiles", tiles).drop("m")
     rows = rows.withColumn("tile", F.pmod(F.xxhash64(F.lit("tile"), F.col(node)), F.col("tiles")).cast("int"))
@@ -169,7 +172,8 @@ def links_within(prints: DataFrame, radius: int, tile_rows: int = 8192, task_row
     masks = block_keys(blocks, agree)
     keys = F.array(*[F.struct(F.lit(t).alias("tab"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)])
     rows = prints.select("fp", F.explode(keys).alias("k")).select("fp", "k.tab", "k.key")
-    rows = _tiled(rows, "fp", tile_rows).select("fp", F.col("fp").alias("print"), "tab", "key", "i", "j")
+    full = rows.groupBy("tab", "key").agg(F.count("*").alias("m")).filter(F.col("m") > tile_rows)
+    rows = _tiled(rows, "fp", tile_rows, full).select("fp", F.col("fp").alias("print"), "tab", "key", "i", "j")
     rows = rows.repartition(partitions_for(spark, n * len(masks), task_rows), "tab", "key", "i", "j")
     return rows.mapInArrow(_batches_to_links(1, radius), "u long, v long")
 
@@ -183,3 +187,110 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col:
     smallest = label.groupBy("root").agg(F.min("first").alias("component_id"))
     label = written(label.join(smallest, "root").select("fp", "component_id"), "labels")
     return printed.join(label, "fp").select(F.col(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def shared_bits(similarity: float) -> float:
+    """Share of bits in which SimHashes of two sets of this Jaccard similarity agree (sets of equal size)."""
+    return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def bit_samples(prints: int, bits: int, similarity: float, recall: float, rows_per_bucket: int = 64, seed: int = 17) -> np.ndarray:
+    """(tables, bits of a key): sampled positions; keys grow with the number of fingerprints, tables follow ``recall``."""
+    key_bits = max(8, math.ceil(math.log2(max(prints, 1) / rows_per_bucket + 1)))
+    tables = max(1, math.ceil(math.log(1 - recall) / math.log(1 - shared_bits(similarity) ** key_bits)))
+    rng = np.random.default_rng(seed)
+    order = np.concatenate([rng.permutation(bits) for _ in range(-(-tables * key_bits // bits))])
+    return order[: tables * key_bits].reshape(tables, key_bits)
+
+
+def wide_prints(docs: DataFrame, words: int, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, text_hash, print): SimHash of ``words`` x 64 bits of the set of shingles; a narrow step."""
+    id_type = docs.schema[id_col].dataType.simpleString()
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text_col):
+            prints = [majority(np.unique(shingle_hashes(t, shingle)), words).tobytes() for t in texts_of(part, text_col).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(prints, pa.binary())], names=[id_col, "text_hash", "print"])
+
+    return docs.select(F.col(id_col), F.col(text_col), text_key(text_col).alias("text_hash")).mapInArrow(hashed, f"`{id_col}` {id_type}, text_hash long, print binary")
+
+
+def text_key(text_col: str):
+    return F.xxhash64(F.lit("text"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def _sampled_keys(samples: np.ndarray):
+    """Arrow function (node, print) to one row for each table: (node, print, tab, key)."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, size = samples.shape
+        for b in batches:
+            for at in range(0, b.num_rows, 2048):
+                part = b.slice(at, 2048)
+                raw = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                bits = np.unpackbits(raw, axis=1, bitorder="little")
+                keys = np.zeros((part.num_rows, tables), np.int64)
+                for k in range(size):
+                    keys |= bits[:, samples[:, k]].astype(np.int64) << k
+                take = pa.array(np.repeat(np.arange(part.num_rows), tables))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(np.tile(np.arange(tables, dtype=np.int32), part.num_rows)), pa.array(keys.ravel())], names=["node", "print", "tab", "key"])
+
+    return keyed
+
+
+def similar_links(classes: DataFrame, words: int, similarity: float, recall: float = 0.99, margin: float = 1.65, tile_rows: int = 8192, task_rows: int = 150_000) -> DataFrame:
+    """Links (u, v) between fingerprints (columns node, print) whose differing bits fit a similarity of at least ``similarity``.
+
+    The radius lies ``margin`` standard deviations above the mean distance at that similarity.
+    """
+    spark, bits, n = classes.sparkSession, words * 64, classes.count()
+    apart = 1 - shared_bits(similarity)
+    radius = int(bits * apart + margin * math.sqrt(bits * apart * (1 - apart)))
+    samples = bit_samples(n, bits, similarity, recall)
+    rows = classes.select("node", "print").mapInArrow(_sampled_keys(samples), "node long, print binary, tab int, key long")
+    full = classes.select("node", "print").mapInArrow(_key_counts(samples), "tab int, key long, m long").groupBy("tab", "key").agg(F.sum("m").alias("m")).filter(F.col("m") > tile_rows)
+    rows = _tiled(rows, "node", tile_rows, full).select("node", "print", "tab", "key", "i", "j")
+    rows = rows.repartition(partitions_for(spark, n * len(samples), task_rows), "tab", "key", "i", "j")
+    return rows.mapInArrow(_batches_to_links(words, radius), "u long, v long")
+
+
+def _key_counts(samples: np.ndarray):
+    """Arrow function: how many rows of a task have each key of each table."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _sampled_keys(samples)(batches):
+            tab, key = b.column(2).to_numpy().astype(np.int64), b.column(3).to_numpy()
+            both, m = np.unique((tab << 40) | key, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array((both >> 40).astype(np.int32)), pa.array(both & ((1 << 40) - 1)), pa.array(m.astype(np.int64))], names=["tab", "key", "m"])
+
+    return counted
+
+
+def one_of_each_group(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 12, drop_broadcast: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, without near copies: of each group the row with the smallest id stays.
+
+    Groups are linked by steps of at least ``similarity`` between sets of ``shingle``-word shingles. Texts are not
+    shuffled while the rows to drop number at most ``drop_broadcast``; beyond that they are joined by shuffle.
+    """
+    prints = written(wide_prints(docs, words, shingle, id_col, text_col).withColumn("node", F.xxhash64("print")), "wide-prints")
+    classes = written(prints.groupBy("node").agg(F.min("print").alias("print")), "wide-classes")
+    roots = connected_components(similar_links(classes, words, similarity))
+    grouped = prints.select(id_col, "text_hash", "node").join(roots, "node", "left").select(id_col, "text_hash", F.coalesce("root", "node").alias("root"))
+    rows = grouped.groupBy(id_col, "text_hash", "root").agg(F.count("*").alias("times"))
+    # The row that stays: the smallest (id, text hash); a minimum is combined before the shuffle, however large the group.
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col(id_col).alias("id"), F.col("text_hash").alias("h"))).alias("first"))
+    stays = F.col(id_col).eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.h"))
+    marked = written(rows.join(first, "root").select(id_col, "text_hash", stays.alias("stays"), "times").filter(~F.col("stays") | (F.col("times") > 1)), "near-copies")
+    n_marked, n_again = (lambda r: (r[0], r[1]))(marked.agg(F.count("*"), F.count(F.when(F.col("stays"), 1))).head())
+    if not n_marked:
+        return docs
+    small = F.broadcast if n_marked <= drop_broadcast else lambda x: x
+    key = "__text_hash"
+    keyed = docs.withColumn(key, text_key(text_col))
+    marks = small(marked.select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__h"), "stays"))
+    same = keyed[id_col].eqNullSafe(F.col("__id")) & (keyed[key] == F.col("__h"))
+    out = keyed.join(marks.drop("stays"), same, "left_anti").drop(key)
+    if n_again:  # repeated rows of a document that stays: one of them
+        again = keyed.join(marks.filter("stays").drop("stays"), same, "left_semi").dropDuplicates([id_col, key]).drop(key)
+        out = out.unionByName(again)
+    return out
