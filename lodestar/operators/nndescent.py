@@ -17,22 +17,27 @@ from .knn import top_k, with_distance
 
 
 def random_pairs(vectors: DataFrame, degree: int, seed: int = 42) -> DataFrame:
-    """(src, dst): about ``degree`` distinct pseudo-random neighbours of each node, without itself.
+    """(src, dst): ``degree`` distinct pseudo-random neighbours of each node, without itself; fewer if there are fewer nodes.
 
-    Ids need not be dense: slots are drawn as ranks over the sorted ids when there are gaps.
+    Each node draws twice as many as it needs and keeps the first distinct ones. Where ids have gaps, draws are ranks
+    among the sorted ids.
     """
     r = vectors.agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).head()
     n, degree = r.n, min(degree, max(r.n - 1, 0))
-    slots = vectors.select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(1), F.lit(max(degree, 1)))).alias("slot"))
-    if not degree:
-        return slots.select("src", F.col("src").alias("dst")).filter("false")
-    place = seeded_id(n, F.lit(seed), "src", "slot")
-    if r.lo == 0 and r.hi == n - 1:
-        pairs = slots.select("src", place.alias("dst"))
+    if n <= 4 * degree + 1:  # a handful of nodes: choose among all of them
+        ids = vectors.select("id")
+        drawn = ids.select(F.col("id").alias("src")).join(F.broadcast(ids.select(F.col("id").alias("dst"))), F.col("src") != F.col("dst")).withColumn("slot", F.xxhash64(F.lit(seed), "src", "dst"))
     else:
-        by_place = vectors.select("id").rdd.map(lambda x: x[0]).sortBy(lambda x: x).zipWithIndex().toDF("dst long, place long")
-        pairs = slots.select("src", place.alias("place")).join(by_place, "place").select("src", "dst")
-    return pairs.filter("src <> dst").distinct()
+        slots = vectors.select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(1), F.lit(2 * degree + 10))).alias("slot"))
+        place = seeded_id(n, F.lit(seed), "src", "slot")
+        if r.lo == 0 and r.hi == n - 1:
+            drawn = slots.select("src", "slot", place.alias("dst"))
+        else:
+            by_place = vectors.select("id").rdd.map(lambda x: x[0]).sortBy(lambda x: x).zipWithIndex().toDF("dst long, place long")
+            drawn = slots.select("src", "slot", place.alias("place")).join(by_place, "place").select("src", "slot", "dst")
+    first = drawn.filter("src <> dst").groupBy("src", "dst").agg(F.min("slot").alias("slot"))
+    w = Window.partitionBy("src").orderBy("slot", "dst")
+    return first.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= degree).select("src", "dst")
 
 
 def arithmetic_pairs(vectors: DataFrame, n: int, degree: int, seed: int = 42) -> DataFrame:

@@ -61,11 +61,10 @@ def build_index(vectors: DataFrame, config: IndexConfig) -> Index:
 
 
 def distribute(index: Index, config: IndexConfig) -> tuple[DataFrame, DataFrame]:
-    """(assignment, replicas) of an index by its spanning tree; without redistribution, by ranges of ids."""
+    """(assignment, replicas) of an index by its spanning tree; without redistribution, by equal ranges of ids."""
     if config.data_redistribution == "noRedistribution":
-        n = index.vectors.count()
-        size = max(1, -(-n // config.workers))
-        placed = index.vectors.select("id", (F.col("id") / size).cast("int").alias("worker"))
+        lo, hi = index.vectors.agg(F.min("id"), F.max("id")).head()
+        placed = index.vectors.select("id", ((F.col("id") - lo) * config.workers / (hi - lo + 1)).cast("int").alias("worker"))
     else:
         placed = redistribute.assignment(index.tree, config.workers, index.vectors, config.data_redistribution)
     return placed, redistribute.replicate(index.tree, placed, config.workers, config.data_replication)
