@@ -21,7 +21,6 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -40,8 +39,8 @@ def plain_words(vocab: pa.Array) -> pa.Array:
 class BenchmarkWords:
     """A bounded block of items: vocabulary (ids from 1 on) and each item as word ids."""
 
-    def __init__(self, item_ids: list, texts: list[str]):
-        words = Words(pa.array(texts, pa.string()))
+    def __init__(self, item_ids: pa.Array, texts: pa.Array):
+        words = Words(texts)
         plain = plain_words(words.vocab)
         coded = plain.dictionary_encode()
         self.vocab = coded.dictionary
@@ -50,7 +49,7 @@ class BenchmarkWords:
         ids[empty] = 0
         flat = ids[words.ids]
         self.item_ids = item_ids
-        self.items = [w[w > 0] for w in np.split(flat, words.offsets[1:-1])] if item_ids else []
+        self.items = [w[w > 0] for w in np.split(flat, words.offsets[1:-1])] if len(item_ids) else []
 
     def document_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Word ids of documents (0: not of the benchmark; words without a letter or digit are left out), and offsets."""
@@ -227,9 +226,9 @@ def matchers(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, chance:
     blocks = max(1, -(-total // block_words))
     out = []
     for k in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == k).toPandas()
-        block = block.sort_values(["item", "words"]) if len(block) else block
-        bench = BenchmarkWords(block["item"].tolist(), block["words"].tolist())
+        block = items.filter(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == k).toArrow()
+        block = block.sort_by([("item", "ascending"), ("words", "ascending")]).combine_chunks()
+        bench = BenchmarkWords(*(c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in block.columns))
         if not bench.items:
             continue
         counts, words, n_docs = word_counts(docs, bench, text_col)
@@ -253,8 +252,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 rows = matcher.find(texts_of(part, text_col))
                 if rows:
                     d, item, score, a, b = zip(*rows)
-                    items = pd.Series([matcher.bench.item_ids[i] for i in item])
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(d)), pa.array(items), pa.array(score), pa.array(a, pa.int64()), pa.array([x - 1 for x in b], pa.int64())], names=[id_col, item_col, "score", "first_word", "last_word"])
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(d)), matcher.bench.item_ids.take(pa.array(item)), pa.array(score), pa.array(a, pa.int64()), pa.array([x - 1 for x in b], pa.int64())], names=[id_col, item_col, "score", "first_word", "last_word"])
 
         part = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(found, schema)
         out = part if out is None else out.unionByName(part)
