@@ -182,7 +182,7 @@ def identify(docs: DataFrame, training: DataFrame, fit_rows: int = 6000, buckets
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text_col, 4 << 20):
+        for part in slices(batches, text_col, 2 << 20):
             texts = texts_of(part, text_col)
             lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
             if tree is not None:
@@ -195,16 +195,17 @@ def identify(docs: DataFrame, training: DataFrame, fit_rows: int = 6000, buckets
 
 
 def known_language(docs: DataFrame, training: DataFrame, fit_rows: int = 6000, buckets: int = 2048, least_score: float = 0.2, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is told with at least ``least_score``; a narrow step."""
+    """The rows of ``docs``, all columns, whose language is told with at least ``least_score``; a narrow step.
+
+    Without any training row, the rows whose text has a letter.
+    """
     tree = fit_language_tree(training, fit_rows, buckets, lang_col, text_col, id_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text_col, 4 << 20):
-            sure = np.zeros(part.num_rows, bool)
-            if tree is not None:
-                x, has = gram_shares(texts_of(part, text_col), buckets)
-                if has.any():
-                    sure[has] = tree.decide(x[has])[1] >= least_score
+        for part in slices(batches, text_col, 2 << 20):
+            x, sure = gram_shares(texts_of(part, text_col), buckets)
+            if tree is not None and sure.any():
+                sure[sure] = tree.decide(x[sure])[1] >= least_score
             yield part.filter(pa.array(sure))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are held in exploded form at a time; one longer text is a slice of its own.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> pa.Array:

@@ -175,7 +175,7 @@ def token_lengths(path: str, texts: pa.Array, part_chars: int = 65_536) -> np.nd
     return np.asarray(_text_lengths(path, texts.to_pylist(), part_chars), np.int64)
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 8 << 20) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 4 << 20) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) for each document; a narrow step without any shuffle.
 
     ``over_limit``: more than ``limit`` tokens. The file at ``tokenizer_path`` must exist on every executor.
