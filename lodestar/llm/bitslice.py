@@ -119,52 +119,67 @@ def column_counts(words: np.ndarray) -> np.ndarray:
     return total
 
 
-class Forest:
-    """Union-find over the rows of one comparison task."""
-
-    def __init__(self, n: int):
-        self.parent = list(range(n))
-
-    def find(self, x: int) -> int:
-        parent = self.parent
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    def union(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        if a == b:
-            return False
-        self.parent[max(a, b)] = min(a, b)
-        return True
-
-
 def _set_lanes(masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row and lane of every set bit."""
     bits = np.unpackbits(masks.view(np.uint8).reshape(len(masks), 8), axis=1, bitorder="little")
     return np.nonzero(bits)
 
 
-def small_groups(prints: np.ndarray, starts: np.ndarray, radius: int, slab: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links (row, row) within groups of at most 64 neighbouring rows, many groups at a time."""
+def contract(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Merge the classes of linked rows in place; every label ends as the smallest row of its class."""
+    while True:
+        x, y = labels[a], labels[b]
+        apart = x != y
+        if not apart.any():
+            return
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(labels, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = labels[labels]
+            if (up == labels).all():
+                break
+            labels[:] = up
+
+
+def group_labels(prints: np.ndarray, starts: np.ndarray, radius: int, slab: int = 1 << 15) -> np.ndarray:
+    """For each row the smallest row of its component within its group; groups are runs of rows that begin at ``starts``.
+
+    All groups are compared at once: each row with the blocks of 64 of its group up to its own, ``slab`` of these pairs
+    at a time.
+    """
     bounds = np.append(starts, len(prints))
     size = np.diff(bounds)
-    group = np.repeat(np.arange(len(size)), size)
-    lane = np.arange(len(prints)) - bounds[group]
+    blocks = -(-size // 64)
+    labels = np.arange(len(prints))
+    rows_of, pairs_of = size, blocks * (2 * size - 64 * (blocks - 1)) // 2  # sum of (own block + 1) over the rows
+    ends = np.cumsum(pairs_of)
     at = 0
     while at < len(size):
-        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + slab, side="right")) - 1)
-        lo, hi = bounds[at], bounds[to]
-        rows = np.zeros(((to - at) * 64, prints.shape[1]), np.uint64)
-        rows[(group[lo:hi] - at) * 64 + lane[lo:hi]] = prints[lo:hi]
-        mask = lanes_within(bit_planes(rows), group[lo:hi] - at, prints[lo:hi], radius)
-        mask &= (np.uint64(1) << lane[lo:hi].astype(np.uint64)) - np.uint64(1)  # earlier rows only
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + slab, side="right")))
+        lo, hi = int(bounds[at]), int(bounds[to])
+        group = np.repeat(np.arange(to - at), rows_of[at:to])
+        place = np.arange(lo, hi) - bounds[at:to][group]
+        first_block = np.concatenate([[0], np.cumsum(blocks[at:to])])
+        padded = np.zeros((int(first_block[-1]) * 64, prints.shape[1]), np.uint64)
+        padded[first_block[group] * 64 + place] = prints[lo:hi]
+        planes = bit_planes(padded)
+        own = place // 64
+        n = own + 1
+        pair_ends = np.cumsum(n)
+        row = np.repeat(np.arange(hi - lo), n)
+        step = np.arange(int(pair_ends[-1])) - np.repeat(pair_ends - n, n)
+        mask = lanes_within(planes, first_block[group[row]] + step, prints[lo:hi][row], radius)
+        same = step == own[row]
+        earlier = (np.uint64(1) << (place[row[same]] % 64).astype(np.uint64)) - np.uint64(1)
+        mask[same] &= earlier
         hit = np.flatnonzero(mask)
-        if len(hit):
-            r, k = _set_lanes(mask[hit])
-            yield lo + hit[r], bounds[group[lo + hit[r]]] + k
+        for k in range(0, len(hit), slab):
+            part = hit[k : k + slab]
+            r, lane = _set_lanes(mask[part])
+            one = row[part][r]
+            contract(labels, lo + one, bounds[at:to][group[one]] + step[part][r] * 64 + lane)
         at = to
+    return labels
 
 
 def large_group(prints: np.ndarray, radius: int, seeds: int = 64) -> Iterator[tuple[int, int]]:

@@ -7,8 +7,8 @@ How it scales: equal fingerprints become one row first, so groups of exact copie
 fingerprints are cut into blocks of bits; two fingerprints within the radius must agree in all bits of one choice
 of blocks (pigeonhole), so they meet in one bucket. The number of blocks follows the number of fingerprints, so
 buckets stay small; every choice is exact. A bucket beyond ``tile_rows`` is dealt over pairs of tiles, so no task
-holds an unbounded group. Within a task the bit-sliced comparison finds links, and only a spanning forest of them is
-given out, never all pairs. Components are found by rounds of large-star and small-star.
+holds an unbounded group. Within a task the bit-sliced comparison finds links, and at most one a row is given
+out, joining each component, never all pairs. Components are found by rounds of large-star and small-star.
 
 ``one_of_each_group`` keeps one document of each group for a similarity threshold on the sets of word shingles: a wide
 fingerprint makes the estimate of the similarity sharp (its share of differing bits is the angle between the sets),
@@ -31,10 +31,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bitslice import Forest, column_counts, large_group, mix64_words, small_groups
+from .bitslice import column_counts, group_labels, large_group, mix64_words
 from .components import connected_components
 from .storage import partitions_for, written
-from .textbatch import mix64, slices, texts_of
+from .textbatch import slices, texts_of
 
 #: Shingles that are expanded into bit counts at a time.
 CHUNK = 1 << 16
@@ -98,64 +98,75 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _tiled(rows: DataFrame, node: str, tile_rows: int, full: DataFrame) -> DataFrame:
-    """Rows of (tab, key, ...) with the pair of tiles (i, j) that they take part in; (0, 0) for ordinary buckets.
+#: Full buckets are sent to every executor up to this number; beyond it they are joined by shuffle.
+MANY_FULL = 200_000
 
-    ``full``: the buckets (tab, key, m) with more than ``tile_rows`` rows.
+
+def _grouped(rows: DataFrame, full: DataFrame, tile_rows: int) -> DataFrame:
+    """Rows (print, tab, key) as (print, grp): one group for each bucket, or for each pair of tiles of a full one.
+
+    ``full``: the buckets (tab, key, m) that may have more than ``tile_rows`` rows, written already. A clash of two
+    group numbers only compares more rows.
     """
-    tiles = F.ceil(F.coalesce(F.col("m"), F.lit(1)) / tile_rows).cast("int")
-    rows = rows.join(full, ["tab", "key"], "left").withColumn("tiles", tiles).drop("m")
-    rows = rows.withColumn("tile", F.pmod(F.xxhash64(F.lit("tile"), F.col(node)), F.col("tiles")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: F.struct(F.least("tile", j).alias("i"), F.greatest("tile", j).alias("j")))
-    return rows.withColumn("pair", F.explode(pairs)).select("*", "pair.i", "pair.j").drop("tiles", "tile", "pair")
+    group = F.xxhash64("tab", "key")
+    n_full = full.count()
+    if not n_full:
+        return rows.select("print", group.alias("grp"))
+    tiles = F.greatest(F.lit(1), F.ceil(F.coalesce(F.col("m"), F.lit(1)) / tile_rows)).cast("int")
+    rows = rows.join(F.broadcast(full) if n_full <= MANY_FULL else full, ["tab", "key"], "left").select("print", group.alias("grp"), tiles.alias("tiles"))
+    tile = F.pmod(F.xxhash64(F.lit("tile"), "print"), F.col("tiles")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: F.struct(F.least(tile, j).alias("i"), F.greatest(tile, j).alias("j")))
+    rows = rows.select("print", "grp", F.explode(pairs).alias("pair"))
+    return rows.select("print", F.xxhash64("grp", "pair.i", "pair.j").alias("grp"))
+
+
+#: Groups up to this size are compared many at a time; larger ones are searched one by one, breadth first.
+TOGETHER = 1024
 
 
 def bucket_links(nodes: np.ndarray, prints: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links within each group of rows; ``group`` is any key of equal length."""
+    """Links that join each component within each group of rows, at most one a row; ``group`` is any key of equal length."""
     order = np.argsort(group, kind="stable")
     nodes, prints, group = nodes[order], prints[order], group[order]
     starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
     size = np.diff(np.append(starts, len(group)))
-    left: list[int] = []
-    right: list[int] = []
-    little = (size > 1) & (size <= 64)
-    if little.any():
-        take = np.repeat(little, size)
-        at, forest = np.flatnonzero(take), Forest(int(take.sum()))
-        first = np.cumsum(np.concatenate([[0], size[little]]))[:-1]
-        for a, b in small_groups(prints[at], first, radius):
-            for x, y in zip(a.tolist(), b.tolist()):
-                if forest.union(x, y):
-                    left.append(int(at[x]))
-                    right.append(int(at[y]))
-    for g in np.flatnonzero(size > 64).tolist():
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    some = (size > 1) & (size <= TOGETHER)
+    if some.any():
+        at = np.flatnonzero(np.repeat(some, size))
+        label = group_labels(prints[at], np.cumsum(size[some]) - size[some], radius)
+        joined = np.flatnonzero(label != np.arange(len(at)))
+        left.append(at[joined])
+        right.append(at[label[joined]])
+    for g in np.flatnonzero(size > TOGETHER).tolist():
         lo = int(starts[g])
-        for x, y in large_group(prints[lo : lo + int(size[g])], radius):
-            left.append(lo + x)
-            right.append(lo + y)
-    return nodes[np.asarray(left, np.int64)], nodes[np.asarray(right, np.int64)]
+        pairs = np.array(list(large_group(prints[lo : lo + int(size[g])], radius)), np.int64).reshape(-1, 2)
+        left.append(lo + pairs[:, 0])
+        right.append(lo + pairs[:, 1])
+    return nodes[np.concatenate(left)], nodes[np.concatenate(right)]
 
 
 def _batches_to_links(words: int, radius: int):
-    """Arrow function over whole partitions of (node, print, tab, key, i, j): the links (u, v)."""
+    """Arrow function over whole partitions of (print, group): the links (u, v) between nodes.
+
+    The node of a 64-bit print is the print itself, that of a wide one its hash.
+    """
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes, prints, groups = [], [], []
+        prints, groups = [], []
         for b in batches:
             if not b.num_rows:
                 continue
-            nodes.append(b.column(0).to_numpy(zero_copy_only=False))
-            column = b.column(1)
+            column = b.column(0)
             if words == 1:
                 prints.append(column.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, 1))
             else:
                 prints.append(np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, words))
-            key = b.column(2).to_numpy(zero_copy_only=False).astype(np.uint64)
-            for k in range(3, 6):  # tables, keys and tiles in one number; a clash only compares more rows
-                key = mix64(key) * np.uint64(0x9E3779B97F4A7C15) + b.column(k).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            groups.append(key)
-        if nodes:
-            u, v = bucket_links(np.concatenate(nodes), np.concatenate(prints), np.concatenate(groups), radius)
+            groups.append(b.column(1).to_numpy(zero_copy_only=False))
+        if prints:
+            rows = np.concatenate(prints)
+            nodes = rows[:, 0].view(np.int64) if words == 1 else np.frombuffer(b"".join(xxhash.xxh64_digest(r.tobytes(), 42) for r in rows), ">u8").astype(np.uint64).view(np.int64)
+            u, v = bucket_links(nodes, rows, np.concatenate(groups), radius)
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     return linked
@@ -171,10 +182,9 @@ def links_within(prints: DataFrame, radius: int, tile_rows: int = 8192, task_row
     blocks, agree = block_choice(n, radius)
     masks = block_keys(blocks, agree)
     keys = F.array(*[F.struct(F.lit(t).alias("tab"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)])
-    rows = prints.select("fp", F.explode(keys).alias("k")).select("fp", "k.tab", "k.key")
-    full = rows.groupBy("tab", "key").agg(F.count("*").alias("m")).filter(F.col("m") > tile_rows)
-    rows = _tiled(rows, "fp", tile_rows, full).select("fp", F.col("fp").alias("print"), "tab", "key", "i", "j")
-    rows = rows.repartition(partitions_for(spark, n * len(masks), task_rows), "tab", "key", "i", "j")
+    rows = prints.select(F.col("fp").alias("print"), F.explode(keys).alias("k")).select("print", "k.tab", "k.key")
+    full = written(rows.groupBy("tab", "key").agg(F.count("*").alias("m")).filter(F.col("m") > tile_rows), "full-buckets")
+    rows = _grouped(rows, full, tile_rows).repartition(partitions_for(spark, n * len(masks), task_rows), "grp")
     return rows.mapInArrow(_batches_to_links(1, radius), "u long, v long")
 
 
@@ -219,27 +229,32 @@ def text_key(text_col: str):
     return F.xxhash64(F.lit("text"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
+def _table_keys(prints: pa.Array, samples: np.ndarray) -> np.ndarray:
+    """(rows, tables) keys: the sampled bits of each print."""
+    raw = np.frombuffer(b"".join(prints.to_pylist()), np.uint8).reshape(len(prints), -1)
+    bits = np.unpackbits(raw, axis=1, bitorder="little")
+    keys = np.zeros((len(prints), len(samples)), np.int64)
+    for k in range(samples.shape[1]):
+        keys |= bits[:, samples[:, k]].astype(np.int64) << k
+    return keys
+
+
 def _sampled_keys(samples: np.ndarray):
-    """Arrow function (node, print) to one row for each table: (node, print, tab, key)."""
+    """Arrow function (print) to one row for each table: (print, tab, key)."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, size = samples.shape
         for b in batches:
             for at in range(0, b.num_rows, 2048):
-                part = b.slice(at, 2048)
-                raw = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
-                bits = np.unpackbits(raw, axis=1, bitorder="little")
-                keys = np.zeros((part.num_rows, tables), np.int64)
-                for k in range(size):
-                    keys |= bits[:, samples[:, k]].astype(np.int64) << k
-                take = pa.array(np.repeat(np.arange(part.num_rows), tables))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(np.tile(np.arange(tables, dtype=np.int32), part.num_rows)), pa.array(keys.ravel())], names=["node", "print", "tab", "key"])
+                prints = b.column(0).slice(at, 2048)
+                n, tables = len(prints), len(samples)
+                take = pa.array(np.repeat(np.arange(n), tables))
+                yield pa.RecordBatch.from_arrays([prints.take(take), pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(_table_keys(prints, samples).ravel())], names=["print", "tab", "key"])
 
     return keyed
 
 
-def similar_links(classes: DataFrame, words: int, similarity: float, recall: float = 0.99, margin: float = 1.65, tile_rows: int = 8192, task_rows: int = 150_000) -> DataFrame:
-    """Links (u, v) between fingerprints (columns node, print) whose differing bits fit a similarity of at least ``similarity``.
+def similar_links(classes: DataFrame, words: int, similarity: float, recall: float = 0.99, margin: float = 1.4, tile_rows: int = 8192, task_rows: int = 150_000) -> DataFrame:
+    """Links (u, v) between fingerprints (column print) whose differing bits fit a similarity of at least ``similarity``.
 
     The radius lies ``margin`` standard deviations above the mean distance at that similarity.
     """
@@ -247,26 +262,16 @@ def similar_links(classes: DataFrame, words: int, similarity: float, recall: flo
     apart = 1 - shared_bits(similarity)
     radius = int(bits * apart + margin * math.sqrt(bits * apart * (1 - apart)))
     samples = bit_samples(n, bits, similarity, recall)
-    rows = classes.select("node", "print").mapInArrow(_sampled_keys(samples), "node long, print binary, tab int, key long")
-    full = classes.select("node", "print").mapInArrow(_key_counts(samples), "tab int, key long, m long").groupBy("tab", "key").agg(F.sum("m").alias("m")).filter(F.col("m") > tile_rows)
-    rows = _tiled(rows, "node", tile_rows, full).select("node", "print", "tab", "key", "i", "j")
-    rows = rows.repartition(partitions_for(spark, n * len(samples), task_rows), "tab", "key", "i", "j")
+    prints = classes.select("print")
+    # Sizes of buckets are estimated on a sixteenth of the prints: they only decide how work is dealt, not what is linked.
+    some = prints.filter(F.pmod(F.xxhash64(F.lit("size"), "print"), F.lit(16)) == 0).mapInArrow(_sampled_keys(samples), "print binary, tab int, key long")
+    full = written(some.groupBy("tab", "key").agg((F.count("*") * 16).alias("m")).filter(F.col("m") > tile_rows), "full-buckets")
+    rows = prints.mapInArrow(_sampled_keys(samples), "print binary, tab int, key long")
+    rows = _grouped(rows, full, tile_rows).repartition(partitions_for(spark, n * len(samples), task_rows), "grp")
     return rows.mapInArrow(_batches_to_links(words, radius), "u long, v long")
 
 
-def _key_counts(samples: np.ndarray):
-    """Arrow function: how many rows of a task have each key of each table."""
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _sampled_keys(samples)(batches):
-            tab, key = b.column(2).to_numpy().astype(np.int64), b.column(3).to_numpy()
-            both, m = np.unique((tab << 40) | key, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array((both >> 40).astype(np.int32)), pa.array(both & ((1 << 40) - 1)), pa.array(m.astype(np.int64))], names=["tab", "key", "m"])
-
-    return counted
-
-
-def one_of_each_group(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 12, drop_broadcast: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each_group(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 10, drop_broadcast: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, without near copies: of each group the row with the smallest id stays.
 
     Groups are linked by steps of at least ``similarity`` between sets of ``shingle``-word shingles. Texts are not
