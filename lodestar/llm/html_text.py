@@ -189,6 +189,8 @@ class Weights:
 
     def block(self, b: Block) -> float:
         own = self.word[b.kind]
+        if b.kind in ("frame", "hint"):  # left out of the text anyway: an advert amid an article must not cut it in two
+            return own * min(b.words, 2)
         link = min(self.word["link"], own)
         return own * (b.words - b.link_words) + link * b.link_words if b.link_words <= b.words else link * b.words
 
