@@ -1,10 +1,11 @@
 """Quality rules (operator 5): an isolation forest on rule statistics, with a threshold from labelled rows.
 
-Rule statistics are computed for every whole text in one narrow pass. An isolation forest is grown on a bounded
-sample (``fit_rows``) of labelled rows that pass the base rules; random splits isolate unusual documents after few
-cuts, so a short mean path marks an anomaly. The threshold comes from all such labelled rows: their scores are counted by label in a
-histogram, and it is the score that parts good from bad best among those that keep at least ``keep_good`` of the
-good rows.
+Rule statistics are computed for every whole text in one narrow pass. Each counts only by how far it lies beyond the
+value that all but ``beyond`` of the good labelled rows stay below, so that what is usual among good texts does not
+look unusual to the forest. An isolation forest is grown on a bounded sample (``fit_rows``) of labelled rows that pass
+the base rules; random splits isolate unusual documents after few cuts, so a short mean path marks an anomaly. The
+threshold on it comes from all such labelled rows: their scores are counted by label in a histogram, and it is the
+score that parts good from bad best among those that keep at least ``keep_good`` of the good rows.
 
 Defined cases: a null, empty or white-space text has no words (all statistics 0, base_failed, not kept); repeated
 rows get equal results; without usable labels the forest is not grown and only the base rules decide; an empty
@@ -27,7 +28,7 @@ from .textbatch import Words, segment_sums, slices, texts_of
 #: The characters that count as symbols (fixed values).
 SYMBOLS = "#*$%&|<>"
 #: Rule statistics that the forest sees, each a share that does not depend on a text's length.
-FEATURES = ["symbol_share", "upper_share", "bang_share", "dup_line_share", "repeat_share", "distinct_share", "digit_share", "mean_word"]
+FEATURES = ["symbol_share", "upper_share", "bang_share", "dup_line_share", "repeat_share", "digit_share", "mean_word"]
 
 
 def _class_counts(texts: pa.Array) -> dict[str, np.ndarray]:
@@ -90,12 +91,6 @@ def _statistics(texts: pa.Array) -> dict[str, np.ndarray]:
     repeat = repeated_words(words)
     lines = np.fromiter((duplicate_lines(t) for t in texts.to_pylist()), np.int64, len(texts))
     breaks = pc.count_substring(texts, "\n").to_numpy(zero_copy_only=False)
-    if len(words.ids):
-        doc = words.doc_of()
-        pairs = np.unique(doc * (len(words.vocab) + 1) + words.ids)
-        distinct = np.bincount(pairs // (len(words.vocab) + 1), minlength=len(n))
-    else:
-        distinct = np.zeros(len(n), np.int64)
     word_chars = kinds["chars"] - kinds["space"]
     per = lambda x, y: x / np.maximum(y, 1)
     return {
@@ -109,7 +104,6 @@ def _statistics(texts: pa.Array) -> dict[str, np.ndarray]:
         "bang_share": per(kinds["bang"], word_chars),
         "dup_line_share": per(lines, breaks + 1),
         "repeat_share": per(repeat, n),
-        "distinct_share": per(distinct, np.sqrt(np.maximum(n, 1) * np.minimum(np.maximum(n, 1), 400))),
         "digit_share": per(kinds["digit"], word_chars),
         "mean_word": per(word_chars, n),
     }
@@ -182,8 +176,14 @@ class IsolationForest:
 class RuleModel:
     """The base rules, the forest (None: too few labelled rows) and its threshold."""
 
-    def __init__(self, forest: IsolationForest | None, threshold: float, min_words: int, repeat_percent: int):
-        self.forest, self.threshold, self.min_words, self.repeat_percent = forest, threshold, min_words, repeat_percent
+    def __init__(self, min_words: int, repeat_percent: int):
+        self.min_words, self.repeat_percent = min_words, repeat_percent
+        self.forest: IsolationForest | None = None
+        self.usual, self.threshold = np.zeros(len(FEATURES)), 1.0
+
+    def anomaly(self, rows: np.ndarray) -> np.ndarray:
+        """Scores of rows of FEATURES."""
+        return self.forest.score(np.maximum(rows - self.usual, 0))
 
     def base_failed(self):
         return (F.col("n_words") < self.min_words) | (100 * F.col("n_repeat_words") > self.repeat_percent * F.col("n_words"))
@@ -193,14 +193,15 @@ class RuleModel:
         passed = (stats["n_words"] >= self.min_words) & (100 * stats["n_repeat_words"] <= self.repeat_percent * stats["n_words"])
         if self.forest is None or not len(passed):
             return passed
-        return passed & (self.forest.score(np.column_stack([stats[c] for c in FEATURES])) < self.threshold)
+        return passed & (self.anomaly(np.column_stack([stats[c] for c in FEATURES])) < self.threshold)
 
 
 def fit_rules(
     stats: DataFrame,
     labels: DataFrame,
     fit_rows: int = 20_000,
-    keep_good: float = 0.995,
+    keep_good: float = 0.99,
+    beyond: float = 0.001,
     bins: int = 1000,
     min_words: int = 50,
     repeat_percent: int = 50,
@@ -209,17 +210,19 @@ def fit_rules(
     id_col: str = "doc_id",
     quality_col: str = "quality",
 ) -> RuleModel:
-    """Grow the forest on a bounded sample of labelled rows and set the threshold by all of them."""
-    model = RuleModel(None, 1.0, min_words, repeat_percent)
+    """Grow the forest on a bounded sample of labelled rows and set its thresholds by all of them."""
+    model = RuleModel(min_words, repeat_percent)
     # One label for each id, so that repeated label rows do not multiply documents; bad wins.
     marks = labels.filter(F.col(quality_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(quality_col).cast("int").alias("good"))
     labelled = written(stats.filter(~model.base_failed()).join(marks, id_col).select("good", *FEATURES), "labelled-statistics")
     rows = labelled_rows(labelled, fit_rows)[:, 1:]
     if len(rows) < 2:
         return model
-    model.forest = IsolationForest(rows, trees, sample)
+    usual = labelled.filter("good = 1").agg(*[F.percentile_approx(c, 1 - beyond, 100_000).alias(c) for c in FEATURES]).head()
+    model.usual = np.array([usual[c] or 0.0 for c in FEATURES])
+    model.forest = IsolationForest(np.maximum(rows - model.usual, 0), trees, sample)
     bin_of = F.floor(F.col("anomaly") * bins).cast("int").alias("bin")
-    counts = _scored(labelled, model.forest, "good int").groupBy("good", bin_of).agg(F.count("*").alias("n")).collect()
+    counts = _scored(labelled, model, "good int").groupBy("good", bin_of).agg(F.count("*").alias("n")).collect()
     model.threshold = choose_threshold({(r.good, r.bin): r.n for r in counts}, bins, keep_good)
     return model
 
@@ -238,7 +241,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         scored = stats.select(*carried, F.lit(0.0).alias("anomaly"))
     else:
         id_type = docs.schema[id_col].dataType.simpleString()
-        scored = _scored(stats.select(*carried, *FEATURES), model.forest, f"`{id_col}` {id_type}, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean")
+        scored = _scored(stats.select(*carried, *FEATURES), model, f"`{id_col}` {id_type}, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean")
     return scored.withColumn("threshold", F.lit(model.threshold)).withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < F.lit(model.threshold)))
 
 
@@ -276,7 +279,7 @@ def choose_threshold(counts: dict[tuple[int, int], int], bins: int, keep_good: f
     return float((int(np.argmax(best)) + 1) / bins) if able.any() else 1.0
 
 
-def _scored(rows: DataFrame, forest: IsolationForest, carried: str) -> DataFrame:
+def _scored(rows: DataFrame, model: RuleModel, carried: str) -> DataFrame:
     """Replace the feature columns (the last ones) by the anomaly score."""
     k = len(FEATURES)
 
@@ -285,6 +288,6 @@ def _scored(rows: DataFrame, forest: IsolationForest, carried: str) -> DataFrame
             if not b.num_rows:
                 continue
             x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns[-k:]])
-            yield pa.RecordBatch.from_arrays([*b.columns[:-k], pa.array(forest.score(x))], names=[*b.schema.names[:-k], "anomaly"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-k], pa.array(model.anomaly(x))], names=[*b.schema.names[:-k], "anomaly"])
 
     return rows.mapInArrow(run, carried + ", anomaly double")
