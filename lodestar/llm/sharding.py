@@ -28,10 +28,10 @@ from .storage import written
 
 
 def ring_owners(spark: SparkSession, shards: int, virtual_nodes: int, positions: int) -> list[tuple[int, int]]:
-    """Sorted (position, shard) of all virtual nodes. It depends on the parameters alone."""
+    """Sorted (position, shard) of all virtual nodes; a shard's nodes do not depend on how many shards there are."""
     nodes = spark.range(shards * virtual_nodes).select(
         F.pmod(F.col("id"), F.lit(shards)).alias("shard"),
-        F.pmod(F.xxhash64(F.lit("virtual node"), F.col("id")), F.lit(positions)).alias("position"),
+        F.pmod(F.xxhash64(F.lit("virtual node"), F.pmod(F.col("id"), F.lit(shards)), F.floor(F.col("id") / shards)), F.lit(positions)).alias("position"),
     )
     return sorted((r.position, r.shard) for r in nodes.collect())
 
