@@ -158,6 +158,8 @@ def fit_language_tree(docs: DataFrame, fit_rows: int, buckets: int, lang_col: st
     each = max(1, fit_rows // len(sizes))
     rates = F.create_map(*[F.lit(v) for code, n in sizes.items() for v in (code, int(min(1.0, each / n) * 1_000_000))])
     taken = known.filter(F.pmod(F.xxhash64(F.lit("lang"), F.col(id_col)), F.lit(1_000_000)) < rates[F.col(lang_col)])
+    # One row for each id: rows that repeat an id many times must not enlarge the sample.
+    taken = taken.select(id_col, lang_col, text_col).dropDuplicates([id_col])
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col, 1 << 20):

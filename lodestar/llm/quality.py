@@ -214,7 +214,7 @@ def fit_rules(
     model = RuleModel(min_words, repeat_percent)
     # One label for each id, so that repeated label rows do not multiply documents; bad wins.
     marks = labels.filter(F.col(quality_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(quality_col).cast("int").alias("good"))
-    labelled = written(stats.filter(~model.base_failed()).join(marks, id_col).select("good", *FEATURES), "labelled-statistics")
+    labelled = written(stats.filter(~model.base_failed()).join(marks, id_col).select("good", *FEATURES, F.xxhash64(F.lit("fit"), F.col(id_col)).alias("place")), "labelled-statistics")
     rows = labelled_rows(labelled, fit_rows)[:, 1:]
     if len(rows) < 2:
         return model
@@ -222,7 +222,7 @@ def fit_rules(
     model.usual = np.array([usual[c] or 0.0 for c in FEATURES])
     model.forest = IsolationForest(np.maximum(rows - model.usual, 0), trees, sample)
     bin_of = F.floor(F.col("anomaly") * bins).cast("int").alias("bin")
-    counts = _scored(labelled, model, "good int").groupBy("good", bin_of).agg(F.count("*").alias("n")).collect()
+    counts = _scored(labelled.select("good", *FEATURES), model, "good int").groupBy("good", bin_of).agg(F.count("*").alias("n")).collect()
     model.threshold = choose_threshold({(r.good, r.bin): r.n for r in counts}, bins, keep_good)
     return model
 
@@ -258,12 +258,13 @@ def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def labelled_rows(labelled: DataFrame, fit_rows: int) -> np.ndarray:
-    """The forest's rows: a seeded sample of at most about ``fit_rows`` labelled rows (quality, then features)."""
+    """The forest's rows: a seeded sample of at most about ``fit_rows`` labelled ids (quality, then features)."""
     n = labelled.count()
     if not n:
         return np.zeros((0, 1 + len(FEATURES)))
-    mark = F.pmod(F.xxhash64(*FEATURES), F.lit(1_000_000)) < int(min(1.0, fit_rows / n) * 1_000_000)
-    pdf = labelled.filter(mark).select(F.col("good").cast("double"), *FEATURES).toPandas()
+    share = int(min(1.0, fit_rows / n) * 1_000_000)
+    taken = labelled.filter(F.pmod("place", F.lit(1_000_000)) < share).dropDuplicates(["place"])
+    pdf = taken.select(F.col("good").cast("double"), *FEATURES).toPandas()
     return pdf.sort_values(list(pdf.columns)).to_numpy(float)
 
 

@@ -184,7 +184,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, positive_rows: int = 6000,
     chosen = _sampled(toxic, sizes.k, positive_rows, id_col).select(F.col(id_col), F.lit(1).alias("toxic"))
     others = _sampled(docs.select(id_col), docs.count(), unlabelled_rows, id_col).select(F.col(id_col)).distinct().withColumn("toxic", F.lit(0))
     chosen = F.broadcast(others.join(F.broadcast(chosen.select(id_col)), id_col, "left_anti").unionByName(chosen))
-    rows = docs.select(F.col(id_col), F.col(text_col)).join(chosen, id_col).select("toxic", text_col)
+    # One row for each id: rows that repeat an id many times must not enlarge the sample.
+    rows = docs.select(F.col(id_col), F.col(text_col)).join(chosen, id_col).dropDuplicates([id_col]).select("toxic", text_col)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen = np.zeros((2, width), np.int64), np.zeros(2, np.int64)
