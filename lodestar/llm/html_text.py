@@ -44,6 +44,8 @@ HINTS = re.compile(
     r"comments?|commentlist|discussion|disqus|replies|respond|cookie\w*|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe\w*|signup|login|search\w*|toolbar|pagination|pager|copyright|legal|navigation|complementary|contentinfo)(?:$|[\s_-])",
     re.I,
 )
+#: Class names that only say whether a page has such a part.
+LAYOUT = re.compile(r"\b(?:has|no|with|without|hide|show|is)[-_][\w-]+", re.I)
 #: Default log odds of a word by its kind, and of any tag, where labelled pages say nothing.
 DEFAULT_WORD = {"frame": -3.0, "hint": -3.0, "link": -1.5, "item": 0.4, "text": 1.0, "head": 0.6}
 DEFAULT_TAG = -0.2
@@ -156,7 +158,7 @@ def blocks_of(page: str) -> list[Block]:
             depth = max((i for i, (x, _) in enumerate(stack) if x == "li"), default=None)
             if depth is not None and not any(x in ("ul", "ol", "menu") for x, _ in stack[depth + 1 :]):
                 pop_to(depth)
-        hint = name not in ("html", "body") and any(HINTS.search(next(filter(None, a), "")) for a in ATTRIBUTE.findall(m[4]))
+        hint = name not in ("html", "body", *MAIN) and any(HINTS.search(LAYOUT.sub(" ", next(filter(None, a), ""))) for a in ATTRIBUTE.findall(m[4]))
         if name in RAW:
             end = re.compile(rf"</{name}\s*[^>]*>", re.I).search(page, at)
             if name not in HIDDEN and name != "title" and not hidden:

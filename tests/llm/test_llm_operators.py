@@ -156,7 +156,7 @@ BODY = """<h1>Title of it</h1><p>First   paragraph with <b>bold</b> and a <a hre
 WANT = "Title of it\n\nFirst paragraph with bold and a link <inside> of it, 5 < 6. Second line\n\nAnother paragraph, as long as the first of them…\n\nUnclosed one with some more words to it\n\nOne item here\n\nTwo items here"
 
 
-@pytest.mark.parametrize("frame", ["<article>%s</article>", "<main>%s</main>", '<div id="content">%s</div>', "<div><div>%s</div></div>"])
+@pytest.mark.parametrize("frame", ["<article>%s</article>", '<main class="main with-sidebar">%s</main>', '<div id="content" class="has-header no-ads">%s</div>', "<div><div>%s</div></div>"])
 def test_main_text_of_a_page(frame):
     assert html_text.main_text(PAGE % (frame % BODY), html_text.Weights()) == WANT
 
