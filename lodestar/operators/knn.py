@@ -45,14 +45,19 @@ def blocks_of(vectors: DataFrame, block_bytes: int) -> list[tuple[int, int]]:
     return list(zip(edges, edges[1:]))
 
 
-def exact_knn(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool = True, block_bytes: int = 64 << 20) -> DataFrame:
+def exact_knn(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool = True, block_bytes: int = 64 << 20, task_pairs: int = 400_000_000) -> DataFrame:
     """(src, rank, dst, dist): the k nearest rows of ``base`` for each row of ``queries`` (both id, vec), by (dist, id).
 
-    Self-matches are excluded by id, not by place, so exact duplicates stay.
+    Self-matches are excluded by id, not by place, so exact duplicates stay. Queries are dealt anew where their
+    partitions would have to measure more than ``task_pairs`` pairs each.
     """
     spark = queries.sparkSession
     parts = []
-    for lo, hi in blocks_of(base, block_bytes):
+    blocks = blocks_of(base, block_bytes)
+    tasks = -(-queries.count() * base.count() // task_pairs) if blocks else 0
+    if tasks > queries.rdd.getNumPartitions():
+        queries = queries.repartition(tasks)
+    for lo, hi in blocks:
         block = base.filter((F.col("id") >= lo) & (F.col("id") < hi)).select("id", "vec").toArrow()
         ids = block["id"].to_numpy()
         order = np.argsort(ids, kind="stable")
