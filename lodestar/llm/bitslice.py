@@ -17,15 +17,23 @@ from .textbatch import mix64
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def bit_planes(prints: np.ndarray) -> np.ndarray:
-    """(rows, words) uint64 fingerprints to (64 * words, blocks) planes; lane i of a block is its i-th row."""
+def bit_planes(prints: np.ndarray, chunk: int = 128) -> np.ndarray:
+    """(rows, words) uint64 fingerprints to (64 * words, blocks) planes; lane i of a block is its i-th row.
+
+    ``chunk`` blocks are spread out to a byte a bit at a time.
+    """
     rows, words = prints.shape
     blocks = -(-rows // 64)
-    padded = np.zeros((blocks * 64, words), np.uint64)
-    padded[:rows] = prints
-    bits = np.unpackbits(padded.view(np.uint8).reshape(blocks * 64, words * 8), axis=1, bitorder="little")
-    lanes = np.packbits(np.ascontiguousarray(bits.T.reshape(words * 64, blocks, 64)), axis=2, bitorder="little")
-    return lanes.reshape(words * 64, blocks * 8).view(np.uint64)
+    planes = np.empty((words * 64, blocks), np.uint64)
+    for at in range(0, blocks, chunk):
+        n = min(chunk, blocks - at)
+        part = np.zeros((n * 64, words), np.uint64)
+        given = prints[at * 64 : (at + n) * 64]
+        part[: len(given)] = given
+        bits = np.unpackbits(part.view(np.uint8).reshape(n * 64, words * 8), axis=1, bitorder="little")
+        lanes = np.packbits(bits.T.reshape(words * 64, n, 64), axis=2, bitorder="little")
+        planes[:, at : at + n] = lanes.reshape(words * 64, n * 8).view(np.uint64)
+    return planes
 
 
 def lanes_within(planes: np.ndarray, block: np.ndarray, prints: np.ndarray, radius: int, check_every: int = 12) -> np.ndarray:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .bitslice import column_counts, group_labels, large_group, mix64_words
 from .components import connected_components
 from .storage import partitions_for, written
-from .textbatch import slices, texts_of
+from .textbatch import give_back, slices, texts_of
 
 #: Shingles that are expanded into bit counts at a time.
 CHUNK = 1 << 16
@@ -167,7 +167,9 @@ def _batches_to_links(words: int, radius: int):
             rows = np.concatenate(prints)
             nodes = rows[:, 0].view(np.int64) if words == 1 else np.frombuffer(b"".join(xxhash.xxh64_digest(r.tobytes(), 42) for r in rows), ">u8").astype(np.uint64).view(np.int64)
             u, v = bucket_links(nodes, rows, np.concatenate(groups), radius)
+            del rows, prints, groups
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+            give_back()
 
     return linked
 
