@@ -32,7 +32,7 @@ def bit_planes(prints: np.ndarray, chunk: int = 128) -> np.ndarray:
         part[: len(given)] = given
         bits = np.unpackbits(part.view(np.uint8).reshape(n * 64, words * 8), axis=1, bitorder="little")
         lanes = np.packbits(bits.T.reshape(words * 64, n, 64), axis=2, bitorder="little")
-        planes[:, at : at + n] = lanes.reshape(words * 64, n * 8).view(np.uint64)
+        planes[:, at : at + n] = np.ascontiguousarray(lanes).reshape(words * 64, n * 8).view(np.uint64)
     return planes
 
 

@@ -267,6 +267,18 @@ def test_bit_sliced_distances(words, radius):
                 assert bool(m >> lane & 1) == (int(np.bitwise_count(rows[i] ^ rows[q]).sum()) <= radius)
 
 
+@pytest.mark.parametrize("words", [1, 2, 10])
+@pytest.mark.parametrize("rows", [1, 63, 64, 65, 128, 200, 520])
+@pytest.mark.parametrize("chunk", [1, 2, 3, 128])
+def test_bit_planes(rows, words, chunk):
+    prints = np.random.default_rng(rows).integers(0, 2**63, size=(rows, words), dtype=np.uint64)
+    planes = bitslice.bit_planes(prints, chunk)
+    assert planes.shape == (64 * words, -(-rows // 64))
+    for i in (0, rows // 2, rows - 1):
+        for b in range(0, 64 * words, 7):
+            assert int(planes[b, i // 64]) >> (i % 64) & 1 == int(prints[i, b // 64]) >> (b % 64) & 1
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 64, 1000])
 def test_vertical_counters(n):
     rng = np.random.default_rng(n)
