@@ -6,6 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths that ``cut`` has written, for ``drop_scratch``.
+_PATHS: list[str] = []
+
 
 def scratch_folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
@@ -15,5 +18,15 @@ def scratch_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write ``df`` and scan it again: ends the lineage of iterative plans and survives lost executors."""
     path = f"{scratch_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    _PATHS.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete what ``cut`` has written so far; to be called once no result that reads it is needed. Returns how many."""
+    n = len(_PATHS)
+    while _PATHS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +11,8 @@ from pyspark.sql import functions as F
 from lodestar.config import IndexConfig
 from lodestar.functions.vectors import l2, nearest
 from lodestar.operators import centroid, connect, evaluate, knn, nndescent, nsg, redistribute, search
-from lodestar.plans import pipeline
+from lodestar.plans import pipeline, scratch
+from lodestar.plans.scratch import cut, drop_scratch
 from lodestar.sources import graph_file, vecs
 from lodestar.streaming.search_stream import search_stream
 
@@ -238,6 +241,17 @@ def test_query_stream(spark, cloud, tmp_path):
     assert spark.read.parquet(out).count() == 5 * q.count()
 
 
+def test_scratch_is_dropped(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "kept"))
+    df = cut(spark.range(5).toDF("x"))
+    path = df.inputFiles()[0].removeprefix("file://")
+    assert df.count() == 5 and os.path.exists(path)
+    held = list(scratch._PATHS)
+    scratch._PATHS[:] = [p for p in held if p in path]
+    assert drop_scratch(spark) == 1 and not os.path.exists(path) and (tmp_path / "kept").exists()
+    scratch._PATHS[:] = [p for p in held if p not in path]
+
+
 def test_config(spark):
     with pytest.raises(ValueError):
         IndexConfig(k=0)
