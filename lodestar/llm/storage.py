@@ -1,31 +1,20 @@
-"""Written intermediate tables in the folder that driver and executors share.
+"""Written intermediate tables in the folder that driver and executors share, and small helpers of the operators.
 
-Lineage is cut with plain Parquet tables, never with executor-local copies: a lost executor
-only means that its tasks are run again from those files.
+Lineage is cut with plain Parquet tables, never with executor-local copies: a lost executor only means that its tasks
+are run again from those files.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset, one below the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return base.rstrip("/")
+from ..plans.scratch import cut
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and return a scan of the files (column pruning keeps working on it)."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return cut(df, label)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
