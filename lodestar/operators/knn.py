@@ -11,10 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import nearest
+from ..functions.vectors import l2_rows, nearest
 from ..plans.scratch import cut
 
 KNN = "src long, rank long, dst long, dist double"
@@ -104,22 +105,51 @@ def edges(graph: DataFrame) -> DataFrame:
     return graph.select(F.col("id").alias("src"), F.explode("neighbors").alias("dst"))
 
 
-def with_distance(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Add ``dist`` to (src, dst) rows by two equi-joins and a numpy kernel."""
+def vector_table(vectors: DataFrame, limit_bytes: int = 256 << 20) -> Broadcast | None:
+    """Sorted ids and their vectors, sent to every executor, if they fit ``limit_bytes``; else None."""
+    r = vectors.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("vec")), F.lit(0)).alias("d")).head()
+    if r.n * (4 * r.d + 8) > limit_bytes:
+        return None
+    rows = vectors.select("id", "vec").toArrow()
+    ids = rows["id"].to_numpy()
+    order = np.argsort(ids, kind="stable")
+    return vectors.sparkSession.sparkContext.broadcast((ids[order], vector_matrix(rows["vec"])[order]))
+
+
+def with_distance(pairs: DataFrame, vectors: DataFrame, table: Broadcast | None = None) -> DataFrame:
+    """Add ``dist`` to rows that have (src, dst), by a numpy kernel.
+
+    With a ``table`` of the vectors the step is narrow; without, the vectors are joined by id. Pairs with an id that
+    has no vector are left out.
+    """
+    rest, types = list(pairs.columns), dict(pairs.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in rest) + ", dist double"
+    if table is not None:
+        at = rest.index("src"), rest.index("dst")
+
+        def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, matrix = table.value
+            for r in batches:
+                if not r.num_rows or not len(ids):
+                    continue
+                src, dst = (r.column(i).to_numpy(zero_copy_only=False) for i in at)
+                x, y = (np.minimum(np.searchsorted(ids, c), len(ids) - 1) for c in (src, dst))
+                known = (ids[x] == src) & (ids[y] == dst)
+                if not known.all():
+                    r, x, y = r.filter(pa.array(known)), x[known], y[known]
+                yield pa.RecordBatch.from_arrays([*r.columns, pa.array(l2_rows(matrix[x], matrix[y]))], names=[*rest, "dist"])
+
+        return pairs.mapInArrow(looked_up, schema)
     a = vectors.select(F.col("id").alias("src"), F.col("vec").alias("a"))
     b = vectors.select(F.col("id").alias("dst"), F.col("vec").alias("b"))
-    joined = pairs.join(a, "src").join(b, "dst")
-    rest = [c for c in pairs.columns]
-    types = dict(pairs.dtypes)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batches:
             if r.num_rows:
-                x, y = vector_matrix(r.column(len(rest))).astype(np.float64), vector_matrix(r.column(len(rest) + 1))
-                d = x - y
-                yield pa.RecordBatch.from_arrays([*r.columns[: len(rest)], pa.array(np.sqrt(np.einsum("ij,ij->i", d, d)))], names=[*rest, "dist"])
+                x, y = vector_matrix(r.column(len(rest))), vector_matrix(r.column(len(rest) + 1))
+                yield pa.RecordBatch.from_arrays([*r.columns[: len(rest)], pa.array(l2_rows(x, y))], names=[*rest, "dist"])
 
-    return joined.select(*rest, "a", "b").mapInArrow(measured, ", ".join(f"`{c}` {types[c]}" for c in rest) + ", dist double")
+    return pairs.join(a, "src").join(b, "dst").select(*rest, "a", "b").mapInArrow(measured, schema)
 
 
 def average_distance(knn: DataFrame) -> DataFrame:

@@ -8,12 +8,13 @@ shuffles on node ids; a node's neighbourhood is bounded by k + the reverse cap,
 
 from __future__ import annotations
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import arithmetic_id, seeded_id
 from ..plans.scratch import cut
-from .knn import top_k, with_distance
+from .knn import top_k, vector_table, with_distance
 
 
 def random_pairs(vectors: DataFrame, degree: int, seed: int = 42) -> DataFrame:
@@ -52,9 +53,9 @@ def random_graph(vectors: DataFrame, degree: int, seed: int = 42) -> DataFrame:
     return vectors.select("id").join(lists, "id", "left").select("id", F.coalesce("neighbors", F.array().cast("array<bigint>")).alias("neighbors"))
 
 
-def initial_knn(vectors: DataFrame, k: int, degree: int, seed: int = 42) -> DataFrame:
+def initial_knn(vectors: DataFrame, k: int, degree: int, seed: int = 42, table: Broadcast | None = None) -> DataFrame:
     """The first lists: random neighbours, measured, best k."""
-    return top_k(with_distance(random_pairs(vectors, degree, seed), vectors), k)
+    return top_k(with_distance(random_pairs(vectors, degree, seed), vectors, table), k)
 
 
 def reverse_edges(knn: DataFrame) -> DataFrame:
@@ -84,20 +85,20 @@ def local_join_pairs(neighbourhood: DataFrame, flagged: bool = False) -> DataFra
     return one.join(two, "pivot").filter((F.col("a") < F.col("b")) & (F.col("new_a") | F.col("new_b"))).select("a", "b").distinct()
 
 
-def candidates(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+def candidates(pairs: DataFrame, vectors: DataFrame, table: Broadcast | None = None) -> DataFrame:
     """Both directions of measured pairs: (src, dst, dist)."""
-    measured = with_distance(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")), vectors)
+    measured = with_distance(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")), vectors, table)
     ends = F.array(F.struct(F.col("src").alias("x"), F.col("dst").alias("y")), F.struct(F.col("dst").alias("x"), F.col("src").alias("y")))
     return measured.select(F.explode(ends).alias("e"), "dist").select(F.col("e.x").alias("src"), F.col("e.y").alias("dst"), "dist")
 
 
-def descent_round(knn: DataFrame, vectors: DataFrame, k: int, cap: int, strict_radius: bool = False, seed: int = 42) -> DataFrame:
+def descent_round(knn: DataFrame, vectors: DataFrame, k: int, cap: int, strict_radius: bool = False, seed: int = 42, table: Broadcast | None = None) -> DataFrame:
     """One round over ``knn`` (src, dst, dist, is_new); the result has the flag set where the neighbour was not there before."""
     forward = knn.select("src", "dst", "is_new")
     reverse = capped_reverse(knn.select("src", "dst", "dist"), cap, seed).select("src", "dst")
     turned = knn.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "is_new")
     around = forward.unionByName(reverse.join(turned, ["src", "dst"])).groupBy("src", "dst").agg(F.max("is_new").alias("is_new"))
-    fresh = candidates(local_join_pairs(around, flagged=True), vectors)
+    fresh = candidates(local_join_pairs(around, flagged=True), vectors, table)
     if strict_radius:
         worst = knn.groupBy("src").agg(F.max("dist").alias("worst"))
         fresh = fresh.join(worst, "src").filter("dist < worst").drop("worst")
@@ -107,12 +108,16 @@ def descent_round(knn: DataFrame, vectors: DataFrame, k: int, cap: int, strict_r
     return merged.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).select("src", "rank", "dst", "dist", (~F.col("was")).alias("is_new"))
 
 
-def nn_descent(vectors: DataFrame, k: int, degree: int = 10, max_rounds: int = 10, cap: int = 100, strict_radius: bool = False, seed: int = 42) -> tuple[DataFrame, int]:
-    """The approximate graph (src, rank, dst, dist) and the rounds used."""
-    knn = cut(initial_knn(vectors, k, degree, seed).withColumn("is_new", F.lit(True)), "nnd")
+def nn_descent(vectors: DataFrame, k: int, degree: int = 10, max_rounds: int = 10, cap: int = 100, strict_radius: bool = False, seed: int = 42, broadcast_bytes: int = 256 << 20) -> tuple[DataFrame, int]:
+    """The approximate graph (src, rank, dst, dist) and the rounds used.
+
+    Distances are looked up in a table of the vectors where that fits ``broadcast_bytes``, else joined by id.
+    """
+    table = vector_table(vectors, broadcast_bytes)
+    knn = cut(initial_knn(vectors, k, degree, seed, table).withColumn("is_new", F.lit(True)), "nnd")
     rounds = 0
     for rounds in range(1, max_rounds + 1):
-        knn = cut(descent_round(knn, vectors, k, cap, strict_radius, seed), "nnd")
+        knn = cut(descent_round(knn, vectors, k, cap, strict_radius, seed, table), "nnd")
         if not knn.filter("is_new").limit(1).count():
             break
     return knn.select("src", "rank", "dst", "dist"), rounds

@@ -94,6 +94,15 @@ def test_nn_descent_recall(cloud):
     assert max(degree.values()) <= 20
 
 
+def test_both_ways_to_measure_agree(spark, cloud):
+    pairs = spark.createDataFrame([(1, 2, "x"), (5, 5, "y"), (7, 299, None), (3, 9999, "no such vector")], "src long, dst long, note string")
+    a, b = (sorted((r.src, r.dst, r.note or "", round(r.dist, 12)) for r in knn.with_distance(pairs, cloud, t).collect()) for t in (None, knn.vector_table(cloud)))
+    assert a == b and len(a) == 3 and knn.vector_table(cloud, 10) is None
+    joined, _ = nndescent.nn_descent(cloud, 5, 5, 2, broadcast_bytes=0)
+    looked_up, _ = nndescent.nn_descent(cloud, 5, 5, 2)
+    assert {tuple(r[:3]) for r in joined.collect()} == {tuple(r[:3]) for r in looked_up.collect()}
+
+
 def test_strict_radius_is_no_better(cloud):
     free, _ = nndescent.nn_descent(cloud, 8, 8, 2)
     strict, _ = nndescent.nn_descent(cloud, 8, 8, 2, strict_radius=True)
