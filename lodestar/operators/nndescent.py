@@ -8,11 +8,15 @@ shuffles on node ids; a node's neighbourhood is bounded by k + the reverse cap,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import arithmetic_id, seeded_id
+from ..functions.vectors import arithmetic_id, l2_rows, seeded_id
 from ..plans.scratch import cut
 from .knn import top_k, vector_table, with_distance
 
@@ -77,12 +81,13 @@ def forward_and_reverse(knn: DataFrame, cap: int) -> DataFrame:
     return knn.select("src", "dst").unionByName(capped_reverse(knn, cap).select("src", "dst")).distinct()
 
 
-def local_join_pairs(neighbourhood: DataFrame, flagged: bool = False) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of nodes that meet at some node; ``flagged``: one of them is new there."""
+def local_join_pairs(neighbourhood: DataFrame, flagged: bool = False, distinct: bool = True) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes that meet at some node; ``flagged``: one of them is new there."""
     flag = F.col("is_new") if flagged else F.lit(True)
     one = neighbourhood.select(F.col("src").alias("pivot"), F.col("dst").alias("a"), flag.alias("new_a"))
     two = neighbourhood.select(F.col("src").alias("pivot"), F.col("dst").alias("b"), flag.alias("new_b"))
-    return one.join(two, "pivot").filter((F.col("a") < F.col("b")) & (F.col("new_a") | F.col("new_b"))).select("a", "b").distinct()
+    pairs = one.join(two, "pivot").filter((F.col("a") < F.col("b")) & (F.col("new_a") | F.col("new_b"))).select("a", "b")
+    return pairs.distinct() if distinct else pairs
 
 
 def candidates(pairs: DataFrame, vectors: DataFrame, table: Broadcast | None = None) -> DataFrame:
@@ -92,13 +97,41 @@ def candidates(pairs: DataFrame, vectors: DataFrame, table: Broadcast | None = N
     return measured.select(F.explode(ends).alias("e"), "dist").select(F.col("e.x").alias("src"), F.col("e.y").alias("dst"), "dist")
 
 
+def improving_candidates(knn: DataFrame, around: DataFrame, k: int, table: Broadcast) -> DataFrame:
+    """(src, dst, dist) from the local join, without those that can't enter a full list of ``k``.
+
+    The farthest distance of each list is sent along: as many numbers as the table has vectors.
+    """
+    worst = knn.groupBy("src").agg(F.max("dist").alias("worst"), F.count("*").alias("n")).filter(F.col("n") >= k).toArrow()
+    ids = table.value[0]
+    radius = np.full(len(ids), np.inf)
+    radius[np.searchsorted(ids, worst["src"].to_numpy())] = worst["worst"].to_numpy()
+    sent = knn.sparkSession.sparkContext.broadcast(radius)
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (ids, matrix), radius = table.value, sent.value
+        for r in batches:
+            if not r.num_rows:
+                continue
+            a, b = (r.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            x, y = np.searchsorted(ids, a), np.searchsorted(ids, b)
+            dist = l2_rows(matrix[x], matrix[y])
+            to_a, to_b = dist <= radius[x], dist <= radius[y]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a[to_a], b[to_b]])), pa.array(np.concatenate([b[to_a], a[to_b]])), pa.array(np.concatenate([dist[to_a], dist[to_b]]))], names=["src", "dst", "dist"])
+
+    return local_join_pairs(around, flagged=True, distinct=False).mapInArrow(measured, "src long, dst long, dist double")
+
+
 def descent_round(knn: DataFrame, vectors: DataFrame, k: int, cap: int, strict_radius: bool = False, seed: int = 42, table: Broadcast | None = None) -> DataFrame:
     """One round over ``knn`` (src, dst, dist, is_new); the result has the flag set where the neighbour was not there before."""
     forward = knn.select("src", "dst", "is_new")
     reverse = capped_reverse(knn.select("src", "dst", "dist"), cap, seed).select("src", "dst")
     turned = knn.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "is_new")
     around = forward.unionByName(reverse.join(turned, ["src", "dst"])).groupBy("src", "dst").agg(F.max("is_new").alias("is_new"))
-    fresh = candidates(local_join_pairs(around, flagged=True), vectors, table)
+    if table is not None and not strict_radius:
+        fresh = improving_candidates(knn, around, k, table)
+    else:
+        fresh = candidates(local_join_pairs(around, flagged=True), vectors, table)
     if strict_radius:
         worst = knn.groupBy("src").agg(F.max("dist").alias("worst"))
         fresh = fresh.join(worst, "src").filter("dist < worst").drop("worst")
