@@ -10,9 +10,11 @@ buckets stay small; every choice is exact. A bucket beyond ``tile_rows`` is deal
 holds an unbounded group. Within a task the bit-sliced comparison finds links, and at most one a row is given
 out, joining each component, never all pairs. Components are found by rounds of large-star and small-star.
 
-``one_of_each_group`` keeps one document of each group for a similarity threshold on the sets of word shingles: a wide
-fingerprint makes the estimate of the similarity sharp (its share of differing bits is the angle between the sets),
-and buckets are samples of its bits, as many as bring a pair at the threshold together with ``recall``.
+``one_of_each_group`` keeps one document of each group for a similarity threshold on the sets of word shingles. A wide
+fingerprint only finds candidates (its share of differing bits estimates the angle between the sets): buckets are
+samples of its bits, as many as bring a pair at the threshold together with ``recall``, and the radius lies well beyond
+the threshold. Texts whose candidates hang together are then compared by their shingle sets themselves, and only pairs
+whose Jaccard similarity reaches the threshold are links.
 
 Defined cases: null, empty and white-space texts have fingerprint zero and are linked like any other; fewer words
 than a shingle make one shingle of all words; repeated rows and equal texts share a fingerprint; an empty table
@@ -220,15 +222,21 @@ def bit_samples(prints: int, bits: int, similarity: float, recall: float, rows_p
 
 
 def wide_prints(docs: DataFrame, words: int, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, text_hash, print): SimHash of ``words`` x 64 bits of the set of shingles; a narrow step."""
+    """(id, text_hash, node, shingles, print): hash, size and SimHash of ``words`` x 64 bits of the set of shingles; a narrow step."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col):
-            prints = [majority(np.unique(shingle_hashes(t, shingle)), words).tobytes() for t in texts_of(part, text_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(prints, pa.binary())], names=[id_col, "text_hash", "print"])
+            nodes, sizes, prints = [], [], []
+            for t in texts_of(part, text_col).to_pylist():
+                own = np.unique(shingle_hashes(t, shingle))
+                nodes.append(xxhash.xxh64_intdigest(own.tobytes(), 42))
+                sizes.append(len(own))
+                prints.append(majority(own, words).tobytes())
+            node = pa.array(np.array(nodes, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), node, pa.array(sizes, pa.int64()), pa.array(prints, pa.binary())], names=[id_col, "text_hash", "node", "shingles", "print"])
 
-    return docs.select(F.col(id_col), F.col(text_col), text_key(text_col).alias("text_hash")).mapInArrow(hashed, f"`{id_col}` {id_type}, text_hash long, print binary")
+    return docs.select(F.col(id_col), F.col(text_col), text_key(text_col).alias("text_hash")).mapInArrow(hashed, f"`{id_col}` {id_type}, text_hash long, node long, shingles long, print binary")
 
 
 def text_key(text_col: str):
@@ -259,10 +267,11 @@ def _sampled_keys(samples: np.ndarray):
     return keyed
 
 
-def similar_links(classes: DataFrame, words: int, similarity: float, recall: float = 0.99, margin: float = 1.4, tile_rows: int = 8192, task_rows: int = 150_000) -> DataFrame:
-    """Links (u, v) between fingerprints (column print) whose differing bits fit a similarity of at least ``similarity``.
+def similar_links(classes: DataFrame, words: int, similarity: float, recall: float = 0.999, margin: float = 4.0, tile_rows: int = 8192, task_rows: int = 150_000) -> DataFrame:
+    """Links (u, v) that join the fingerprints (column print) that may be of sets of at least this ``similarity``.
 
-    The radius lies ``margin`` standard deviations above the mean distance at that similarity.
+    The radius lies ``margin`` standard deviations above the mean distance at that similarity, so many that pairs at
+    the threshold are not missed; pairs below it get in as well.
     """
     spark, bits, n = classes.sparkSession, words * 64, classes.count()
     apart = 1 - shared_bits(similarity)
@@ -277,15 +286,109 @@ def similar_links(classes: DataFrame, words: int, similarity: float, recall: flo
     return rows.mapInArrow(_batches_to_links(words, radius), "u long, v long")
 
 
+def jaccard_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Pairs of sets (distinct values each) of at least this Jaccard similarity that join each component, at most one a set.
+
+    Each set is compared with all that are not yet placed, breadth first; sets that are found leave the comparison.
+    """
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    sets, places = [sets[i] for i in np.flatnonzero(size)], np.flatnonzero(size)
+    size = size[places]
+    if len(sets) < 2:
+        return []
+    values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    mine = np.zeros(len(values), bool)
+    active, flat, pairs, queue = np.arange(len(sets)), codes, [], []
+    while len(active):
+        row = queue.pop() if queue else int(active[0])
+        gone = active == row
+        own = codes[bounds[row] : bounds[row + 1]]
+        mine[own] = True
+        shared = np.add.reduceat(mine[flat], np.cumsum(size[active]) - size[active], dtype=np.int64)
+        mine[own] = False
+        near = (shared / (size[row] + size[active] - shared) >= similarity) & ~gone
+        found = active[near].tolist()
+        pairs += [(int(places[row]), int(places[x])) for x in found]
+        queue += found
+        gone |= near
+        if gone.any():
+            flat = flat[np.repeat(~gone, size[active])]
+            active = active[~gone]
+    return pairs
+
+
+def _proved(shingle: int, similarity: float):
+    """Arrow function over partitions of (grp, node, text) sorted by grp: the links (u, v) between nodes of a group."""
+
+    def links(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        pairs = np.array(jaccard_links(sets, similarity), np.int64).reshape(-1, 2)
+        at = np.array(nodes, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(at[pairs[:, 0]]), pa.array(at[pairs[:, 1]])], names=["u", "v"])
+
+    def proved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, sets = None, {}
+        for part in slices(batches):
+            out = []
+            for g, node, text in zip(*(c.to_pylist() for c in part.columns)):
+                if g != group:
+                    out.append(links(list(sets), list(sets.values())))
+                    group, sets = g, {}
+                if node not in sets:
+                    sets[node] = np.unique(shingle_hashes(text, shingle))
+            if out:
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+        if sets:
+            yield links(list(sets), list(sets.values()))
+
+    return proved
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, ...) without those whose node the partition has had, so that repeated rows are not shuffled."""
+    seen: set[int] = set()
+    for b in batches:
+        keep = []
+        for node in b.column(0).to_pylist():
+            keep.append(node not in seen)
+            seen.add(node)
+        yield b.filter(pa.array(keep, pa.bool_()))
+
+
+def proved_links(docs: DataFrame, sets: DataFrame, roots: DataFrame, shingle: int, similarity: float, broadcast_rows: int, id_col: str, text_col: str, tile_shingles: int = 1 << 19, task_shingles: int = 1 << 21) -> DataFrame:
+    """Links (u, v) that join exactly the sets reachable by steps of at least ``similarity``, within groups of candidates.
+
+    ``sets``: (node, place, shingles, first) with a row of ``docs`` for each distinct set; ``roots``: the groups that the
+    places hang together in. A group with more than ``tile_shingles`` is dealt over pairs of tiles.
+    """
+    sets = sets.join(roots.select(F.col("node").alias("place"), "root"), "place", "left").withColumn("root", F.coalesce("root", "place"))
+    crowds = sets.groupBy("root").agg(F.count("*").alias("n"), F.sum("shingles").alias("total")).filter("n > 1")
+    tiles = F.greatest(F.lit(1), F.ceil(F.col("total") / tile_shingles)).cast("int").alias("tiles")
+    some = written(sets.join(crowds, "root").select("node", "root", tiles, "shingles", F.col("first.id").alias("__id"), F.col("first.h").alias("__h")), "candidates")
+    n, total = some.agg(F.count("*"), F.coalesce(F.sum(F.col("shingles") * F.col("tiles")), F.lit(0))).head()
+    keyed = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), text_key(text_col).alias("__text_hash"))
+    same = keyed[id_col].eqNullSafe(F.col("__id")) & (keyed["__text_hash"] == F.col("__h"))
+    rows = keyed.join(F.broadcast(some) if n <= broadcast_rows else some, same).select("node", "root", "tiles", "text")
+    rows = rows.mapInArrow(_once, rows.schema)
+    tile = F.pmod(F.xxhash64(F.lit("tile"), "node"), F.col("tiles")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: F.struct(F.least(tile, j).alias("i"), F.greatest(tile, j).alias("j")))
+    rows = rows.select("root", "node", "text", F.explode(pairs).alias("pair")).select(F.xxhash64("root", "pair.i", "pair.j").alias("grp"), "node", "text")
+    rows = rows.repartition(partitions_for(docs.sparkSession, total, task_shingles), "grp").sortWithinPartitions("grp")
+    return rows.mapInArrow(_proved(shingle, similarity), "u long, v long")
+
+
 def one_of_each_group(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 10, drop_broadcast: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, without near copies: of each group the row with the smallest id stays.
 
-    Groups are linked by steps of at least ``similarity`` between sets of ``shingle``-word shingles. Texts are not
-    shuffled while the rows to drop number at most ``drop_broadcast``; beyond that they are joined by shuffle.
+    Groups are linked by steps of at least ``similarity`` between sets of ``shingle``-word shingles, each step measured
+    on the sets. Of the texts only one for each distinct set that has candidates is shuffled, while the candidates and
+    the rows to drop number at most ``drop_broadcast`` each; beyond that texts are joined by shuffle.
     """
-    prints = written(wide_prints(docs, words, shingle, id_col, text_col).withColumn("node", F.xxhash64("print")), "wide-prints")
-    classes = written(prints.groupBy("node").agg(F.min("print").alias("print")), "wide-classes")
-    roots = connected_components(similar_links(classes, words, similarity))
+    prints = written(wide_prints(docs, words, shingle, id_col, text_col).withColumn("place", F.xxhash64("print")), "wide-prints")
+    classes = written(prints.groupBy("place").agg(F.min("print").alias("print")), "wide-classes")
+    near = connected_components(similar_links(classes, words, similarity))
+    sets = prints.groupBy("node", "place").agg(F.min("shingles").alias("shingles"), F.min(F.struct(F.col(id_col).alias("id"), F.col("text_hash").alias("h"))).alias("first"))
+    roots = connected_components(proved_links(docs, sets, near, shingle, similarity, drop_broadcast, id_col, text_col))
     grouped = prints.select(id_col, "text_hash", "node").join(roots, "node", "left").select(id_col, "text_hash", F.coalesce("root", "node").alias("root"))
     rows = grouped.groupBy(id_col, "text_hash", "root").agg(F.count("*").alias("times"))
     # The row that stays: the smallest (id, text hash); a minimum is combined before the shuffle, however large the group.

@@ -341,6 +341,52 @@ def test_one_of_each_group(spark):
         assert kept == [*range(6), *range(200, 220), 300]
 
 
+def shifted_pair(rng, size, shift):
+    """Two texts of ``size`` five-word shingles each, the second begun ``shift`` words later; their exact similarity."""
+    words = [f"w{rng.getrandbits(40):x}" for _ in range(size + shift + 4)]
+    return " ".join(words[: size + 4]), " ".join(words[shift:]), (size - shift) / (size + shift)
+
+
+def test_one_of_each_group_measures_the_sets(spark):
+    rng = random.Random(5)
+    rows, dropped = [], []
+    for size, shift in [(119, 21), (126, 18), (126, 14), (182, 18)]:  # 0.7, 0.75, 0.8, 0.82
+        for _ in range(30):
+            a, b, similarity = shifted_pair(rng, size, shift)
+            if similarity >= 0.8:
+                dropped.append(len(rows) + 1)
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.one_of_each_group(docs).collect()}
+    assert sorted(set(range(len(rows))) - kept) == dropped
+
+
+@pytest.mark.parametrize("tile", [1 << 19, 300])
+def test_proved_links_by_brute_force(spark, tile):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[(at := rng.randrange(300)) : at + rng.randrange(60, 90)]) for _ in range(120)] + ["", "one"]
+    sets = [frozenset(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    printed = simhash.wide_prints(docs, 2, 5, "doc_id", "text").withColumn("place", F.lit(0).cast("long"))
+    first = F.min(F.struct(F.col("doc_id").alias("id"), F.col("text_hash").alias("h"))).alias("first")
+    node = {r.doc_id: r.node for r in printed.collect()}
+    classes = printed.groupBy("node", "place").agg(F.min("shingles").alias("shingles"), first)
+    near = spark.createDataFrame([], "node long, root long")
+    roots = {r.node: r.root for r in connected_components(simhash.proved_links(docs, classes, near, 5, 0.8, 1000, "doc_id", "text", tile_shingles=tile)).collect()}
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                a, b = label[i], label[j]
+                label = [b if x == a else x for x in label]
+    want, got = collections.defaultdict(set), collections.defaultdict(set)
+    for i in range(len(texts)):
+        want[label[i]].add(i)
+        got[roots.get(node[i], node[i])].add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
 # Quality
 
 
