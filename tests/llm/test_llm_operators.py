@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import html
+import inspect
 import math
 import os
 import random
@@ -361,6 +362,21 @@ def test_one_of_each_group_measures_the_sets(spark):
     assert sorted(set(range(len(rows))) - kept) == dropped
 
 
+@pytest.mark.parametrize("size, shift, least, most", [(117, 13, 0.995, 1.0), (119, 21, 0.0, 0.84)])  # similarity 0.8 and 0.7
+def test_candidates_are_sharp_and_miss_next_to_nothing(size, shift, least, most):
+    words = inspect.signature(simhash.one_of_each_group).parameters["words"].default
+    margin = inspect.signature(simhash.similar_links).parameters["margin"].default
+    apart = 1 - simhash.shared_bits(0.8)
+    radius = int(words * 64 * apart + margin * math.sqrt(words * 64 * apart * (1 - apart)))
+    rng = np.random.default_rng(3)
+    near = 0
+    for _ in range(500):
+        h = rng.integers(0, 2**64, size + shift, dtype=np.uint64)
+        differ = simhash.majority(h[:size], words) ^ simhash.majority(h[shift:], words)
+        near += np.unpackbits(differ.view(np.uint8)).sum() <= radius
+    assert least <= near / 500 <= most
+
+
 @pytest.mark.parametrize("tile", [1 << 19, 300])
 def test_proved_links_by_brute_force(spark, tile):
     rng = random.Random(7)
