@@ -23,15 +23,29 @@ def l2_rows(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def nearest(queries: np.ndarray, base: np.ndarray, ids: np.ndarray, k: int, slack: int = 16) -> tuple[np.ndarray, np.ndarray]:
     """The k nearest base rows of each query by (distance, id): (positions, distances).
 
-    A matrix product ranks candidates; the best k + slack are measured exactly, which settles rounding and ties.
+    A matrix product ranks candidates; the best k + slack are measured exactly, which settles rounding and ties. Where
+    more rows than these may tie with the k-th, all that lie within the rounding of the product are measured.
     """
     q, b = queries.astype(np.float64), base.astype(np.float64)
-    rough = (b * b).sum(1)[None, :] - 2.0 * (q @ b.T)
+    squares = (b * b).sum(1)
+    rough = squares[None, :] - 2.0 * (q @ b.T)
     take = min(len(b), k + slack)
     part = np.argpartition(rough, take - 1, axis=1)[:, :take] if take < len(b) else np.broadcast_to(np.arange(len(b)), rough.shape)
     dist = l2_rows(q[:, None, :], b[part])
     order = np.lexsort((ids[part], dist), axis=1)[:, :k]
-    return np.take_along_axis(part, order, 1), np.take_along_axis(dist, order, 1)
+    place, dist = np.take_along_axis(part, order, 1), np.take_along_axis(dist, order, 1)
+    if not 0 < k <= take < len(b):
+        return place, dist
+    # Rounding of the product and of the exact distances, for each query against the longest base row.
+    reach = np.sqrt((q * q).sum(1)) + np.sqrt(squares.max())
+    bound = 8 * (q.shape[1] + 4) * np.finfo(np.float64).eps * reach * reach
+    limit = np.take_along_axis(rough, place, 1).max(1) + bound
+    for i in np.flatnonzero(np.take_along_axis(rough, part, 1).max(1) <= limit).tolist():
+        some = np.flatnonzero(rough[i] <= limit[i])
+        exact = l2_rows(q[i][None, :], b[some])
+        best = np.lexsort((ids[some], exact))[:k]
+        place[i], dist[i] = some[best], exact[best]
+    return place, dist
 
 
 def seeded_id(n: int, *parts: str | Column) -> Column:

@@ -65,6 +65,18 @@ def test_rank_by_product_is_exact():
         assert place[i].tolist() == want
 
 
+def test_more_ties_than_slack_are_broken_by_id():
+    rng = np.random.default_rng(2)
+    base = np.concatenate([np.repeat(rng.normal(size=(1, 16)), 600, axis=0), rng.normal(size=(1400, 16))]).astype(np.float32)
+    base = base[rng.permutation(2000)]
+    ids = np.arange(2000) * 3
+    place, dist = nearest(base[:200], base, ids, 11)
+    for i in range(200):
+        full = np.sqrt(((base[i].astype(float) - base) ** 2).sum(-1))
+        assert place[i].tolist() == sorted(range(2000), key=lambda j: (full[j], ids[j]))[:11]
+        assert np.allclose(dist[i], full[place[i]])
+
+
 def test_l2_expression(spark):
     df = spark.createDataFrame([([0.0, 3.0], [4.0, 0.0]), ([1.0], [1.0, 2.0])], "a array<float>, b array<float>")
     assert [r[0] for r in df.select(l2("a", "b")).collect()] == [5.0, None]
