@@ -49,15 +49,22 @@ def _class_counts(texts: pa.Array) -> dict[str, np.ndarray]:
     return out
 
 
-def repeated_words(words: Words, window: int = 3) -> np.ndarray:
-    """Words of each text that lie in a window of words found twice or more in the text."""
-    if len(words.vocab) >= 1 << 21:
-        raise ValueError("more distinct words in a slice than three ids of 21 bits hold")
+def window_codes(ids: np.ndarray, size: int, bits: int = 21) -> np.ndarray:
+    """One number for each run of three ids (each below ``size``), equal for equal runs only."""
+    if size <= 1 << bits:
+        return (ids[:-2] << 2 * bits) | (ids[1:-1] << bits) | ids[2:]
+    # Pairs are numbered anew: there are fewer of them than positions, so a pair and an id fit into 63 bits.
+    pair = np.unique(ids[:-1] * size + ids[1:], return_inverse=True)[1]
+    return pair[:-1] * size + ids[2:]
+
+
+def repeated_words(words: Words, window: int = 3, bits: int = 21) -> np.ndarray:
+    """Words of each text that lie in a window of three words found twice or more in the text."""
     ids, counts, starts = words.ids, words.counts, words.offsets[:-1]
     out = np.zeros(len(counts), np.int64)
     if len(ids) < window:
         return out
-    grams = (ids[:-2] << 42) | (ids[1:-1] << 21) | ids[2:]
+    grams = window_codes(ids, len(words.vocab), bits)
     for i in np.flatnonzero(counts > window).tolist():
         a, n = int(starts[i]), int(counts[i])
         own = grams[a : a + n - window + 1]
