@@ -1,7 +1,7 @@
 """Toxicity (operator 1): non-negative positive-unlabelled learning of a linear classifier.
 
-Confirmed toxic texts are the positives; every other text of the training side counts as unlabelled, whatever its
-label. The risk is that of Kiryo et al. (2017): with prior p, p R+(1) + max(0, R_u(0) - p R+(0)); where the
+Confirmed toxic texts are the positives; the unlabelled texts are drawn from the whole training side, whatever their
+labels (positives too: the risk estimator wants the marginal distribution there). The risk is that of Kiryo et al. (2017): with prior p, p R+(1) + max(0, R_u(0) - p R+(0)); where the
 corrected negative risk falls below zero, a step is taken that raises it again, so the model does not learn the
 unlabelled texts by heart. Features say whether a text has a hashed word, or words with a hashed beginning, once,
 twice or more, or four times or more. The few with the largest evidence are kept.
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ngrams import bare_words
-from .textbatch import Words, mix64, slices, texts_of, word_bytes
+from .textbatch import Words, mix64, slices, texts_of, word_bytes, word_hashes
 
 #: Lengths in bytes of the beginnings of words that are features, beside whole words.
 PREFIXES = (4, 5, 6, 7, 8, 9)
@@ -38,16 +38,15 @@ def word_features(words: pa.Array, buckets: int) -> np.ndarray:
     n, size = len(words), np.diff(bounds)
     out = np.full((n, 1 + len(PREFIXES)), -1, np.int64)
     state = np.full(n, 0x51ED270B, np.uint64)
-    longest = int(size.max(initial=0))
     live = np.arange(n)
-    for i in range(longest):
+    for i in range(max(PREFIXES)):
         live = live[size[live] > i]
         state[live] = mix64(state[live] * np.uint64(0x100000001B3) + raw[bounds[live] + i].astype(np.uint64) + np.uint64(1))
         if i + 1 in PREFIXES:
             more = live[size[live] > i + 1]
             out[more, 1 + PREFIXES.index(i + 1)] = (mix64(state[more] ^ np.uint64(0xA5A5)) % np.uint64(buckets)).astype(np.int64)
     some = size > 0
-    out[some, 0] = (state[some] % np.uint64(buckets)).astype(np.int64)
+    out[some, 0] = (word_hashes(words, 0x51ED)[some] % np.uint64(buckets)).astype(np.int64)
     return out
 
 
@@ -183,9 +182,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, positive_rows: int = 6000,
     # Both samples are bounded by parameters, so the ids are small enough to be sent to every executor.
     chosen = _sampled(toxic, sizes.k, positive_rows, id_col).select(F.col(id_col), F.lit(1).alias("toxic"))
     others = _sampled(docs.select(id_col), docs.count(), unlabelled_rows, id_col).select(F.col(id_col)).distinct().withColumn("toxic", F.lit(0))
-    chosen = F.broadcast(others.join(F.broadcast(chosen.select(id_col)), id_col, "left_anti").unionByName(chosen))
-    # One row for each id: rows that repeat an id many times must not enlarge the sample.
-    rows = docs.select(F.col(id_col), F.col(text_col)).join(chosen, id_col).dropDuplicates([id_col]).select("toxic", text_col)
+    chosen = F.broadcast(others.unionByName(chosen))
+    # One row for each id and side: rows that repeat an id many times must not enlarge the sample.
+    rows = docs.select(F.col(id_col), F.col(text_col)).join(chosen, id_col).dropDuplicates([id_col, "toxic"]).select("toxic", text_col)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen = np.zeros((2, width), np.int64), np.zeros(2, np.int64)
@@ -215,20 +214,20 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, positive_rows: int = 6000,
         for part in slices(batches, text_col):
             doc, feature = document_features(texts_of(part, text_col), buckets, place >= 0)
             start = np.searchsorted(doc, np.arange(part.num_rows + 1))
-            cells = [np.sort(place[feature[a:b]]).astype(np.int16).tobytes() for a, b in zip(start, start[1:])]
+            cells = [np.sort(place[feature[a:b]]).astype(np.int32).tobytes() for a, b in zip(start, start[1:])]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cells, pa.binary())], names=["toxic", "cells"])
 
     # At most positive_rows + unlabelled_rows rows of kept features.
     got = rows.mapInArrow(featured, "toxic int, cells binary").toArrow()
     sides: dict[int, list[np.ndarray]] = {1: [], 0: []}
     for side, cells in sorted(zip(got["toxic"].to_pylist(), got["cells"].to_pylist())):
-        sides[side].append(np.frombuffer(cells, np.int16))
+        sides[side].append(np.frombuffer(cells, np.int32))
 
     def matrix(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
         return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists).astype(np.int64), len(lists)
 
-    # Balanced as toxic texts are among labelled ones: the prior of the unlabelled side.
-    model = NonNegativePU(min(0.5, max(1e-3, sizes.k / sizes.n)), len(kept)).fit(matrix(sides[1]), matrix(sides[0]))
+    # The class prior: the share of toxic ones among all labelled ids.
+    model = NonNegativePU(min(0.99, max(1e-3, sizes.k / sizes.n)), len(kept)).fit(matrix(sides[1]), matrix(sides[0]))
     weights = np.zeros(width)
     weights[kept] = model.w[:-1]
     return ToxicityModel(buckets, weights, float(model.w[-1]))
