@@ -10,7 +10,8 @@ a row. Rows are counted by ring position, and the walk clockwise runs on these c
 ring has positions, a parameter). It gives each position a few intervals of ranks with their shard. A row's rank
 within its position is found without bringing a position's rows together: positions are cut into cells by a hash
 of the id, in as many cells as the fullest position needs, ranks are taken within a cell and the sums of earlier
-cells are added. A text that holds a third of all rows is thus spread over many cells.
+cells are added. A text that holds a third of all rows is thus spread over many cells; rows of one id that alone would
+overfill a cell (repeated or null ids) are salted with the number they were written under.
 
 Defined cases: a null or empty text has size 8 and crc 0; rows with a null id or repeated rows are placed each
 for themselves; an empty table gives an empty one; other columns are ignored whatever their names.
@@ -84,6 +85,7 @@ def shard(docs: DataFrame, shards: int = 24, virtual_nodes: int = 64, positions:
         (F.octet_length(text).cast("long") + 8).alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.pmod(F.xxhash64(text), F.lit(positions)).alias("position"),
+        F.monotonically_increasing_id().alias("written"),
     )
     keyed = written(keyed, "shard-keys")
     counts = {r.position: r.n for r in keyed.groupBy("position").agg(F.count("*").alias("n")).collect()}  # at most `positions` rows
@@ -97,11 +99,15 @@ def shard(docs: DataFrame, shards: int = 24, virtual_nodes: int = 64, positions:
 
     cell_rows = max(1000, rows // (4 * positions))
     cells = max(1, -(-max(counts.values(), default=1) // cell_rows))
-    keyed = keyed.withColumn("cell", F.pmod(F.xxhash64(F.lit("cell"), F.col(id_col)), F.lit(cells)))
+    # At most rows / cell_rows ids can overfill a cell on their own: no more than 4 x positions.
+    hot = keyed.groupBy(F.col("position").alias("hot_position"), F.col(id_col).alias("hot_id")).agg(F.count("*").alias("times")).filter(F.col("times") > cell_rows)
+    same = (F.col("position") == F.col("hot_position")) & F.col(id_col).eqNullSafe(F.col("hot_id"))
+    salt = F.when(F.col("times").isNotNull(), F.col("written")).otherwise(0)
+    keyed = keyed.join(F.broadcast(hot), same, "left").withColumn("cell", F.pmod(F.xxhash64(F.lit("cell"), F.col(id_col), salt), F.lit(cells))).drop("hot_position", "hot_id", "times")
     earlier = Window.partitionBy("position").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     base = keyed.groupBy("position", "cell").agg(F.count("*").alias("n")).select("position", "cell", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     within = Window.partitionBy("position", "cell").orderBy(id_col, "text_crc32", "size")
-    ranked = keyed.withColumn("place", F.row_number().over(within) - 1).join(base, ["position", "cell"])
+    ranked = keyed.drop("written").withColumn("place", F.row_number().over(within) - 1).join(base, ["position", "cell"])
     ranked = ranked.withColumn("rank", F.col("before") + F.col("place")).join(F.broadcast(ring), "position")
     part = F.filter("parts", lambda p: (F.col("rank") >= p["lo"]) & (F.col("rank") < p["hi"]))[0]
     return ranked.withColumn("part", part).select(
