@@ -4,11 +4,21 @@ A page is read as a sequence of blocks. Words score by the kind of block they st
 link text, whether an ancestor is a menu, footer, advert ...), tags score negative; the weights are log odds of lying
 inside the main text, counted on labelled pages: a bounded sample (``fit_rows``) of pages that mark their main
 element themselves. One linear scan finds the contiguous region with the largest sum. Blocks inside it that belong to
-menus, adverts, forms, comments and the like are left out; everything else there is kept.
+menus, adverts, forms, comments and the like are left out at no cost; everything else there is kept.
+
+What belongs to the page's frame: content of nav, aside, footer, menu and search elements, of forms and dialogs, of
+headers outside the main element (an article's own header is part of it), and of elements whose class, id or role says
+so. Class words that articles use as well (``DOUBTFUL``) only tell outside the main element, or where most of the block
+is link text, and labelled pages overrule them. An article or main element is not frame because it stands in a form, a
+dialog or an element with a class of the page's layout; where all text of a page stands in such, that counts as none.
+
+Reading takes time in proportion to the page: what is open is kept as running state, and what can't end (a quoted
+value, a tag) is looked for once.
 
 Defined cases: a null or empty page, and one without a block that scores above zero, has the empty text; markup may be
-broken (unclosed or crossed elements, a lone "<"); without labelled pages fixed default weights are used; repeated rows
-get equal results; an empty table gives an empty one; other columns are ignored whatever their names.
+broken (unclosed or crossed elements, a lone "<"; a comment without an end reaches to the end of the page); without
+labelled pages fixed default weights are used; repeated rows get equal results; an empty table gives an empty one; other
+columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -18,6 +28,8 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,69 +46,120 @@ RAW = frozenset("script style textarea noscript iframe template xmp noembed nofr
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: They begin and end blocks.
 BLOCK = frozenset("html body article section nav aside header footer main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption form fieldset address details summary hr center dialog menu search hgroup".split())
-#: Elements of the page's frame.
-FRAME = frozenset("nav aside header footer form menu dialog search fieldset".split())
+#: Elements of the page's frame, wherever they stand.
+FRAME = frozenset("nav aside footer menu search".split())
+#: Frame as well, but an article or main element inside them is none.
+WRAPPERS = frozenset("form fieldset dialog".split())
 #: A page marks its main text by these.
 MAIN = frozenset(["article", "main"])
-#: Parts of class names, ids and roles that mark what is not main text.
-HINTS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|sidebar|side|widget\w*|related|recommend\w*|share|sharing|social|"
-    r"comments?|commentlist|discussion|disqus|replies|respond|cookie\w*|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe\w*|signup|login|search\w*|toolbar|pagination|pager|copyright|legal|navigation|complementary|contentinfo)(?:$|[\s_-])",
+#: Parts of class names, ids and roles that mark what is not main text; an article or main element inside is none either.
+SURE_INSIDE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|sidebar|comments?|commentlist|discussion|disqus|replies|respond)(?:$|[\s_-])", re.I)
+#: Parts that mark what is not main text, unless an article or main element stands inside.
+SURE = re.compile(
+    r"(?:^|[\s_-])(?:nav\w*|menu\w*|breadcrumbs?|masthead|footer|share|sharing|social|cookie\w*|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe\w*|signup|login|toolbar|pagination|pager|"
+    r"copyright|contentinfo)(?:$|[\s_-])",
     re.I,
 )
+#: Parts that articles use as well.
+DOUBTFUL = re.compile(r"(?:^|[\s_-])(header|banner|side|widget\w*|related|recommend\w*|overlay|search\w*|legal|complementary)(?:$|[\s_-])", re.I)
 #: Class names that only say whether a page has such a part.
 LAYOUT = re.compile(r"\b(?:has|no|with|without|hide|show|is)[-_][\w-]+", re.I)
 #: Default log odds of a word by its kind, and of any tag, where labelled pages say nothing.
-DEFAULT_WORD = {"frame": -3.0, "hint": -3.0, "link": -1.5, "item": 0.4, "text": 1.0, "head": 0.6}
+DEFAULT_WORD = {"frame": -3.0, "link": -1.5, "item": 0.4, "text": 1.0, "head": 0.6}
 DEFAULT_TAG = -0.2
-
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: What a word gains by standing in a main element, whatever its kind.
+MAIN_BONUS = 1.5
+#: Words that text in forms and such must have to count as main text, on a page without other.
+LEAST_WRAPPED = 30
+
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+VALUE = re.compile(r">|=\s*([\"'])")
+COMMENT_END = re.compile(r"--!?>")
+UNQUOTED_SLASH = re.compile(r"=[^\s\"'=]*/$")
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
 class Block:
-    """A block of text with what the scan needs: its kind, its words, its link words, the tags before it."""
-
-    __slots__ = ("kind", "link_words", "main", "parts", "tags", "text", "words")
-
-    def __init__(self, kind: str, main: bool, tags: list[str]):
-        self.kind, self.main, self.tags, self.parts, self.link_words, self.text, self.words = kind, main, tags, [], 0, "", 0
-
-
-def _kind(stack: list[tuple[str, bool]]) -> str:
-    inside_main = False
-    for name, hint in reversed(stack):
-        if hint:
-            return "hint"
-        if name in FRAME and not (name == "header" and inside_main):
-            return "frame"
-        inside_main |= name in MAIN
-    for name, _ in reversed(stack):
-        if name in BLOCK:
-            if name[0] == "h" and name[1:].isdigit():
-                return "head"
-            return "item" if name in ("li", "td", "th", "dt", "dd") else "text"
-    return "text"
+    """A block of text with what the scan needs: its kind, what it stands in, its words, its link words, the tags before it."""
+
+    __slots__ = ("doubt", "frame", "kind", "link_words", "main", "parts", "tags", "text", "words")
+
+    def __init__(self, place: Place, tags: list[str]):
+        self.kind, self.frame, self.doubt, self.main = place.kind, place.frame, place.doubt, place.main
+        self.tags, self.parts, self.link_words, self.text, self.words = tags, [], 0, "", 0
+
+
+class Place(NamedTuple):
+    """What an open element and its ancestors say about text in it."""
+
+    name: str = ""
+    kind: str = "text"  # head, item or text
+    frame: str = ""  # "": none; "wrapped": frame, unless a main element stands inside; "sure"
+    doubt: str = ""  # a doubtful class word
+    main: bool = False
+
+
+def class_marks(attributes: str) -> tuple[str, str]:
+    """(frame, doubt) that the class, id and role of an element tell."""
+    frame, doubt = "", ""
+    for found in ATTRIBUTE.findall(attributes):
+        value = LAYOUT.sub(" ", found[0] or found[1] or found[2])
+        if SURE_INSIDE.search(value):
+            return "sure", ""
+        if SURE.search(value):
+            frame = "wrapped"
+        elif m := DOUBTFUL.search(value):
+            doubt = m[1].lower()
+    return frame, doubt
+
+
+_short_marks = lru_cache(1 << 14)(class_marks)
+
+
+def inner(place: Place, name: str, attributes: str) -> Place:
+    """The place inside a new element."""
+    kind, frame, doubt, main = place.kind, place.frame, place.doubt, place.main
+    if name in BLOCK:
+        kind = "head" if name[0] == "h" and name[1:].isdigit() else "item" if name in ("li", "td", "th", "dt", "dd") else "text"
+    if name in MAIN:
+        if frame != "sure":
+            frame = doubt = ""
+        return Place(name, kind, frame, doubt, True)
+    if name in FRAME:
+        frame = "sure"
+    elif (name in WRAPPERS or name == "header" and not main) and not frame:
+        frame = "wrapped"
+    if attributes and name not in ("html", "body"):
+        of_class, new_doubt = _short_marks(attributes) if len(attributes) < 256 else class_marks(attributes)
+        frame = "sure" if "sure" in (frame, of_class) else frame or of_class
+        doubt = doubt or ("" if new_doubt == "header" and main else new_doubt)
+    return Place(name, kind, frame, doubt, main)
 
 
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in its order; empty blocks only pass their tags on."""
     out: list[Block] = []
-    stack: list[tuple[str, bool]] = []
+    stack: list[Place] = [Place()]
+    opened: Counter = Counter()  # open elements by name
+    blocks: list[int] = []  # places of open BLOCK elements on the stack
+    lists: list[int] = []  # and of open lists and their items
     block: Block | None = None
     tags: list[str] = []
     hidden = links = 0
     at, n = 0, len(page)
+    last = page.rfind(">")  # beyond it no tag can end
+    quotes = True  # False once a quoted value had no end: from there on a tag ends at the next ">"
 
     def close() -> None:
         nonlocal block, tags
         if block is not None:
             text = " ".join(html.unescape("".join(block.parts)).split())
             if text:
-                block.text, block.words = text, text.count(" ") + 1
+                block.text, block.words, block.parts = text, text.count(" ") + 1, []
                 out.append(block)
             else:
-                tags = block.tags + tags
+                block.tags += tags
+                tags = block.tags
         block = None
 
     def characters(text: str) -> None:
@@ -106,7 +169,7 @@ def blocks_of(page: str) -> list[Block]:
         if block is None:
             if text.isspace():
                 return
-            block, tags = Block(_kind(stack), any(name in MAIN for name, _ in stack), tags), []
+            block, tags = Block(stack[-1], tags), []
         block.parts.append(text)
         if links:
             block.link_words += len(text.split())
@@ -114,9 +177,30 @@ def blocks_of(page: str) -> list[Block]:
     def pop_to(depth: int) -> None:
         nonlocal hidden, links
         while len(stack) > depth:
-            name, _ = stack.pop()
+            name = stack.pop().name
+            opened[name] -= 1
             hidden -= name in HIDDEN
             links -= name == "a"
+        while blocks and blocks[-1] >= depth:
+            blocks.pop()
+        while lists and lists[-1] >= depth:
+            lists.pop()
+
+    def tag_end(start: int) -> int:
+        """Where the tag whose attributes begin at ``start`` has its ">"."""
+        nonlocal quotes
+        where = start
+        while quotes:
+            m = VALUE.search(page, where)
+            if m is None:
+                break
+            if m[1] is None:
+                return m.start()
+            where = page.find(m[1], m.end()) + 1
+            if not where:
+                break
+        quotes = False
+        return page.find(">", start)
 
     while at < n:
         lt = page.find("<", at)
@@ -125,17 +209,35 @@ def blocks_of(page: str) -> list[Block]:
             break
         if lt > at:
             characters(page[at:lt])
-        m = TOKEN.match(page, lt)
-        if m is None:
+        if page.startswith("<!--", lt):
+            if page.startswith((">", "->"), lt + 4):
+                at = page.index(">", lt) + 1
+            else:
+                m = COMMENT_END.search(page, lt + 4)
+                at = m.end() if m else n
+            continue
+        if page.startswith("<![CDATA[", lt):
+            end = page.find("]]>", lt)
+            characters(page[lt + 9 : end if end >= 0 else n])
+            at = end + 3 if end >= 0 else n
+            continue
+        if lt > last:  # no tag any more
+            if page.startswith(("<!", "<?"), lt):
+                break
+            characters(page[lt:])
+            break
+        if page.startswith(("<!", "<?"), lt):
+            at = page.index(">", lt) + 1
+            continue
+        m = NAME.match(page, lt)
+        end = tag_end(m.end()) if m else -1
+        if end < 0:
             characters("<")
             at = lt + 1
             continue
-        at = m.end()
-        if m[3] is None:
-            if m[1]:
-                characters(m[1])
-            continue
-        name, closing = m[3].lower(), bool(m[2])
+        at = end + 1
+        attributes = page[m.end() : end]
+        name, closing = m[2].lower(), bool(m[1])
         if name in BLOCK:
             close()
         elif name == "br":
@@ -143,57 +245,72 @@ def blocks_of(page: str) -> list[Block]:
         if not hidden:
             tags.append(name)
         if closing:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == name:
-                    pop_to(depth)
-                    break
+            if opened[name]:
+                while stack[-1].name != name:
+                    pop_to(len(stack) - 1)
+                pop_to(len(stack) - 1)
             continue
-        if name in VOID or m[4].endswith("/"):
+        if name in VOID or attributes.endswith("/") and not UNQUOTED_SLASH.search(attributes):
             continue
-        if name in BLOCK and name != "p" and stack and stack[-1][0] == "p" or name == "p" and any(x == "p" for x, _ in stack):
-            depth = max((i for i, (x, _) in enumerate(stack) if x == "p"), default=None)
-            if depth is not None and not any(x in BLOCK for x, _ in stack[depth + 1 :]):
-                pop_to(depth)
-        if name == "li":
-            depth = max((i for i, (x, _) in enumerate(stack) if x == "li"), default=None)
-            if depth is not None and not any(x in ("ul", "ol", "menu") for x, _ in stack[depth + 1 :]):
-                pop_to(depth)
-        hint = name not in ("html", "body", *MAIN) and any(HINTS.search(LAYOUT.sub(" ", next(filter(None, a), ""))) for a in ATTRIBUTE.findall(m[4]))
+        if name in BLOCK and blocks and stack[blocks[-1]].name == "p":  # a block ends an open paragraph
+            pop_to(blocks[-1])
+        if name == "li" and lists and stack[lists[-1]].name == "li":
+            pop_to(lists[-1])
         if name in RAW:
-            end = re.compile(rf"</{name}\s*[^>]*>", re.I).search(page, at)
+            if name not in _RAW_ENDS:
+                _RAW_ENDS[name] = re.compile(rf"</{name}\s*[^>]*>", re.I)
+            found = _RAW_ENDS[name].search(page, at)
             if name not in HIDDEN and name != "title" and not hidden:
-                characters(page[at : end.start() if end else n])
-            at = end.end() if end else n
+                characters(page[at : found.start() if found else n])
+            at = found.end() if found else n
             continue
-        stack.append((name, hint))
+        if name == "body" and hidden:  # an unclosed head ends where the body begins
+            pop_to(1)
+        if name in BLOCK:
+            blocks.append(len(stack))
+        if name in ("ul", "ol", "menu", "li"):
+            lists.append(len(stack))
+        stack.append(inner(stack[-1], name, attributes))
+        opened[name] += 1
         hidden += name in HIDDEN
         links += name == "a"
-        if name == "body" and hidden:  # an unclosed head ends where the body begins
-            pop_to(len(stack) - 1)
-            stack[:] = [x for x in stack if x[0] not in HIDDEN]
-            hidden = 0
-            stack.append(("body", False))
     close()
     return out
 
 
+_RAW_ENDS: dict[str, re.Pattern] = {}
+
+
 class Weights:
-    """Log odds of words by kind and of tags by name."""
+    """Log odds of words by kind, of tags by name, and of words under a doubtful class word."""
 
     def __init__(self, counts: dict[tuple[str, str], tuple[int, int]] | None = None, limit: float = 3.0, smooth: float = 5.0):
-        self.word, self.tag = dict(DEFAULT_WORD), {}
+        self.word, self.tag, self.doubt = dict(DEFAULT_WORD), {}, {}
         for (sort, name), (inside, outside) in (counts or {}).items():
             odds = max(-limit, min(limit, math.log((inside + smooth) / (outside + smooth))))
             if sort == "word":
                 self.word[name] = odds
+            elif sort == "doubt":
+                self.doubt[name] = odds
             else:
                 self.tag[name] = min(-0.02, max(-1.0, odds))  # tags are never evidence for text
 
-    def block(self, b: Block) -> float:
-        own = self.word[b.kind]
-        if b.kind in ("frame", "hint"):  # left out of the text anyway: an advert amid an article must not cut it in two
-            return own * min(b.words, 2)
-        link = min(self.word["link"], own)
+    def leaves_out(self, b: Block, wrapped: bool = True) -> bool:
+        """Whether a block is of the page's frame; ``wrapped``: forms and doubtful class words say so too."""
+        if b.frame == "sure" or b.frame and wrapped:
+            return True
+        if not b.doubt or not wrapped:
+            return False
+        if b.main and 2 * b.link_words < b.words:
+            return False
+        return self.doubt.get(b.doubt, -1.0) <= 0
+
+    def block(self, b: Block, left_out: bool) -> float:
+        if left_out:  # left out of the text anyway: what is amid an article must not cut it in two
+            return 0.0 if b.main else self.word["frame"] * min(b.words, 2)
+        bonus = MAIN_BONUS if b.main else 0.0
+        own = self.word[b.kind] + bonus
+        link = min(self.word["link"] + bonus, own)
         return own * (b.words - b.link_words) + link * b.link_words if b.link_words <= b.words else link * b.words
 
     def gap(self, b: Block) -> float:
@@ -217,8 +334,14 @@ def best_run(scores: list[float], gaps: list[float]) -> tuple[int, int]:
 
 def main_text(page: str, weights: Weights) -> str:
     blocks = blocks_of(page)
-    i, j = best_run([weights.block(b) for b in blocks], [weights.gap(b) for b in blocks])
-    return "\n\n".join(b.text for b in blocks[i:j] if b.kind not in ("frame", "hint"))
+    gaps = [weights.gap(b) for b in blocks]
+    for wrapped in (True, False):
+        out = [weights.leaves_out(b, wrapped) for b in blocks]
+        i, j = best_run([weights.block(b, x) for b, x in zip(blocks, out)], gaps)
+        kept = [b for b, x in zip(blocks[i:j], out[i:j]) if not x]
+        if kept and (wrapped or sum(b.words for b in kept) >= LEAST_WRAPPED):
+            return "\n\n".join(b.text for b in kept)
+    return ""
 
 
 def page_counts(page: str) -> Counter:
@@ -228,9 +351,11 @@ def page_counts(page: str) -> Counter:
     if not any(b.main for b in blocks):
         return out
     for b in blocks:
-        inside = b.main and b.kind not in ("frame", "hint")
-        out["word", b.kind, inside] += b.words - min(b.words, b.link_words)
+        inside = b.main and not b.frame
+        out["word", "frame" if b.frame else b.kind, inside] += b.words - min(b.words, b.link_words)
         out["word", "link", inside] += b.link_words
+        if b.doubt:
+            out["doubt", b.doubt, inside] += b.words
         for t in b.tags:
             out["tag", t, inside] += 1
     return out
