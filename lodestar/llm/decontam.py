@@ -6,13 +6,16 @@ the words' counts over all documents (counts of the words, not of the run, so th
 still rare). Documents are scanned for seeds in one narrow pass; around each hit the item is aligned with the words of
 the document, and pairs whose score reaches ``least`` of the score of a full copy are given out.
 
-How it scales: both passes over the documents are narrow. Benchmark items are handled in blocks of at most
-``block_words`` words, so what is sent to the executors has a fixed bound however large the benchmark is; a larger one
-takes more passes. Nothing depends on how many documents share a passage.
+An item without a rare run that is rare as a whole has its rarest run as seed, one of a single rare word that word.
 
-Defined cases: null or empty texts and items match nothing; an item with fewer than two words, or without a rare run,
-has no seed and is never found; repeated rows and items are reported each for themselves; empty tables give an empty
-result; other columns are ignored whatever their names.
+How it scales: both passes over the documents are narrow; seeds are joined by a sorted table that every executor holds,
+about 40 bytes a word of the benchmark. Items are handled in blocks of at most ``block_words`` words, so that table has a
+fixed bound however large the benchmark is; a benchmark beyond it takes more passes. Nothing depends on how many
+documents share a passage.
+
+Defined cases: null or empty texts and items match nothing; an item that is not rare as a whole (a common word or two)
+has no seed and is never found, as finding it would be no evidence; repeated rows and items are reported each for
+themselves; empty tables give an empty result; other columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -93,32 +96,44 @@ def _codes(ids: np.ndarray, n: int) -> np.ndarray:
 
 
 class Seeds:
-    """For each seed length the sorted codes, a bit table that rules most positions out, and (item, position) lists."""
+    """For each seed length the sorted codes, a bit table that rules most positions out, and the (item, position) of each code."""
 
     TABLE = 1 << 20
 
     def __init__(self, bench: BenchmarkWords, counts: np.ndarray, words: int, docs: int, chance: float, longest: int):
-        share = np.log(np.maximum(counts, 0.5) / max(words, 1))
+        size = np.fromiter(map(len, bench.items), np.int64, len(bench.items))
+        flat = np.concatenate([np.zeros(0, np.int64), *bench.items])
+        first = np.cumsum(size) - size
+        item = np.repeat(np.arange(len(size)), size)
+        rest = (first + size)[item] - np.arange(len(flat))  # words from a position to the end of its item
+        cum = np.concatenate([[0.0], np.cumsum(np.log(np.maximum(counts, 0.5) / max(words, 1))[flat])])
         limit = np.log(chance) - np.log(max(1.0, words / max(docs, 1)))
-        found: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for i, item in enumerate(bench.items):
-            cum = np.concatenate([[0.0], np.cumsum(share[item])])
-            codes = {n: _codes(item, n) for n in range(2, longest + 1)}
-            for j in range(len(item) - 1):
-                for n in range(2, min(longest, len(item) - j) + 1):
-                    if cum[j + n] - cum[j] <= limit:
-                        found[n][int(codes[n][j])].append((i, j))
-                        break
+        length = np.zeros(len(flat), np.int64)
+        for n in range(longest, 1, -1):  # the shortest rare run stays
+            at = np.flatnonzero(rest >= n)
+            length[at[cum[at + n] - cum[at] <= limit]] = n
+        seeded = np.zeros(len(size), bool)
+        seeded[item[length > 0]] = True
+        for i in np.flatnonzero(~seeded & (size > 0)).tolist():
+            lo, hi = int(first[i]), int(first[i] + size[i])
+            if cum[hi] - cum[lo] <= limit:
+                n = min(longest, hi - lo)
+                starts = np.arange(lo, hi - n + 1)
+                length[starts[np.argmin(cum[starts + n] - cum[starts])]] = n
         self.by_length = []
-        for n, table in sorted(found.items()):
-            codes = np.array(sorted(table), np.uint64)
+        for n in np.unique(length[length > 0]).tolist():
+            at = np.flatnonzero(length == n)
+            own = _codes(flat, n)[at]
+            order = np.argsort(own, kind="stable")
+            codes, start = np.unique(own[order], return_index=True)
             bits = np.zeros(self.TABLE, bool)
             bits[(codes & np.uint64(self.TABLE - 1)).astype(np.int64)] = True
-            self.by_length.append((n, codes, bits, [table[int(c)] for c in codes]))
+            at = at[order]
+            self.by_length.append((n, codes, bits, np.append(start, len(at)), item[at], at - first[item[at]]))
 
     def hits(self, ids: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(position, item, position in the item) of every seed in the documents' words."""
-        for want, codes, bits, places in self.by_length:
+        for want, codes, bits, start, item, place in self.by_length:
             if len(ids) < want:
                 continue
             at = np.flatnonzero(_runs(ids > 0, want))
@@ -128,11 +143,11 @@ class Seeds:
                 own = mix64(own * np.uint64(0x100000001B3) + ids[at + k].astype(np.uint64))
             maybe = bits[(own & np.uint64(self.TABLE - 1)).astype(np.int64)]
             at, own = at[maybe], own[maybe]
-            place = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
-            real = codes[place] == own
-            for p, c in zip(at[real].tolist(), place[real].tolist()):
-                for item, j in places[c]:
-                    yield p, item, j
+            found = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
+            real = codes[found] == own
+            for p, c in zip(at[real].tolist(), found[real].tolist()):
+                for k in range(start[c], start[c + 1]):
+                    yield p, int(item[k]), int(place[k])
 
 
 def _runs(ok: np.ndarray, n: int) -> np.ndarray:
@@ -219,7 +234,7 @@ def _merged(spans: list[tuple[int, int]], longest: int) -> list[tuple[int, int]]
     return out
 
 
-def matchers(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, chance: float = 1e-5, longest_seed: int = 8, block_words: int = 2_000_000, item_col: str = "item_id", bench_col: str = "text", text_col: str = "text") -> list[Matcher]:
+def matchers(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, chance: float = 1e-5, longest_seed: int = 8, block_words: int = 10_000_000, item_col: str = "item_id", bench_col: str = "text", text_col: str = "text") -> list[Matcher]:
     """One matcher for each block of benchmark items (usually one)."""
     items = benchmark.select(F.col(item_col).alias("item"), F.coalesce(F.col(bench_col), F.lit("")).alias("words"))
     total = items.agg(F.coalesce(F.sum(F.size(F.split("words", r"\s+"))), F.lit(0))).head()[0]
