@@ -27,6 +27,10 @@ from .textbatch import Words, slices, texts_of
 
 #: A mark that stands between words that are encoded in one call; words that contain it are encoded alone.
 MARK = "\x01"
+#: A way of cutting words into pieces (fixed value): letters, single digits, runs of other marks.
+LETTERS_AND_MARKS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words that fall into one piece of letters and one of marks under it, however special strings are read: no quote, "<" or "|".
+STEM_AND_MARKS = r"^[a-z]+[!-&(-/:;=-@\[-`{}~]+$"
 
 
 class WordEncoder:
@@ -46,9 +50,27 @@ class WordEncoder:
         self.specials = [t["content"] for t in spec.get("added_tokens", [])]
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
+        pattern = LETTERS_AND_MARKS in [x.get("pattern", {}).get("Regex") for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        self.letters = self._letters_only(path) if pattern and self.folds_case else None
+        suffix = spec.get("model", {}).get("end_of_word_suffix")
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends_word[[i for token, i in self.tokenizer.get_vocab().items() if suffix and token.endswith(suffix)]] = True
         self.cache_words = cache_words
+        self.ids = np.zeros(0, np.int32)
+        self._forget()
+
+    def _forget(self) -> None:
         self.known = pa.array([], pa.string())
-        self.offsets, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
+        self.known_ends, self.known_ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    @staticmethod
+    def _letters_only(path: str):
+        """The same model for words of a-z, which need no normalising and are one piece each."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        t = Tokenizer.from_file(path)
+        t.normalizer, t.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        return t
 
     @staticmethod
     def fits(path: str) -> bool:
@@ -65,35 +87,63 @@ class WordEncoder:
         ids = lambda x: t.encode(x, add_special_tokens=False).ids
         return ids(" a1, \t\n b's ") == ids("a1,") + ids("b's")
 
-    def _fresh(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _fresh(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and ids of words that are not in the cache."""
-        parts: list[np.ndarray] = []
+        if self.letters is None:
+            return self._by_marks(words.to_pylist())
+        plain = pc.match_substring_regex(words, "^[a-z]+$").to_numpy(zero_copy_only=False)
+        found = self._by_word_ends(words.filter(pa.array(plain)).to_pylist())
+        if found is None:
+            return self._by_marks(words.to_pylist())
         lengths = np.zeros(len(words), np.int64)
-        alone = [i for i, w in enumerate(words) if self.mark is None or MARK in w]
-        odd = set(alone)
-        sound = [i for i in range(len(words)) if i not in odd] if odd else range(len(words))
-        step, texts = 512, []
-        for at in range(0, len(sound), step):
-            texts.append(f" {MARK} ".join([words[i] for i in sound[at : at + step]]) + f" {MARK}")
-        ids = [np.asarray(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        joined = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-        cuts = np.flatnonzero(joined == self.mark) if self.mark is not None else np.zeros(0, np.int64)
-        if len(cuts) != len(sound):
-            raise ValueError("the tokenizer does not keep words apart")
-        lengths[np.asarray(sound, np.int64)] = np.diff(np.concatenate([[-1], cuts])) - 1
-        body = joined[joined != self.mark] if len(sound) else joined
-        if not odd:
-            return np.concatenate([[0], np.cumsum(lengths)]), body
-        own = {i: np.asarray(e.ids, np.int32) for i, e in zip(alone, self.tokenizer.encode_batch_fast([words[i] for i in alone], add_special_tokens=False))}
-        at = 0
-        for i in range(len(words)):
-            if i in odd:
-                lengths[i] = len(own[i])
-                parts.append(own[i])
-            else:
-                parts.append(body[at : at + lengths[i]])
-                at += lengths[i]
-        return np.concatenate([[0], np.cumsum(lengths)]), np.concatenate(parts) if parts else body
+        lengths[plain], own = found
+        ends, rest = self._by_marks(words.filter(pa.array(~plain)).to_pylist())
+        lengths[~plain] = np.diff(ends)
+        of_plain = np.repeat(plain, lengths)
+        ids = np.empty(len(of_plain), np.int32)
+        ids[of_plain], ids[~of_plain] = own, rest
+        return np.concatenate([[0], np.cumsum(lengths)]), ids
+
+    def _by_word_ends(self, words: list[str], step: int = 512) -> tuple[np.ndarray, np.ndarray] | None:
+        """Lengths and ids of words of a-z, told apart by the tokens that end a word; None if that fails."""
+        texts = [" ".join(words[at : at + step]) for at in range(0, len(words), step)]
+        ids = np.concatenate([np.zeros(0, np.int32), *(np.asarray(e.ids, np.int32) for e in self.letters.encode_batch_fast(texts, add_special_tokens=False))])
+        cuts = np.flatnonzero(self.ends_word[ids])
+        return (np.diff(np.concatenate([[-1], cuts])), ids) if len(cuts) == len(words) and (not len(ids) or cuts[-1] == len(ids) - 1) else None
+
+    def _by_marks(self, words: list[str], step: int = 512) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets and ids of any words: many in a call with a mark after each, those with the mark alone."""
+        odd = np.fromiter((self.mark is None or MARK in w for w in words), bool, len(words))
+        sound = [w for w, x in zip(words, odd.tolist()) if not x]
+        texts = [f" {MARK} ".join(sound[at : at + step]) + f" {MARK}" for at in range(0, len(sound), step)]
+        joined = np.concatenate([np.zeros(0, np.int32), *(np.asarray(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))])
+        cuts = np.flatnonzero(joined == self.mark) if len(sound) else np.zeros(0, np.int64)
+        if len(cuts) != len(sound):  # some word swallows or makes marks: each word in a call of its own
+            odd[:], sound, joined, cuts = True, [], joined[:0], cuts[:0]
+        lengths = np.zeros(len(words), np.int64)
+        lengths[~odd] = np.diff(np.concatenate([[-1], cuts])) - 1
+        alone = [np.asarray(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast([w for w, x in zip(words, odd.tolist()) if x], add_special_tokens=False)]
+        lengths[odd] = [len(x) for x in alone]
+        of_odd = np.repeat(odd, lengths)
+        ids = np.empty(len(of_odd), np.int32)
+        ids[~of_odd], ids[of_odd] = joined[joined != self.mark] if len(sound) else joined, np.concatenate([np.zeros(0, np.int32), *alone])
+        return np.concatenate([[0], np.cumsum(lengths)]), ids
+
+    def _known(self, words: pa.Array) -> np.ndarray:
+        """The place of each distinct word in the cache, which takes up the new ones."""
+        at = pc.index_in(words, value_set=self.known)
+        new = words.filter(pc.is_null(at))
+        if len(new) and len(self.known) + len(new) > self.cache_words:  # start again from the words of this batch
+            self._forget()
+            at, new = pa.nulls(len(words), pa.int32()), words
+        place = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(new):
+            place[place < 0] = np.arange(len(self.known), len(self.known) + len(new))
+            ends, ids = self._fresh(new)
+            self.known = pa.concat_arrays([self.known, new])
+            self.known_ends = np.concatenate([self.known_ends, ends[1:] + self.known_ends[-1]])
+            self.known_ids = np.concatenate([self.known_ids, ids])
+        return place
 
     def encode(self, vocab: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(start, length) into ``self.ids`` of each word of ``vocab``; they hold until the next call."""
@@ -105,20 +155,27 @@ class WordEncoder:
             lowered = pc.ascii_lower(vocab)
             keys = pc.if_else(pa.array(special), vocab, lowered) if special.any() else lowered
         coded = keys.dictionary_encode()
-        distinct = coded.dictionary
-        at = pc.index_in(distinct, value_set=self.known)
-        new = distinct.filter(pc.is_null(at))
-        if len(new):
-            if len(self.known) + len(new) > self.cache_words:  # start again from the words of this batch
-                self.known, self.offsets, self.ids = pa.array([], pa.string()), np.zeros(1, np.int64), np.zeros(0, np.int32)
-                new = distinct
-            offsets, ids = self._fresh(new.to_pylist())
-            self.known = pa.concat_arrays([self.known, new])
-            self.offsets = np.concatenate([self.offsets, offsets[1:] + self.offsets[-1]])
-            self.ids = np.concatenate([self.ids, ids])
-            at = pc.index_in(distinct, value_set=self.known)
-        place = at.to_numpy(zero_copy_only=False).astype(np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
-        return self.offsets[place], self.offsets[place + 1] - self.offsets[place]
+        words, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        if self.letters is None:
+            place = self._known(words)[code]
+            self.ids = self.known_ids
+            return self.known_ends[place], self.known_ends[place + 1] - self.known_ends[place]
+        # Words of letters and marks are two pieces: a piece is encoded once for all words that it is in.
+        two = pc.match_substring_regex(words, STEM_AND_MARKS)
+        both = words.filter(two)
+        pieces = pa.concat_arrays([words.filter(pc.invert(two)), pc.replace_substring_regex(both, "[^a-z]+$", ""), pc.replace_substring_regex(both, "^[a-z]+", "")]).dictionary_encode()
+        place = self._known(pieces.dictionary)[pieces.indices.to_numpy(zero_copy_only=False)]
+        is_two = two.to_numpy(zero_copy_only=False)
+        one, n = int((~is_two).sum()), int(is_two.sum())
+        parts = np.empty(one + 2 * n, np.int64)  # the pieces of all words in order
+        first = np.cumsum(1 + is_two) - (1 + is_two)
+        parts[first[~is_two]] = place[:one]
+        parts[first[is_two]], parts[first[is_two] + 1] = place[one : one + n], place[one + n :]
+        length = self.known_ends[parts + 1] - self.known_ends[parts]
+        ends = np.cumsum(length)
+        self.ids = self.known_ids[np.repeat(self.known_ends[parts] - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        bounds = np.concatenate([[0], ends])[np.append(first, len(parts))]
+        return bounds[:-1][code], np.diff(bounds)[code]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
