@@ -105,7 +105,7 @@ MANY_FULL = 200_000
 
 
 def _grouped(rows: DataFrame, full: DataFrame, tile_rows: int) -> DataFrame:
-    """Rows (print, tab, key) as (print, grp): one group for each bucket, or for each pair of tiles of a full one.
+    """Rows (row, tab, key) as (columns of row, grp): one group for each bucket, or for each pair of tiles of a full one.
 
     ``full``: the buckets (tab, key, m) that may have more than ``tile_rows`` rows, written already. A clash of two
     group numbers only compares more rows.
@@ -113,13 +113,13 @@ def _grouped(rows: DataFrame, full: DataFrame, tile_rows: int) -> DataFrame:
     group = F.xxhash64("tab", "key")
     n_full = full.count()
     if not n_full:
-        return rows.select("print", group.alias("grp"))
+        return rows.select("row.*", group.alias("grp"))
     tiles = F.greatest(F.lit(1), F.ceil(F.coalesce(F.col("m"), F.lit(1)) / tile_rows)).cast("int")
-    rows = rows.join(F.broadcast(full) if n_full <= MANY_FULL else full, ["tab", "key"], "left").select("print", group.alias("grp"), tiles.alias("tiles"))
-    tile = F.pmod(F.xxhash64(F.lit("tile"), "print"), F.col("tiles")).cast("int")
+    rows = rows.join(F.broadcast(full) if n_full <= MANY_FULL else full, ["tab", "key"], "left").select("row", group.alias("grp"), tiles.alias("tiles"))
+    tile = F.pmod(F.xxhash64(F.lit("tile"), "row"), F.col("tiles")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: F.struct(F.least(tile, j).alias("i"), F.greatest(tile, j).alias("j")))
-    rows = rows.select("print", "grp", F.explode(pairs).alias("pair"))
-    return rows.select("print", F.xxhash64("grp", "pair.i", "pair.j").alias("grp"))
+    rows = rows.select("row", "grp", F.explode(pairs).alias("pair"))
+    return rows.select("row.*", F.xxhash64("grp", "pair.i", "pair.j").alias("grp"))
 
 
 #: Groups up to this size are compared many at a time; larger ones are searched one by one, breadth first.
@@ -149,27 +149,22 @@ def bucket_links(nodes: np.ndarray, prints: np.ndarray, group: np.ndarray, radiu
 
 
 def _batches_to_links(words: int, radius: int):
-    """Arrow function over whole partitions of (print, group): the links (u, v) between nodes.
+    """Arrow function over whole partitions of (node, words of the print, group): the links (u, v) between nodes.
 
-    The node of a 64-bit print is the print itself, that of a wide one its hash.
+    Without a column of nodes, the node of a 64-bit print is the print itself.
     """
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prints, groups = [], []
+        held: list[list[np.ndarray]] = []
         for b in batches:
-            if not b.num_rows:
-                continue
-            column = b.column(0)
-            if words == 1:
-                prints.append(column.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, 1))
-            else:
-                prints.append(np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, words))
-            groups.append(b.column(1).to_numpy(zero_copy_only=False))
-        if prints:
-            rows = np.concatenate(prints)
-            nodes = rows[:, 0].view(np.int64) if words == 1 else np.frombuffer(b"".join(xxhash.xxh64_digest(r.tobytes(), 42) for r in rows), ">u8").astype(np.uint64).view(np.int64)
-            u, v = bucket_links(nodes, rows, np.concatenate(groups), radius)
-            del rows, prints, groups
+            if b.num_rows:
+                held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
+        if held:
+            columns = [np.concatenate(x) for x in zip(*held)]
+            held.clear()
+            rows = np.column_stack(columns[-1 - words : -1]).view(np.uint64)
+            u, v = bucket_links(columns[0], rows, columns[-1], radius)
+            del rows, columns
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
             give_back()
 
@@ -186,7 +181,7 @@ def links_within(prints: DataFrame, radius: int, tile_rows: int = 8192, task_row
     blocks, agree = block_choice(n, radius)
     masks = block_keys(blocks, agree)
     keys = F.array(*[F.struct(F.lit(t).alias("tab"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)])
-    rows = prints.select(F.col("fp").alias("print"), F.explode(keys).alias("k")).select("print", "k.tab", "k.key")
+    rows = prints.select(F.struct("fp").alias("row"), F.explode(keys).alias("k")).select("row", "k.tab", "k.key")
     full = written(rows.groupBy("tab", "key").agg(F.count("*").alias("m")).filter(F.col("m") > tile_rows), "full-buckets")
     rows = _grouped(rows, full, tile_rows).repartition(partitions_for(spark, n * len(masks), task_rows), "grp")
     return rows.mapInArrow(_batches_to_links(1, radius), "u long, v long")
@@ -253,39 +248,50 @@ def _table_keys(prints: pa.Array, samples: np.ndarray) -> np.ndarray:
     return keys
 
 
-def _sampled_keys(samples: np.ndarray):
-    """Arrow function (print) to one row for each table: (print, tab, key)."""
+def _sampled_keys(samples: np.ndarray, words: int):
+    """Arrow function (node, print) to one row for each table: node, the print's first ``words`` words, tab, key."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = len(samples)
         for b in batches:
             for at in range(0, b.num_rows, 2048):
-                prints = b.column(0).slice(at, 2048)
-                n, tables = len(prints), len(samples)
-                take = pa.array(np.repeat(np.arange(n), tables))
-                yield pa.RecordBatch.from_arrays([prints.take(take), pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(_table_keys(prints, samples).ravel())], names=["print", "tab", "key"])
+                nodes, prints = (b.column(i).slice(at, 2048) for i in (0, 1))
+                n = len(prints)
+                take = np.repeat(np.arange(n), tables)
+                head = np.frombuffer(b"".join(prints.to_pylist()), np.int64).reshape(n, -1)[:, :words]
+                columns = [nodes.to_numpy(zero_copy_only=False)[take], *(head[take, k] for k in range(words)), np.tile(np.arange(tables, dtype=np.int32), n), _table_keys(prints, samples).ravel()]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", *(f"p{k}" for k in range(words)), "tab", "key"])
 
     return keyed
 
 
-def similar_links(classes: DataFrame, words: int, similarity: float, recall: float = 0.999, margin: float = 4.0, tile_rows: int = 8192, task_rows: int = 150_000) -> DataFrame:
-    """Links (u, v) that join the fingerprints (column print) that may be of sets of at least this ``similarity``.
+def similar_links(classes: DataFrame, bits: int, similarity: float, words: int = 4, recall: float = 0.999, margin: float = 4.0, tile_rows: int = 8192, task_rows: int = 300_000) -> DataFrame:
+    """Links (u, v) that join the places (columns place, print) that may be of sets of at least this ``similarity``.
 
-    The radius lies ``margin`` standard deviations above the mean distance at that similarity, so many that pairs at
-    the threshold are not missed; pairs below it get in as well.
+    Tables of sampled bits of the whole print (``bits`` long) bring places together; there the first ``words`` words
+    of their prints are compared. The radius lies ``margin`` standard deviations above the mean distance at that
+    similarity, so many that pairs at the threshold are not missed; pairs below it get in as well.
     """
-    spark, bits, n = classes.sparkSession, words * 64, classes.count()
-    apart = 1 - shared_bits(similarity)
-    radius = int(bits * apart + margin * math.sqrt(bits * apart * (1 - apart)))
+    spark, n = classes.sparkSession, classes.count()
     samples = bit_samples(n, bits, similarity, recall)
-    prints = classes.select("print")
+    radius = candidate_radius(words, similarity, margin)
+    names = ["node", *(f"p{k}" for k in range(words))]
+    schema = ", ".join([*(f"{c} long" for c in names), "tab int", "key long"])
+    placed = classes.select("place", "print")
     # Sizes of buckets are estimated on a sixteenth of the prints: they only decide how work is dealt, not what is linked.
-    some = prints.filter(F.pmod(F.xxhash64(F.lit("size"), "print"), F.lit(16)) == 0).mapInArrow(_sampled_keys(samples), "print binary, tab int, key long")
+    some = placed.filter(F.pmod(F.xxhash64(F.lit("size"), "place"), F.lit(16)) == 0).mapInArrow(_sampled_keys(samples, words), schema)
     full = written(some.groupBy("tab", "key").agg((F.count("*") * 16).alias("m")).filter(F.col("m") > tile_rows), "full-buckets")
-    rows = prints.mapInArrow(_sampled_keys(samples), "print binary, tab int, key long")
+    rows = placed.mapInArrow(_sampled_keys(samples, words), schema).select(F.struct(*names).alias("row"), "tab", "key")
     rows = _grouped(rows, full, tile_rows).repartition(partitions_for(spark, n * len(samples), task_rows), "grp")
     return rows.mapInArrow(_batches_to_links(words, radius), "u long, v long")
 
 
+def candidate_radius(words: int, similarity: float, margin: float) -> int:
+    """Differing bits of ``words`` x 64 up to which a pair may have this similarity."""
+    bits, apart = words * 64, 1 - shared_bits(similarity)
+    return int(bits * apart + margin * math.sqrt(bits * apart * (1 - apart)))
+
+
 def jaccard_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """Pairs of sets (distinct values each) of at least this Jaccard similarity that join each component, at most one a set.
 
@@ -386,7 +392,7 @@ def one_of_each_group(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     """
     prints = written(wide_prints(docs, words, shingle, id_col, text_col).withColumn("place", F.xxhash64("print")), "wide-prints")
     classes = written(prints.groupBy("place").agg(F.min("print").alias("print")), "wide-classes")
-    near = connected_components(similar_links(classes, words, similarity))
+    near = connected_components(similar_links(classes, words * 64, similarity))
     sets = prints.groupBy("node", "place").agg(F.min("shingles").alias("shingles"), F.min(F.struct(F.col(id_col).alias("id"), F.col("text_hash").alias("h"))).alias("first"))
     roots = connected_components(proved_links(docs, sets, near, shingle, similarity, drop_broadcast, id_col, text_col))
     grouped = prints.select(id_col, "text_hash", "node").join(roots, "node", "left").select(id_col, "text_hash", F.coalesce("root", "node").alias("root"))
