@@ -2,7 +2,8 @@
 
 Edges stay in a DataFrame; each round is written to the shared folder, so lineage stays short and a lost executor
 costs one round. Every aggregation is a minimum, which is combined before the shuffle, so a node with very many
-neighbours is no burden; the joins are plain shuffled joins, which adaptive execution splits where they are skewed.
+neighbours is no burden there. In the joins, rows of nodes with more than ``HUB_SHARE`` of all rows meet their node's
+minimum by broadcast (there are at most 1 / ``HUB_SHARE`` such nodes), all others by shuffle.
 """
 
 from __future__ import annotations
@@ -12,12 +13,26 @@ from pyspark.sql import functions as F
 
 from .storage import written
 
+#: A node is a hub if it has more than this share of all rows (and more than ``HUB_ROWS``).
+HUB_SHARE, HUB_ROWS = 1e-4, 500
+
 
 def _mark(edges: DataFrame) -> tuple[int, int, int]:
     r = edges.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))), F.lit(0)).alias("h"), F.coalesce(F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 40))), F.lit(0)).alias("g")).head()
     return r.n, r.h, r.g
 
 
+def _with_least(rows: DataFrame, edges: int) -> DataFrame:
+    """``rows`` (u, v) with the smallest v of each u as column m; no task gets a hub's rows to itself."""
+    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+    bound = max(HUB_ROWS, int(2 * edges * HUB_SHARE))
+    if edges <= bound:
+        return rows.join(least.drop("degree"), "u")
+    hubs = F.broadcast(written(least.filter(F.col("degree") > bound).select("u", "m"), "hubs"))  # at most 1 / HUB_SHARE rows
+    rest = rows.join(hubs.select("u"), "u", "left_anti").join(least.filter(F.col("degree") <= bound).select("u", "m"), "u")
+    return rows.join(hubs, "u").unionByName(rest)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (columns u, v; any order, loops and repeats allowed).
 
@@ -30,11 +45,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         # Large star: every larger neighbour is linked to the smallest of the closed neighbourhood.
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _with_least(both, before[0]).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         # Small star: every node and its smaller neighbours are linked to the smallest of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
+        large = written(large, "large-star")
+        ends = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = _with_least(large, before[0]).select(F.explode(ends).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
         star = written(small, "edges")
         after = _mark(star)
         if after == before:
