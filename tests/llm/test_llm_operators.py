@@ -167,6 +167,41 @@ def test_broken_pages_have_a_text(page):
     assert isinstance(html_text.main_text(page, html_text.Weights()), str)
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<article><p>one</p><p>t<!-->visible</p><p>two</p></article>", "one\n\ntvisible\n\ntwo"),
+        ("<article><p>one</p><!--> <p>seen</p> <!---> <p>two</p><!-- no --!><p>three</p></article>", "one\n\nseen\n\ntwo\n\nthree"),
+        ("<article><p>one two three</p><div class=share>Share this now please</div><p>short</p></article>", "one two three\n\nshort"),
+        ('<article><p class="legal">one two</p><p class="related">three</p><div class="related"><a href=x>Other story</a></div></article>', "one two\n\nthree"),
+        ('<div class="search-results"><p>%s</p></div>' % ("word " * 40), " ".join(["word"] * 40)),
+        ('<form id=f><article><header class="entry-header"><h1>Title</h1></header><p>one two</p></article></form>', "Title\n\none two"),
+        ("<form><p>%s</p></form><footer>a b c</footer>" % ("word " * 40), " ".join(["word"] * 40)),
+        ('<article><p>text of it</p></article><section class="comments"><article><p>%s</p></article></section>' % ("reader " * 90), "text of it"),
+        ("<main><p title='a>b' data-x=\"c>d\">one<a href=/x/>two</a> don't</p><p it's>three</p></main>", "onetwo don't\n\nthree"),
+        ("<form><label>Name</label><button>Send</button></form>", ""),
+    ],
+)
+def test_pages_of_other_layouts(page, want):
+    assert html_text.main_text(page, html_text.Weights()) == want
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<div>x ", "<p>&nbsp;", "<!--", "<!-->x", "</x>", "<a b='", '<a b="x>', "<li>x", "<b>x", "<p", "<", "<script>", "<td>x<b>", "<a<a", "<form><article>z ", "<h1><a href=x>"])
+def test_two_megabytes_of_odd_markup_take_seconds(piece):
+    import time
+
+    page = piece * (2_000_000 // len(piece))
+    for page in (page, page + ">"):
+        start = time.perf_counter()
+        html_text.main_text(page, html_text.Weights())
+        assert time.perf_counter() - start < 15
+
+
+def test_labelled_pages_overrule_doubtful_class_words():
+    block = html_text.blocks_of('<div class="widget-body"><p>%s</p></div>' % ("word " * 30))[0]
+    assert html_text.Weights().leaves_out(block) and not html_text.Weights({("doubt", "widget"): (500, 0)}).leaves_out(block)
+
+
 def test_plain_text_page():
     assert html_text.main_text("just words &amp; no tags", html_text.Weights()) == "just words & no tags"
 
@@ -377,6 +412,47 @@ def test_candidates_are_sharp_and_miss_next_to_nothing(size, shift, least, most)
     assert least <= near / 500 <= most
 
 
+def test_the_compared_part_of_a_print_misses_next_to_nothing():
+    words, margin = (inspect.signature(simhash.similar_links).parameters[k].default for k in ("words", "margin"))
+    radius = simhash.candidate_radius(words, 0.8, margin)
+    rng = np.random.default_rng(4)
+    near = 0
+    for _ in range(500):
+        h = rng.integers(0, 2**64, 130, dtype=np.uint64)
+        differ = simhash.majority(h[:117], words) ^ simhash.majority(h[13:], words)
+        near += np.unpackbits(differ.view(np.uint8)).sum() <= radius
+    assert near / 500 >= 0.995
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="driver tables are not there")
+def test_one_of_each_group_of_all_documents_by_brute_force(spark):
+    """All pairs of documents that share a shingle, measured: no group loses all its documents, at most one in a hundred keeps two."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("text is not null")
+    sets = {r.doc_id: frozenset(simhash.shingle_hashes(r.text, 5).tolist()) for r in docs.select("doc_id", "text").collect()}
+    having = collections.defaultdict(list)
+    for i, s in sets.items():
+        for h in s:
+            having[h].append(i)
+    pairs = {(a, b) for ids in having.values() for a in ids[:1] for b in ids[1:]} | {(a, b) for ids in having.values() if len(ids) < 60 for a in ids for b in ids if a < b}
+    label = {i: i for i in sets}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in [*pairs, *((a, b) for a in sets for b in sets if not sets[a] and not sets[b] and a < b)]:
+        if sets[a] == sets[b] or len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+            x, y = find(a), find(b)
+            label[max(x, y)] = min(x, y)
+    groups = collections.defaultdict(set)
+    for i in sets:
+        groups[find(i)].add(i)
+    kept = {r.doc_id for r in simhash.one_of_each_group(docs).select("doc_id").collect()}
+    assert all(g & kept for g in groups.values())
+    assert sum(len(g & kept) > 1 for g in groups.values()) <= 0.01 * len(groups)
+
+
 @pytest.mark.parametrize("tile", [1 << 19, 300])
 def test_proved_links_by_brute_force(spark, tile):
     rng = random.Random(7)
@@ -425,6 +501,54 @@ def test_rule_counts():
         assert tuple(int(got[k][i]) for k in quality.COUNTS) == plain_counts(c), c
 
 
+def test_windows_of_more_words_than_the_bits_hold():
+    cases = [*ODD, "a b c a b c", "x x x x", "a b a b a", " ".join(f"w{i % 23}" for i in range(200))]
+    words = quality.Words(pa.array(cases))
+    assert len(words.vocab) > 1 << 2
+    assert quality.repeated_words(words, bits=2).tolist() == quality.repeated_words(words).tolist() == [plain_counts(c)[4] for c in cases]
+
+
+def plain_path(rows, tree, x, node=0):
+    """Path length of one row in one tree, step by step."""
+    feature, cut, path = tree
+    while feature[node] >= 0:
+        node = 2 * node + 1 + (x[feature[node]] >= cut[node])
+    return path[node]
+
+
+@needs_data
+def test_verdict_by_brute_force(spark, texts):
+    labels = {}
+    for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect():
+        if r.doc_id is not None and r.quality is not None:
+            labels[r.doc_id] = min(r.quality, labels.get(r.doc_id, 1))
+    stats = {r.doc_id: r for r in quality.rule_statistics(spark.read.parquet(f"{SMALL}/documents.parquet")).collect()}
+    model = quality.fit_rules(quality.rule_statistics(spark.read.parquet(f"{SMALL}/documents.parquet")), spark.read.parquet(f"{SMALL}/labels.parquet"))
+    forest = model.forest
+
+    def score(r):
+        x = np.maximum(np.array([r[c] for c in quality.FEATURES]) - model.usual, 0)
+        mean = sum(plain_path(None, t, x) for t in forest.trees) / len(forest.trees)
+        n = forest.sample
+        return 2.0 ** -(mean / (2 * (math.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n))
+
+    passed = {i: plain_counts(t)[0] >= 50 and 100 * plain_counts(t)[4] <= 50 * plain_counts(t)[0] for i, t in texts.items()}
+    scores = {i: score(stats[i]) for i in texts}
+    labelled = [(labels[i], scores[i]) for i in texts if i in labels and passed[i]]
+    best = None  # the threshold that parts best among those that keep 0.99 of the good
+    for b in range(1, 1002):
+        good = [s < b / 1000 for q, s in labelled if q]
+        bad = [s >= b / 1000 for q, s in labelled if not q]
+        if sum(good) >= 0.99 * len(good):
+            value = sum(good) / max(len(good), 1) + sum(bad) / max(len(bad), 1)
+            if best is None or value > best[0] + 1e-12:
+                best = value, b / 1000
+    assert model.threshold == pytest.approx(best[1])
+    for r in queries.op5_quality(spark, SMALL).collect():
+        assert r.base_failed is not passed[r.doc_id]
+        assert r.kept is bool(passed[r.doc_id] and scores[r.doc_id] < best[1]) and r.anomaly == pytest.approx(scores[r.doc_id])
+
+
 def test_isolation_forest_finds_what_is_far():
     rng = np.random.default_rng(0)
     rows = np.vstack([rng.normal(0, 0.05, (500, 3)), rng.normal(1, 0.3, (15, 3))])
@@ -462,6 +586,47 @@ def test_language_on_held_out_rows(spark):
     assert out.filter("score < 0 or score > 1").count() == 0
 
 
+@needs_data
+def test_language_by_brute_force(spark, texts):
+    """Each text's n-grams one by one, every machine's margin, and the duels: the same language and score."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    training = docs.filter(queries.crc_remainder("doc_id") != 0)
+    tree = language.fit_language_tree(training, 6000, 2048, "lang", "text", "doc_id")
+
+    def vote(step, names, x):
+        wins, least = dict.fromkeys(names, 0.0), dict.fromkeys(names, 1.0)
+        for k, (s, a, b) in enumerate(tree.machines):
+            if s == step:
+                p = 1 / (1 + math.exp(-max(-30, min(30, 3 * (float(x @ tree.weights[:-1, k]) + tree.weights[-1, k])))))
+                for name, q in ((a, p), (b, 1 - p)):
+                    wins[name] += (q > 0.5) + q / (2 * len(names))
+                    least[name] = min(least[name], q)
+        best = max(names, key=lambda name: wins[name])
+        return best, least[best]
+
+    for r in queries.op6_language(spark, SMALL).collect():
+        words = [re.sub(r"[^\w]|[\d_]", "", w).lower() for w in re.findall(SPACE, texts[r.doc_id])]
+        words = [w for w in words if w]
+        if not words:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        x = np.zeros(2048)
+        for w, times in collections.Counter(words).items():
+            np.add.at(x, language.gram_ids(pa.array([w]), language.GRAMS, 2048)[1], times)
+        x = np.clip(x / x.sum() * tree.scale, 0, 8)
+        x /= np.linalg.norm(x)
+        family, sure = vote("family", tree.families, x)
+        lang, surer = vote(family, tree.members[family], x)
+        assert r.score == pytest.approx(sure * surer, abs=1e-4) and r.lang_pred == lang
+
+
+def test_ties_of_languages_go_to_the_first():
+    x = np.full((40, 16), 1 / 16, np.float32)
+    tree = language.LanguageTree(x, np.array(["de", "en"] * 20), 16)
+    tree.weights[:] = 0
+    assert set(tree.decide(x)[0].tolist()) == {"de"}
+
+
 def test_three_languages_of_one_family():
     rng = np.random.default_rng(4)
     x = np.zeros((240, 64), np.float32)
@@ -488,6 +653,52 @@ def test_toxicity_on_held_out_rows(spark):
     assert n[1, 1] / (n[1, 1] + n[1, 0]) > 0.85 and n[1, 1] / (n[1, 1] + n.get((0, 1), 0)) > 0.9
 
 
+def test_very_long_words_are_fast_and_features_are_those_of_the_bytes():
+    import time
+
+    start = time.perf_counter()
+    got = toxicity.word_features(pa.array(["a" * 3_000_000, "abcd", "abcde", "é", ""]), 1 << 17)
+    assert time.perf_counter() - start < 5
+    assert (got[4] == -1).all() and (got[1, 1:] == -1).all() and got[2, 1] >= 0 and (got[2, 2:] == -1).all() and (got[0] >= 0).all()
+    alone = [toxicity.word_features(pa.array([w]), 1 << 17)[0].tolist() for w in ("abcd", "abcde")]
+    assert alone == got[1:3].tolist()
+
+
+def test_risk_and_gradient_by_brute_force():
+    rng = np.random.default_rng(2)
+    n, width = 30, 5
+    x = rng.random((n, width)) < 0.4
+    model = toxicity.NonNegativePU(0.4, width)
+    model.w = rng.normal(size=width + 1)
+    d, f = np.nonzero(x)
+    for side in (1.0, -1.0):
+        loss = lambda w: np.mean([1 / (1 + math.exp(side * (sum(w[:width][row]) + w[-1]))) for row in x])  # noqa: B023, E731
+        value, slope = model._gradient(d, f, n, side)
+        assert value == pytest.approx(loss(model.w))
+        for k in range(width + 1):
+            step = np.zeros(width + 1)
+            step[k] = 1e-6
+            assert slope[k] == pytest.approx((loss(model.w + step) - loss(model.w - step)) / 2e-6, abs=1e-6)
+
+
+@needs_data
+def test_toxicity_scores_by_brute_force(spark, texts):
+    """Every text's score from its words one by one, with the fitted weights; equal texts score alike."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    train = queries.crc_remainder("doc_id") != 0
+    model = toxicity.fit_toxicity(docs.filter(train), spark.read.parquet(f"{SMALL}/labels.parquet").filter(train))
+    levels = len(toxicity.LEVELS)
+    for r in queries.op1_toxicity(spark, SMALL).collect():
+        counts = collections.Counter()
+        for w, k in collections.Counter(re.findall(SPACE, texts[r.doc_id])).items():
+            for feature in toxicity.word_features(toxicity.bare_words(pa.array([w])), model.buckets)[0].tolist():
+                if feature >= 0:
+                    counts[feature] += k
+        z = model.offset + sum(model.weights[b * levels + i] for b, k in counts.items() for i, least in enumerate(toxicity.LEVELS) if k >= least)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9) and r.predicted == int(r.score >= 0.5)
+        assert r.held_out is (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
 def test_corrected_risk_does_not_learn_by_heart():
     rng = np.random.default_rng(1)
     n, width = 400, 30
@@ -549,6 +760,40 @@ def test_edited_copies_are_found_and_clean_texts_are_not(leaks):
     assert kept == set(range(1000, 1060))
 
 
+@pytest.mark.parametrize("least", [0.5, 0.9])
+def test_contaminated_pairs_by_brute_force(spark, least):
+    """Every item is aligned with the whole of every document, without seeds: the same pairs and scores."""
+    d = "/root/testdata/sf0.01"
+    docs, bench = (spark.read.parquet(f"{d}/{name}.parquet") for name in ("documents", "benchmark"))
+    plain = lambda t: [w for x in re.findall(SPACE, t or "") if (w := re.sub(r"[\W_]+", "", x).lower())]
+    code = {}
+    ids = lambda t: np.array([code.setdefault(w, len(code) + 1) for w in plain(t)], np.int64)
+    items = {r.item_id: ids(r.text) for r in bench.collect()}
+    want = {}
+    for r in docs.collect():
+        words = ids(r.text)
+        for i, item in items.items():
+            if len(words) and np.isin(item, words).sum() * 2 >= least * len(item):  # no alignment scores more than its matches
+                score = decontam.align(item, words)[0] / (2 * len(item))
+                if score >= least:
+                    want[r.doc_id, i] = score
+    got = {(r.doc_id, r.item_id): r.score for r in decontam.contaminated(docs, bench, least=least).collect()}
+    assert got == pytest.approx(want) and want
+
+
+def test_items_without_a_rare_run(spark):
+    """Rare only as a whole, or a single rare word: found; a common word or two: no evidence."""
+    common = ["the", "of", "and"]
+    rng = random.Random(2)
+    item = " ".join(rng.choice(common) for _ in range(40))
+    rows = [(i, " ".join(rng.choice(common) for _ in range(60))) for i in range(1300)]
+    rows += [(2900, rows[0][1] + " " + item + " and"), (2901, "the zyzzyva of")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, "zyzzyva"), (3, "the"), (4, "of the")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench, least=0.95, chance=1e-3).collect()}
+    assert got == {(2900, 1), (2901, 2)}
+
+
 def test_often_leaked_items_stay_rare(spark, leaks):
     _, bench, _ = leaks
     text = bench.filter("item_id = 3").head().text
@@ -635,6 +880,49 @@ def test_rows_at_most_one_apart_and_little_movement(spark):
     assert moved < 0.6 * 5000
 
 
+@pytest.mark.parametrize("positions", [64, 1 << 14])
+def test_shards_by_walking_the_ring_row_by_row(spark, positions):
+    """Rows one after another: a position's owner first, then clockwise from full shards; the same counts of each text."""
+    rng = random.Random(3)
+    rows = [(i, "hot" if i % 3 == 0 else f"text {rng.randrange(300)}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    where = {r.text: r.p for r in docs.select("text", F.pmod(F.xxhash64("text"), F.lit(positions)).alias("p")).distinct().collect()}
+    nodes = sharding.ring_owners(spark, 7, 64, positions)
+    room = sharding.shard_bounds(900, 7, 0.0)
+    at = collections.Counter(where[t] for _, t in rows)
+    want = collections.Counter()
+    first = lambda p: next((k for k, (q, _) in enumerate(nodes) if q >= p), 0)
+    left = {}
+    for p in sorted(at):
+        s = nodes[first(p)][1]
+        n = min(at[p], room[s])
+        want[p, s] += n
+        room[s] -= n
+        left[p] = at[p] - n
+    for p in sorted(at):
+        k = first(p)
+        while left[p]:
+            k = (k + 1) % len(nodes)
+            n = min(left[p], room[nodes[k][1]])
+            want[p, nodes[k][1]] += n
+            room[nodes[k][1]] -= n
+            left[p] -= n
+    text = dict(rows)
+    out = sharding.shard(docs, 7, positions=positions).collect()
+    assert collections.Counter((where[text[r.doc_id]], r.shard) for r in out) == +want
+    assert all(r["size"] == len(text[r.doc_id]) + 8 and r.text_crc32 == zlib.crc32(text[r.doc_id].encode()) for r in out)
+
+
+def test_rows_of_a_hot_id_are_spread_over_cells(spark):
+    rows = [(None, "a")] * 1500 + [(5, "a")] * 2500 + [(i, f"t{i}") for i in range(1000)]
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 6, positions=32).collect()
+    slots = collections.defaultdict(list)
+    for r in out:
+        slots[r.shard].append(r.slot)
+    assert len(out) == 5000 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+
+
 def test_equal_texts_meet_unless_a_shard_is_full(spark):
     docs = spark.createDataFrame([(i, f"t{i % 800}") for i in range(4000)], "doc_id long, text string")
     rows = sharding.shard(docs, 4).join(docs, "doc_id").groupBy("text").agg(F.countDistinct("shard").alias("n")).collect()
