@@ -27,7 +27,7 @@ class IndexConfig:
     candidate_queue_size_knng: int = 200
     candidate_queue_size_nsg: int = 200
     workers: int = 4
-    nodes_expected: int = 1
+    approximate_navigating_node: bool = False  # by a beam search instead of the exact nearest to the centroid
     data_redistribution: str = "optimalRedistribution"  # or noRedistribution, fastRedistribution
     data_replication: str = "allSharedReplication"  # or noReplication, onlyParentsReplication
     query_file: str = ""

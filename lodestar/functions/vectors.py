@@ -48,11 +48,14 @@ def nearest(queries: np.ndarray, base: np.ndarray, ids: np.ndarray, k: int, slac
     return place, dist
 
 
-def seeded_id(n: int, *parts: str | Column) -> Column:
-    """A pseudo-random id in [0, n) from the given columns."""
-    return F.pmod(F.xxhash64(*parts), F.lit(n))
+#: A prime below 2 ** 31 (fixed value): products of two residues fit into 64 bits.
+PRIME = 2147483647
 
 
-def arithmetic_id(i: Column, slot: Column, n: int, seed: int = 42) -> Column:
-    """A pseudo-random id in [0, n) by 31-bit arithmetic that any SQL engine can repeat."""
-    return ((i * 7919 + slot * 104729 + F.lit(seed) * 1299709 + (i * slot) * 31 + i * i * 17) % 2147483647) % n
+def seeded_id(n: int, seed: int, i: str | Column, slot: str | Column) -> Column:
+    """A pseudo-random number in [0, n) from two numbers, by arithmetic that any SQL engine can repeat."""
+    i, slot = (F.col(x) if isinstance(x, str) else x for x in (i, slot))
+    a, s = i.cast("long") % PRIME, slot.cast("long") % PRIME
+    h = (a * 7919 + s * 104729 + F.lit(seed * 1299709 % PRIME).cast("long") + (a * s) % PRIME * 31 + (a * a) % PRIME * 17) % PRIME
+    h = (h * h + h * 48271) % PRIME
+    return (h * h + h * 16807 + s) % PRIME % n

@@ -1,7 +1,7 @@
 """Reachability from the navigating node, spanning trees, and repair of unreached nodes.
 
 The search is a frontier loop: each round joins the frontier with the edges, takes the smallest parent of each new node and
-leaves out nodes reached before; levels are written to the shared folder, so a round's plan does not grow.
+leaves out nodes reached before. A level is written once; the tree is one scan of all levels, so no round's plan grows.
 """
 
 from __future__ import annotations
@@ -9,28 +9,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scratch import cut
+from ..plans.scratch import Growing, cut
 from .search import beam_search, seeds_at
 
 TREE = "child long, parent long, depth long"
 
 
-def spanning_tree(edges: DataFrame, root: int, reached: DataFrame | None = None, start: int = 0) -> DataFrame:
-    """(child, parent, depth) of breadth-first search; the root is its own parent at depth 0.
+def spanning_tree(edges: DataFrame, root: int) -> DataFrame:
+    """(child, parent, depth) of breadth-first search; the root is its own parent at depth 0."""
+    return extended_tree(edges, edges.sparkSession.createDataFrame([(root, root, 0)], TREE), None)
 
-    ``reached``: a tree that is extended from its node ``root`` (at depth ``start``) instead of a new one.
-    """
-    spark = edges.sparkSession
-    first = spark.createDataFrame([(root, root, start)], TREE)
-    tree = first if reached is None else reached
-    frontier, depth = first, start
-    while True:
-        depth += 1
-        step = frontier.select(F.col("child").alias("src")).join(edges, "src").groupBy(F.col("dst").alias("child")).agg(F.min("src").alias("parent"))
-        level = cut(step.join(tree.select("child"), "child", "left_anti").select("child", "parent", F.lit(depth).cast("long").alias("depth")), "level")
-        if not level.limit(1).count():
-            return tree
-        tree, frontier = cut(tree.unionByName(level), "tree"), level
+
+def extended_tree(edges: DataFrame, first: DataFrame, reached: DataFrame | None) -> DataFrame:
+    """``reached`` and what can be reached from the rows ``first`` (both like a tree) beyond it, level by level."""
+    tree = Growing(edges.sparkSession, TREE, "tree")
+    if reached is not None:
+        tree.append(reached)
+    level = tree.append(first)
+    while level.limit(1).count():
+        met = level.join(edges, level["child"] == edges["src"]).select(F.col("dst").alias("child"), F.struct((F.col("depth") + 1).alias("depth"), F.col("src").alias("parent")).alias("by"))
+        step = met.groupBy("child").agg(F.min("by").alias("by")).select("child", "by.parent", "by.depth")
+        level = tree.append(step.join(tree.table().select("child"), "child", "left_anti").select("child", "parent", "depth"))
+    return tree.table()
 
 
 def unreached(vectors: DataFrame, tree: DataFrame) -> DataFrame:
@@ -38,29 +38,36 @@ def unreached(vectors: DataFrame, tree: DataFrame) -> DataFrame:
     return vectors.select("id").join(tree.select(F.col("child").alias("id")), "id", "left_anti")
 
 
-def repair(graph: DataFrame, vectors: DataFrame, nav_node: int, pool: int, max_repairs: int = 1_000_000) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(graph, tree, added edges): while a node is unreached, the nearest node that a search finds gets an edge to it.
+def sources(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id): the nodes of ``ids`` that no smaller one of them reaches within ``ids``; every other is reached from one of these."""
+    ids = cut(ids, "unreached")
+    inside = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
+    inside = cut(inside, "inside")
+    label = cut(ids.select("id", F.col("id").alias("least"), F.lit(True).alias("moved")), "labels")
+    while label.filter("moved").limit(1).count():
+        told = label.filter("moved").join(inside, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.min("least").alias("told"))
+        better = F.coalesce(F.col("told") < F.col("least"), F.lit(False))
+        label = cut(label.join(told, "id", "left").select("id", F.when(better, F.col("told")).otherwise(F.col("least")).alias("least"), better.alias("moved")), "labels")
+    return label.filter("id = least").select("id")
+
+
+def repair(graph: DataFrame, vectors: DataFrame, nav_node: int, pool: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(graph, tree, added edges): unreached nodes are joined to the nearest node that a search from ``nav_node`` finds.
 
-    One node at a time, the smallest id first, since every edge changes what can be reached.
+    Only nodes that no smaller unreached one reaches need an edge: the very nodes that joining one node after another,
+    smallest id first, would take. All of them are searched for at once, on the graph as it is.
     """
     spark = graph.sparkSession
     edges = cut(graph.select(F.col("id").alias("src"), F.explode("neighbors").alias("dst")), "edges")
     tree = spanning_tree(edges, nav_node)
-    added: list[tuple[int, int]] = []
-    while len(added) < max_repairs:
-        node = unreached(vectors, tree).agg(F.min("id")).head()[0]
-        if node is None:
-            break
-        query = vectors.filter(F.col("id") == node).select(F.col("id").alias("qid"), "vec")
-        found = beam_search(query, graph, vectors, seeds_at(query, nav_node), pool).filter("rank = 1").head()
-        depth = tree.filter(F.col("child") == found.id).head().depth + 1
-        added.append((found.id, node))
-        new = spark.createDataFrame([(found.id, node)], "src long, dst long")
-        edges = cut(edges.unionByName(new), "edges")
-        graph = cut(with_edges(graph, new), "graph")
-        linked = tree.unionByName(spark.createDataFrame([(node, found.id, depth)], TREE))
-        tree = spanning_tree(edges, node, cut(linked, "tree"), depth)
-    return graph, tree, spark.createDataFrame(added, "src long, dst long")
+    rest = unreached(vectors, tree)
+    if not rest.limit(1).count():
+        return graph, tree, spark.createDataFrame([], "src long, dst long")
+    queries = vectors.join(sources(edges, rest), "id", "left_semi").select(F.col("id").alias("qid"), "vec")
+    found = beam_search(queries, graph, vectors, seeds_at(queries, nav_node), pool).filter("rank = 1")
+    added = cut(found.select(F.col("id").alias("src"), F.col("qid").alias("dst")), "added")
+    first = added.join(tree.select(F.col("child").alias("src"), "depth"), "src").select(F.col("dst").alias("child"), F.col("src").alias("parent"), (F.col("depth") + 1).alias("depth"))
+    return cut(with_edges(graph, added), "graph"), extended_tree(edges, first, tree), added
 
 
 def with_edges(graph: DataFrame, new: DataFrame) -> DataFrame:

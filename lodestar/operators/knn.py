@@ -33,6 +33,27 @@ def vectors_of(embeddings: DataFrame, id_col: str = "vec_id", vec_col: str = "em
     return embeddings.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("vec")).filter("id is not null and vec is not null")
 
 
+def ranked_ids(vectors: DataFrame) -> tuple[DataFrame, int]:
+    """((place, id), n): each id's rank among the sorted ids, from 0 on.
+
+    Dense ids are their own rank. Others are dealt by range, counted by partition, and numbered within partitions; the
+    driver sees one count a partition.
+    """
+    r = vectors.agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).head()
+    if not r.n:
+        return vectors.select(F.col("id").alias("place"), "id"), 0
+    if r.lo == 0 and r.hi == r.n - 1:
+        return vectors.select(F.col("id").alias("place"), "id"), r.n
+    dealt = cut(vectors.select("id").repartitionByRange("id").withColumn("part", F.spark_partition_id()), "ranked-ids")
+    counts = sorted((x.part, x["count"]) for x in dealt.groupBy("part").count().collect())
+    before, total = {}, 0
+    for part, n in counts:
+        before[part], total = total, total + n
+    start = F.create_map(*[F.lit(x).cast(t) for part, n in before.items() for x, t in ((part, "int"), (n, "long"))])
+    w = Window.partitionBy("part").orderBy("id")
+    return dealt.select((F.element_at(start, F.col("part")) + F.row_number().over(w) - 1).alias("place"), "id"), r.n
+
+
 def blocks_of(vectors: DataFrame, block_bytes: int) -> list[tuple[int, int]]:
     """Ranges of ids [from, to) that hold at most about ``block_bytes`` each (ids need not be dense)."""
     r = vectors.agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.max(F.size("vec")).alias("d")).head()

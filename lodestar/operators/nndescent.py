@@ -16,39 +16,28 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import arithmetic_id, l2_rows, seeded_id
+from ..functions.vectors import PRIME, l2_rows, seeded_id
 from ..plans.scratch import cut
-from .knn import top_k, vector_table, with_distance
+from .knn import ranked_ids, top_k, vector_table, with_distance
 
 
 def random_pairs(vectors: DataFrame, degree: int, seed: int = 42) -> DataFrame:
     """(src, dst): ``degree`` distinct pseudo-random neighbours of each node, without itself; fewer if there are fewer nodes.
 
-    Each node draws twice as many as it needs and keeps the first distinct ones. Where ids have gaps, draws are ranks
-    among the sorted ids.
+    Each node draws ranks among the sorted ids, twice as many as it needs and ten, and keeps the first distinct ones; of a
+    handful of nodes every other is drawn.
     """
-    r = vectors.agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).head()
-    n, degree = r.n, min(degree, max(r.n - 1, 0))
-    if n <= 4 * degree + 1:  # a handful of nodes: choose among all of them
-        ids = vectors.select("id")
-        drawn = ids.select(F.col("id").alias("src")).join(F.broadcast(ids.select(F.col("id").alias("dst"))), F.col("src") != F.col("dst")).withColumn("slot", F.xxhash64(F.lit(seed), "src", "dst"))
+    ranks, n = ranked_ids(vectors)
+    degree = min(degree, max(n - 1, 0))
+    slots = ranks.select(F.col("id").alias("src"), F.col("place").alias("own"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(max(n if n <= 4 * degree + 1 else 2 * degree + 10, 1)).cast("long"))).alias("slot"))
+    if n <= 4 * degree + 1:
+        drawn = slots.withColumn("place", F.col("slot") - 1).withColumn("slot", seeded_id(PRIME, seed, "own", "slot"))
     else:
-        slots = vectors.select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(1), F.lit(2 * degree + 10))).alias("slot"))
-        place = seeded_id(n, F.lit(seed), "src", "slot")
-        if r.lo == 0 and r.hi == n - 1:
-            drawn = slots.select("src", "slot", place.alias("dst"))
-        else:
-            by_place = vectors.select("id").rdd.map(lambda x: x[0]).sortBy(lambda x: x).zipWithIndex().toDF("dst long, place long")
-            drawn = slots.select("src", "slot", place.alias("place")).join(by_place, "place").select("src", "slot", "dst")
-    first = drawn.filter("src <> dst").groupBy("src", "dst").agg(F.min("slot").alias("slot"))
-    w = Window.partitionBy("src").orderBy("slot", "dst")
-    return first.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= degree).select("src", "dst")
-
-
-def arithmetic_pairs(vectors: DataFrame, n: int, degree: int, seed: int = 42) -> DataFrame:
-    """(src, dst) by plain integer arithmetic over dense ids, so that SQL can repeat the graph."""
-    slots = vectors.select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(degree).cast("long"))).alias("slot"))
-    return slots.select("src", arithmetic_id(F.col("src"), F.col("slot"), n, seed).alias("dst")).filter("src <> dst").distinct()
+        drawn = slots.withColumn("place", seeded_id(n, seed, "own", "slot"))
+    first = drawn.filter("place <> own").groupBy("src", "place").agg(F.min("slot").alias("slot"))
+    w = Window.partitionBy("src").orderBy("slot", "place")
+    kept = first.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= degree)
+    return kept.join(ranks.withColumnRenamed("id", "dst"), "place").select("src", "dst")
 
 
 def random_graph(vectors: DataFrame, degree: int, seed: int = 42) -> DataFrame:

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scratch import cut
+from ..plans.scratch import Growing
+from .knn import ranked_ids, vector_matrix
 
 ASSIGNMENT = "id long, worker int"
 
@@ -25,15 +27,44 @@ def range_partitions(n: int, parts: int) -> list[tuple[int, int]]:
 def subtree_sizes(tree: DataFrame) -> DataFrame:
     """(id, size): nodes of each subtree, the node itself included."""
     deepest = tree.agg(F.max("depth")).head()[0]
-    done = None
-    below = tree.select(F.col("child").alias("id"), F.lit(0).cast("long").alias("below")).filter("false")
-    for depth in range(deepest, -1, -1):
+    done = Growing(tree.sparkSession, "id long, parent long, size long", "sizes")
+    below = None
+    for depth in range(-1 if deepest is None else deepest, -1, -1):
         level = tree.filter(F.col("depth") == depth).select(F.col("child").alias("id"), "parent")
-        sized = cut(level.join(below, "id", "left").select("id", "parent", (F.coalesce("below", F.lit(0)) + 1).alias("size")), "sizes")
+        level = level.withColumn("below", F.lit(0).cast("long")) if below is None else level.join(below, "id", "left")
+        sized = done.append(level.select("id", "parent", (F.coalesce("below", F.lit(0)) + 1).alias("size")))
         below = sized.filter("id <> parent").groupBy(F.col("parent").alias("id")).agg(F.sum("size").alias("below"))
-        part = sized.select("id", "size")
-        done = part if done is None else done.unionByName(part)
-    return done
+    return done.table().select("id", "size")
+
+
+def by_ranges(vectors: DataFrame, workers: int) -> DataFrame:
+    """(id, worker) by the ids' ranks: the ranges of ``range_partitions``, whatever gaps the ids have."""
+    ranks, n = ranked_ids(vectors)
+    size = max(1, -(-n // max(workers, 1)))
+    return ranks.select("id", F.floor(F.col("place") / size).cast("int").alias("worker"))
+
+
+def owner_ids(placed: DataFrame) -> DataFrame:
+    """(worker, pos, id): the ids that each worker holds, in order, as rows: no list grows with the data."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("worker").orderBy("id")
+    return placed.select("worker", (F.row_number().over(w) - 1).cast("long").alias("pos"), "id")
+
+
+def expected_counts(placed: DataFrame) -> DataFrame:
+    """(worker, nodes, first_id, last_id): what each worker is to receive."""
+    return placed.groupBy("worker").agg(F.count("*").alias("nodes"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
+def partial_graph(graph: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``graph(id, neighbors)`` for some ``ids(id)``, as a worker asks for them."""
+    return graph.join(ids.select("id"), "id", "left_semi")
+
+
+def tree_leaves(tree: DataFrame) -> DataFrame:
+    """(id) of nodes without children."""
+    return tree.select(F.col("child").alias("id")).join(tree.filter("child <> parent").select(F.col("parent").alias("id")), "id", "left_anti")
 
 
 def load_bounds(n: int, workers: int) -> tuple[int, int]:
@@ -107,17 +138,27 @@ def plan(tree: DataFrame, sizes: DataFrame, workers: int, closest: Callable[[int
     return sorted(owner.items())
 
 
-def assignment(tree: DataFrame, workers: int, vectors: DataFrame | None = None, mode: str = "optimalRedistribution") -> DataFrame:
+def assignment(tree: DataFrame, workers: int, vectors: DataFrame | None = None, mode: str = "optimalRedistribution", fetch_bytes: int = 256 << 20) -> DataFrame:
     """(id, worker). ``optimalRedistribution`` descends into the child nearest to the node queued last."""
     spark = tree.sparkSession
     sizes = subtree_sizes(tree)
     pick = None
     if mode == "optimalRedistribution" and vectors is not None:
+        r = vectors.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("vec")), F.lit(0)).alias("d")).head()
+        held = vectors.select("id", "vec").toArrow() if r.n * (4 * r.d + 8) <= fetch_bytes else None
+
+        def fetched(ids: list[int]) -> dict[int, np.ndarray]:
+            """Vectors of a node and its children; one job for each choice only where the table is too large to be held."""
+            if held is None:
+                return {x.id: np.array(x.vec) for x in vectors.filter(F.col("id").isin(ids)).select("id", "vec").collect()}
+            return {i: matrix[at[i]] for i in ids}
+
+        if held is not None:
+            at, matrix = {i: k for k, i in enumerate(held["id"].to_pylist())}, vector_matrix(held["vec"]).astype(np.float64)
 
         def pick(last: int, options: list[int]) -> int:
-            rows = vectors.filter(F.col("id").isin([last, *options])).select("id", "vec").collect()
-            vec = {r.id: r.vec for r in rows}
-            return min(options, key=lambda x: (sum((a - b) ** 2 for a, b in zip(vec[last], vec[x])), x))
+            vec = fetched([last, *options])
+            return min(options, key=lambda x: (float(((vec[last] - vec[x]) ** 2).sum()), x))
 
     return spark.createDataFrame(plan(tree, sizes, workers, pick), ASSIGNMENT)
 

@@ -11,7 +11,12 @@ _PATHS: list[str] = []
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    """``spark.checkpoint.dir``; where that is unset and Spark runs in one process, a folder below the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return base.rstrip("/")
 
 
@@ -23,6 +28,24 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Growing:
+    """A table that is written part by part and read by one scan of all parts."""
+
+    def __init__(self, spark: SparkSession, schema: str, label: str = "growing"):
+        self.spark, self.schema, self.label, self.paths = spark, schema, label, []
+
+    def append(self, df: DataFrame) -> DataFrame:
+        """Write a part and return a scan of it."""
+        path = f"{scratch_folder(self.spark)}/{self.label}-{uuid.uuid4().hex}"
+        _PATHS.append(path)
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(self.schema).parquet(path)
+
+    def table(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*self.paths) if self.paths else self.spark.createDataFrame([], self.schema)
+
+
 def drop_scratch(spark: SparkSession) -> int:
     """Delete what ``cut`` has written so far; to be called once no result that reads it is needed. Returns how many."""
     n = len(_PATHS)

@@ -17,6 +17,7 @@ from .sources import graph_file, vecs
 Query = Callable[[SparkSession, str], DataFrame]
 
 K, SPARSE_K, CANDIDATES, DEGREE, RANDOM, WORKERS = 10, 3, 40, 10, 10, 4
+POOL, PATH_POOL, SEEDS = 40, 20, 20
 
 
 def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,25 +71,21 @@ def local_join_pairs(spark, sf_dir):
     return nndescent.local_join_pairs(_knn(spark, sf_dir).select("src", "dst"))
 
 
-def _arithmetic_knn(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    v = _vectors(spark, sf_dir)
-    pairs = nndescent.arithmetic_pairs(v, v.count(), RANDOM)
-    return v, knn.top_k(knn.with_distance(pairs, v), K)
-
-
 def random_graph(spark, sf_dir):
-    v = _vectors(spark, sf_dir)
-    return nndescent.arithmetic_pairs(v, v.count(), RANDOM)
+    return knn.edges(nndescent.random_graph(_vectors(spark, sf_dir), RANDOM))
 
 
 def initial_knn(spark, sf_dir):
-    return _rounded(_arithmetic_knn(spark, sf_dir)[1], "dist")
+    v = _vectors(spark, sf_dir)
+    return _rounded(nndescent.initial_knn(v, K, RANDOM, table=knn.vector_table(v)), "dist")
 
 
 def _round(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    v, first = _arithmetic_knn(spark, sf_dir)
-    first = cut(first.withColumn("is_new", F.lit(True)), "first")
-    return first, cut(nndescent.descent_round(first, v, K, 1_000_000), "round")
+    """The first lists and one round, as ``nn_descent`` runs them: by the table of vectors, candidates that can't enter left out."""
+    v = cut(_vectors(spark, sf_dir), "vectors")
+    table = knn.vector_table(v)
+    first = cut(nndescent.initial_knn(v, K, RANDOM, table=table).withColumn("is_new", F.lit(True)), "first")
+    return first, cut(nndescent.descent_round(first, v, K, 100, table=table), "round")
 
 
 def nnd_round(spark, sf_dir):
@@ -163,8 +160,7 @@ def subtree_sizes(spark, sf_dir):
 
 
 def tree_leaves(spark, sf_dir):
-    tree = _tree(spark, sf_dir)[2]
-    return tree.select(F.col("child").alias("id")).join(tree.filter("child <> parent").select(F.col("parent").alias("id")), "id", "left_anti")
+    return redistribute.tree_leaves(_tree(spark, sf_dir)[2])
 
 
 def ancestor_pairs(spark, sf_dir):
@@ -195,7 +191,22 @@ def load_bounds(spark, sf_dir):
 
 
 def worker_loads(spark, sf_dir):
-    return _labels(spark, sf_dir).groupBy("worker").agg(F.count("*").alias("nodes"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    return redistribute.expected_counts(_labels(spark, sf_dir))
+
+
+def owner_ids(spark, sf_dir):
+    return redistribute.owner_ids(_labels(spark, sf_dir))
+
+
+def range_workers(spark, sf_dir):
+    """Placement by ranks of ids that have gaps (those that aren't queries)."""
+    return redistribute.by_ranges(_vectors(spark, sf_dir).filter(F.col("id") % 50 != 0), WORKERS)
+
+
+def partial_graph(spark, sf_dir):
+    """Edges of the nodes of one worker."""
+    mine = _labels(spark, sf_dir).filter("worker = 3")
+    return knn.edges(redistribute.partial_graph(knn.adjacency(_knn(spark, sf_dir)), mine))
 
 
 def redistributed_edges(spark, sf_dir):
@@ -225,19 +236,19 @@ def beam_full_pool(spark, sf_dir):
 def beam_search_pool(spark, sf_dir):
     v, graph, nav = _nsg(spark, sf_dir)
     q = _search_queries(v)
-    return search.beam_search(q, graph, v, search.seeds_at(q, nav), 40)
+    return _rounded(search.beam_search(q, graph, v, search.seeds_at(q, nav), POOL), "dist")
 
 
 def beam_random_start(spark, sf_dir):
     v, graph, _ = _nsg(spark, sf_dir)
     q = _search_queries(v)
-    return search.beam_search(q, graph, v, search.random_seeds(q, v.count(), 20), 40)
+    return _rounded(search.beam_search(q, graph, v, search.random_seeds(q, v, SEEDS), POOL), "dist")
 
 
 def path_search(spark, sf_dir):
     v, graph, nav = _nsg(spark, sf_dir)
     q = v.select(F.col("id").alias("qid"), "vec")
-    return search.beam_search(q, graph, v, search.seeds_at(q, nav), 20, path=True)
+    return _rounded(search.beam_search(q, graph, v, search.seeds_at(q, nav), PATH_POOL, path=True), "dist")
 
 
 def recall_metrics(spark, sf_dir):
@@ -294,7 +305,7 @@ def connect_repair(spark, sf_dir):
 NAMES = [
     scan_vectors, knn_exact, knn_adjacency, reverse_neighbors, capped_reverse, forward_reverse_union, local_join_pairs, random_graph, initial_knn, nnd_round, nnd_updates,
     avg_graph_dist, centroid_by_dim, midpoint_by_label, distance_to_centroid, navigating_node, route_to_midpoint, occlusion_edges, occlusion_degrees, bfs_tree, unreached_nodes,
-    subtree_sizes, tree_leaves, ancestor_pairs, parent_replicas, shared_replicas, replica_counts, range_partition_plan, load_bounds, worker_loads, redistributed_edges, partition_plan,
+    subtree_sizes, tree_leaves, ancestor_pairs, parent_replicas, shared_replicas, replica_counts, range_partition_plan, load_bounds, worker_loads, owner_ids, range_workers, partial_graph, redistributed_edges, partition_plan,
     beam_full_pool, beam_search_pool, beam_random_start, path_search, recall_metrics, fvecs_round_trip, ivecs_truth, graph_file_round_trip, nn_descent_graph, index_search_recall, connect_repair,
 ]
 
@@ -310,9 +321,20 @@ _KNN = f"{_PAIRS}, {_RANKED}, knn AS (SELECT * FROM ranked WHERE rank <= {K})"
 _REVERSE = "turned AS (SELECT dst AS src, row_number() OVER (PARTITION BY dst ORDER BY dist, src) AS rank, src AS dst FROM knn)"
 _MEAN = "mean AS (SELECT list(value ORDER BY pos) AS m FROM (SELECT pos, avg(x) AS value FROM (SELECT unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY pos))"
 _NAV = f"{_MEAN}, tocenter AS (SELECT vec_id AS id, list_distance(embedding::DOUBLE[], m) AS dist FROM embeddings, mean), nav AS (SELECT id, dist FROM tocenter ORDER BY dist, id LIMIT 1)"
+
+
+def _drawn(i: str, slot: str, n: str) -> str:
+    """The arithmetic of ``seeded_id`` with seed 42."""
+    p = 2147483647
+    first = f"((({i}) * 7919 + {slot} * 104729 + {42 * 1299709 % p} + (({i}) * {slot}) % {p} * 31 + (({i}) * ({i})) % {p} * 17) % {p})"
+    second = f"(({first} * {first} + {first} * 48271) % {p})"
+    return f"(({second} * {second} + {second} * 16807 + {slot}) % {p} % {n})"
+
+
+_N = "n AS (SELECT count(*)::BIGINT AS n FROM embeddings)"
 _RANDOM = (
-    f"n AS (SELECT count(*) AS n FROM embeddings), rnd AS (SELECT DISTINCT src, dst FROM (SELECT e.vec_id AS src, ((e.vec_id * 7919 + s.slot * 104729 + 42 * 1299709 + (e.vec_id * s.slot) * 31 + e.vec_id * e.vec_id * 17) % 2147483647) % n.n AS dst "
-    f"FROM embeddings e, (SELECT unnest(range(1, {RANDOM + 1})) AS slot) s, n) WHERE src <> dst)"
+    f"{_N}, draws AS (SELECT e.vec_id AS src, s.slot, {_drawn('e.vec_id', 's.slot', 'n.n')} AS dst FROM embeddings e, (SELECT unnest(range(1, {2 * RANDOM + 11})) AS slot) s, n), "
+    f"firsts AS (SELECT src, dst, min(slot) AS slot FROM draws WHERE src <> dst GROUP BY src, dst), rnd AS (SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY slot, dst) AS r FROM firsts) WHERE r <= {RANDOM})"
 )
 _FIRST = f"{_RANDOM}, {_PAIRS}, first AS (SELECT * FROM (SELECT p.src, row_number() OVER (PARTITION BY p.src ORDER BY p.dist, p.dst) AS rank, p.dst, p.dist FROM rnd JOIN pairs p USING (src, dst)) WHERE rank <= {K})"
 _ROUND = (
@@ -341,6 +363,25 @@ _ANCESTORS = "up(id, ancestor) AS (SELECT child, parent FROM tree WHERE child <>
 _REPLICAS = "held AS (SELECT DISTINCT u.ancestor AS id, e.label AS worker FROM up u JOIN embeddings e ON e.vec_id = u.id WHERE u.ancestor NOT IN (SELECT child FROM tree WHERE child = parent)), replica AS (SELECT h.id, h.worker FROM held h JOIN embeddings e ON e.vec_id = h.id WHERE e.label <> h.worker)"
 
 
+def _beam(queries: str, seeds: str, pool: int) -> str:
+    """All open members of a query's pool are expanded in a round; the last state of each query is its result."""
+    measured = "list_distance(q.embedding::DOUBLE[], x.embedding::DOUBLE[])"
+    return (
+        f"query AS (SELECT * FROM embeddings q WHERE {queries}), seeds AS ({seeds}), "
+        f"start AS (SELECT q.vec_id AS qid, list_sort(list(DISTINCT {{'dist': {measured}, 'id': x.vec_id, 'open': true}})) AS pool FROM query q JOIN seeds s ON s.qid = q.vec_id JOIN embeddings x ON x.vec_id = s.id GROUP BY q.vec_id), "
+        f"beam(qid, r, pool, met, gone) AS (SELECT qid, 0, pool[1:{pool}], list_transform(pool, lambda t: t.id), pool[1:0] FROM start UNION ALL "
+        f"SELECT qid, r + 1, merged[1:{pool}], list_concat(met, list_transform(fresh, lambda t: t.id)), list_concat(gone, list_filter(merged[{pool + 1}:], lambda t: NOT t.open)) FROM ("
+        f"SELECT qid, r, met, gone, fresh, list_sort(list_concat(list_transform(pool, lambda t: {{'dist': t.dist, 'id': t.id, 'open': false}}), fresh)) AS merged FROM ("
+        f"SELECT b.qid, any_value(b.r) AS r, any_value(b.pool) AS pool, any_value(b.met) AS met, any_value(b.gone) AS gone, list(DISTINCT {{'dist': {measured}, 'id': x.vec_id, 'open': true}}) AS fresh "
+        f"FROM (SELECT qid, r, pool, met, gone, unnest(list_filter(pool, lambda t: t.open)) AS o FROM beam) b JOIN edges e ON e.src = b.o.id AND NOT list_contains(b.met, e.dst) JOIN query q ON q.vec_id = b.qid JOIN embeddings x ON x.vec_id = e.dst GROUP BY b.qid))), "
+        f"ended AS (SELECT qid, arg_max(pool, r) AS pool, arg_max(gone, r) AS gone FROM beam GROUP BY qid)"
+    )
+
+
+def _found(lists: str) -> str:
+    return f"SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY t.dist, t.id) AS rank, t.id AS id, round(t.dist, 6) AS dist FROM (SELECT qid, unnest({lists}) AS t FROM ended)"
+
+
 def _with(ctes: str, select: str) -> str:
     return f"WITH RECURSIVE {ctes} {select}"
 
@@ -380,6 +421,12 @@ def oracle_sql() -> dict[str, str]:
         "worker_loads": "SELECT label AS worker, count(*) AS nodes, min(vec_id) AS first_id, max(vec_id) AS last_id FROM embeddings GROUP BY label",
         "redistributed_edges": _with(_KNN, "SELECT e.label AS worker, count(DISTINCT k.src) AS nodes, count(*) AS edges FROM knn k JOIN embeddings e ON e.vec_id = k.src GROUP BY e.label"),
         "beam_full_pool": _with(f"{_NAV}, {_PRUNE}, {_bfs('edges')}", "SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank, id, round(dist, 6) AS dist FROM (SELECT q.vec_id AS qid, l.id, list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS dist FROM embeddings q, level l JOIN embeddings e ON e.vec_id = l.id WHERE q.vec_id % 50 = 0)"),
+        "beam_search_pool": _with(f"{_NAV}, {_PRUNE}, {_beam('q.vec_id % 50 = 0', 'SELECT q.vec_id AS qid, nav.id FROM embeddings q, nav', POOL)}", _found("pool")),
+        "beam_random_start": _with(f"{_N}, {_PRUNE}, {_beam('q.vec_id % 50 = 0', f'SELECT q.vec_id AS qid, ' + _drawn('q.vec_id', 's.slot', 'n.n') + f' AS id FROM embeddings q, n, (SELECT unnest(range(1, {SEEDS + 1})) AS slot) s', POOL)}", _found("pool")),
+        "path_search": _with(f"{_NAV}, {_PRUNE}, {_beam('true', 'SELECT q.vec_id AS qid, nav.id FROM embeddings q, nav', PATH_POOL)}", _found("list_concat(pool, gone)")),
+        "owner_ids": "SELECT label AS worker, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos, vec_id AS id FROM embeddings",
+        "range_workers": f"SELECT id, (place // ((n + {WORKERS - 1}) // {WORKERS}))::INT AS worker FROM (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS place, count(*) OVER () AS n FROM embeddings WHERE vec_id % 50 <> 0)",
+        "partial_graph": _with(_KNN, "SELECT k.src, k.dst FROM knn k JOIN embeddings e ON e.vec_id = k.src WHERE e.label = 3"),
         "recall_metrics": _with(f"{_ROUND}, truth AS (SELECT * FROM (SELECT src, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rank, dst FROM pairs) WHERE rank <= {K})", f"SELECT count(DISTINCT t.src) AS queries, count(*) FILTER (t.rank = 1 AND r.rank = 1)::BIGINT AS first_hits, count(r.rank)::BIGINT AS correct, round(count(r.rank) / (count(DISTINCT t.src) * {K}), 6) AS precision, round(count(r.rank) / (count(DISTINCT t.src) * {K}), 6) AS recall FROM truth t LEFT JOIN round1 r ON r.src = t.src AND r.dst = t.dst"),
         "fvecs_round_trip": "SELECT id, pos - 1 AS pos, round(x, 6) AS value FROM (SELECT vec_id AS id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings)",
         "ivecs_truth": _with(_KNN, "SELECT src AS qid, rank, dst AS id FROM knn"),

@@ -28,6 +28,11 @@ def head_bytes(spark: SparkSession, path: str, n: int) -> bytes:
         stream.close()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def _records(spark: SparkSession, path: str, kind: str, lines: int, name: str) -> DataFrame:
     first = head_bytes(spark, path, 4)
     sql_type = f"array<{'float' if kind == '<f4' else 'int'}>"

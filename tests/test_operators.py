@@ -138,7 +138,7 @@ def test_both_searches_agree(cloud):
         b = search.beam_search(q, graph, cloud, search.seeds_at(q, 3), 12, path, broadcast_bytes=0)
         a, b = ([(r.qid, r["rank"], r.id, round(r.dist, 9)) for r in x.orderBy("qid", "rank").collect()] for x in (a, b))
         assert a == b and a
-    seeds = search.random_seeds(q, 300, 1000)
+    seeds = search.random_seeds(q, cloud, 1000)
     assert search.beam_search(q, graph, cloud, seeds, 5).count() == 5 * 6
 
 
@@ -152,6 +152,128 @@ def test_islands_are_joined(spark):
     assert connect.spanning_tree(knn.edges(repaired), 0).count() == 8
 
 
+def test_ids_with_gaps_and_dangling_neighbours(spark):
+    v = frame(spark, [(1, [0]), (3, [1]), (5, [2]), (9, [7])])
+    graph = spark.createDataFrame([(1, [2, 3]), (3, [5, 99]), (5, [1, 4]), (8, [1]), (9, None)], "id long, neighbors array<long>")
+    q = spark.createDataFrame([(0, [0.0]), (7, [2.0])], "qid long, vec array<float>")
+    seeds = spark.createDataFrame([(0, 1), (0, 2), (7, 3), (7, 100)], "qid long, id long")
+    want = {0: [1, 3, 5], 7: [5, 3, 1]}
+    for bound in (1 << 28, 0):
+        got = {}
+        for r in search.beam_search(q, graph, v, seeds, 5, broadcast_bytes=bound).orderBy("qid", "rank").collect():
+            got.setdefault(r.qid, []).append(r.id)
+        assert got == want
+    assert search.beam_search(q, graph, v, seeds.filter("id > 50"), 5).count() == 0
+    drawn = search.random_seeds(q, v, 50)
+    assert {r.id for r in drawn.collect()} <= {1, 3, 5, 9} and drawn.count() == drawn.distinct().count() > 2
+    assert search.random_seeds(q, v.filter("false"), 3).count() == 0
+
+
+@pytest.mark.parametrize("bound", [1 << 28, 0])
+def test_a_search_that_is_cut_off_is_an_error(spark, bound):
+    v = frame(spark, [(i, [i]) for i in range(12)])
+    graph = spark.createDataFrame([(i, [i + 1]) for i in range(11)], "id long, neighbors array<long>")
+    q = spark.createDataFrame([(0, [11.0])], "qid long, vec array<float>")
+    assert search.beam_search(q, graph, v, search.seeds_at(q, 0), 3, broadcast_bytes=bound).head().id == 11
+    with pytest.raises(Exception, match="not done after 4 rounds"):
+        search.beam_search(q, graph, v, search.seeds_at(q, 0), 3, broadcast_bytes=bound, max_rounds=4).collect()
+
+
+def test_pools_together_are_each_pool(spark, cloud):
+    graph = knn.adjacency(knn.exact_knn(cloud, cloud, 6))
+    q = cloud.filter("id % 50 = 0").select(F.col("id").alias("qid"), "vec")
+    both = search.search_pools(q, graph, cloud, search.seeds_at(q, 3), [5, 9])
+    for pool in (5, 9):
+        one = {tuple(r) for r in search.beam_search(q, graph, cloud, search.seeds_at(q, 3), pool).collect()}
+        assert {tuple(r)[1:] for r in both.filter(F.col("pool") == pool).collect()} == one
+
+
+def test_ranks_of_ids_with_gaps(spark):
+    ids = [5, -3, 1000, 7, 8, 2**40, 12]
+    ranks, n = knn.ranked_ids(spark.createDataFrame([(i,) for i in ids], "id long"))
+    assert n == 7 and {r.place: r.id for r in ranks.collect()} == dict(enumerate(sorted(ids)))
+    placed = redistribute.by_ranges(spark.createDataFrame([(i,) for i in ids], "id long"), 3)
+    assert sorted((r.worker, r.id) for r in placed.collect()) == [(0, -3), (0, 5), (0, 7), (1, 8), (1, 12), (1, 1000), (2, 2**40)]
+    assert {(r.worker, r.pos): r.id for r in redistribute.owner_ids(placed).collect()}[1, 2] == 1000
+
+
+def plain_repair(edges, vectors, nav, find):
+    """One node after another, the smallest id first: the nodes that get an edge."""
+    reach, joined = set(), []
+
+    def flood(x):
+        todo = [x]
+        while todo:
+            y = todo.pop()
+            if y not in reach:
+                reach.add(y)
+                todo += edges.get(y, [])
+
+    flood(nav)
+    while set(vectors) - reach:
+        joined.append(min(set(vectors) - reach))
+        flood(joined[-1])
+    return joined
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_repair_joins_the_nodes_that_one_by_one_would(spark, seed):
+    rng = np.random.default_rng(seed)
+    n = 60
+    v = frame(spark, list(enumerate(rng.normal(size=(n, 3)).astype(np.float32))))
+    edges = {i: [int(x) for x in rng.integers(0, n, rng.integers(0, 2))] for i in range(n)}
+    graph = spark.createDataFrame(list(edges.items()), "id long, neighbors array<long>")
+    repaired, tree, added = connect.repair(graph, v, 0, 8)
+    assert sorted(r.dst for r in added.collect()) == plain_repair(edges, range(n), 0, None)
+    rows = {r.child: r for r in tree.collect()}
+    assert len(rows) == n == tree.count()
+    linked = {(r.src, r.dst) for r in knn.edges(repaired).collect()}
+    assert all(c == 0 or ((r.parent, c) in linked and r.depth == rows[r.parent].depth + 1) for c, r in rows.items())
+
+
+def test_run_config(spark, cloud, tmp_path):
+    files = {k: str(tmp_path / k) for k in ("input.fvecs", "aknng", "nsg", "query.fvecs", "truth.ivecs")}
+    q = cloud.filter("id < 20")
+    vecs.write_fvecs(cloud, files["input.fvecs"])
+    vecs.write_fvecs(q, files["query.fvecs"])
+    truth = knn.exact_knn(q, cloud, 5, exclude_self=False)
+    vecs.write_ivecs(knn.adjacency(truth).select("id", F.col("neighbors").cast("array<int>").alias("values")), files["truth.ivecs"])
+    config = IndexConfig(input_file=files["input.fvecs"], aknng_file=files["aknng"], nsg_file=files["nsg"], query_file=files["query.fvecs"], query_result_file=files["truth.ivecs"], k=15, candidate_queue_size_nsg=30, candidate_queue_size_knng=30, max_reverse_neighbors_nsg=15, candidate_queue_increases=1, approximate_navigating_node=True)
+    built, rows = pipeline.run_config(spark, config)
+    rows = rows.orderBy("pool").collect()
+    assert [r.pool for r in rows] == [5, 25] and rows[1].recall > 0.9 and {r.name for r in built.metrics().collect()} >= {"rounds", "repairs", "aknng_seconds", "nodes", "edges"}
+    again, more = pipeline.run_config(spark, config)  # from the saved graph
+    assert again.nav_node == built.nav_node and sorted(map(tuple, more.collect())) == sorted(map(tuple, rows)) and again.tree.count() == 300
+    few, none = pipeline.run_config(spark, IndexConfig(input_file=files["input.fvecs"], lines=40, k=10, candidate_queue_size_nsg=20))
+    assert few.vectors.count() == 40 and none is None
+
+
+def test_approximate_navigating_node(spark, cloud):
+    graph = knn.adjacency(knn.exact_knn(cloud, cloud, 10))
+    near = centroid.approximate_navigating_node(cloud, graph, 40).head()
+    exact = centroid.navigating_node(cloud).head()
+    assert exact.dist <= near.dist + 1e-6 and near.dist < 1.5 * exact.dist + 1e-6
+
+
+def test_partial_graph_and_leaves(spark, cloud):
+    graph = knn.adjacency(knn.exact_knn(cloud, cloud, 3))
+    assert sorted(r.id for r in redistribute.partial_graph(graph, cloud.filter("id < 4")).collect()) == [0, 1, 2, 3]
+    assert [r.id for r in redistribute.tree_leaves(chain(spark)).collect()] == [9]
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077"})()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.scratch_folder(Session())
+
+
 def chain(spark, n=10):
     return spark.createDataFrame([(i, max(i - 1, 0), i) for i in range(n)], connect.TREE)
 

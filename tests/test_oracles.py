@@ -35,4 +35,4 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_names_without_sql_are_the_iterative_ones():
     rest = set(module.queries()) - set(module.oracle_sql())
-    assert rest == {"partition_plan", "beam_search_pool", "beam_random_start", "path_search", "nn_descent_graph", "index_search_recall", "connect_repair"}
+    assert rest == {"partition_plan", "nn_descent_graph", "index_search_recall", "connect_repair"}
