@@ -825,17 +825,131 @@ def test_model_is_a_distribution(spark):
     rng = random.Random(3)
     words = [f"w{min(rng.randrange(1, 60), rng.randrange(1, 60))}" for _ in range(3000)]
     train = spark.createDataFrame([(i, " ".join(words[i * 30 : i * 30 + 30])) for i in range(100)], "doc_id long, text string")
-    settings = pitman_yor.Settings(contexts=8)
-    cells = pitman_yor.count_cells(train, settings, "text")
-    totals = pitman_yor.gather_totals(cells, settings)
-    predictive = pitman_yor.Predictive(totals, settings)
-    mass = np.zeros(8)
+    settings = pitman_yor.Settings(classes=8, words=12)
+    contexts = pitman_yor.choose_contexts(train, settings, "text")
+    cells = pitman_yor.count_cells(train, contexts, "text")
+    predictive = pitman_yor.Predictive(pitman_yor.gather_totals(cells, settings, contexts), settings, contexts)
+    mass = sum(predictive.table(b)[1].sum(0) for b in cells.toArrow().to_batches())
+    assert len(contexts) == 20 and mass + predictive.unknown == pytest.approx(np.ones(20))
+
+
+def test_averages_are_those_of_a_plain_gibbs_sampler(spark):
+    """Customers leave and come back one at a time, in restaurants of dicts: the same averaged probabilities, nearly."""
+    rng = random.Random(6)
+    words = [f"w{min(rng.randrange(1, 25), rng.randrange(1, 25))}" for _ in range(1200)]
+    rows = [" ".join(words[i * 30 : i * 30 + 30]) for i in range(40)]
+    train = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    settings = pitman_yor.Settings(classes=4, words=6, burn_in=4, samples=12)
+    contexts = pitman_yor.choose_contexts(train, settings, "text")
+    cells = pitman_yor.count_cells(train, contexts, "text")
+    totals = pitman_yor.gather_totals(cells, settings, contexts)
+    predictive = pitman_yor.Predictive(totals, settings, contexts)
+    key, got = [], []
     for b in cells.toArrow().to_batches():
-        s, root, cell = predictive.words(b)
-        p = np.einsum("sm,sw->wm", predictive.back, root) / len(root)
-        p[s.word, s.context] = cell
-        mass += p.sum(0)
-    assert mass + predictive.unknown == pytest.approx(np.ones(8))
+        s, p = predictive.table(b)
+        key += s.key.tolist()
+        got.append(p)
+    got = np.concatenate(got)
+
+    seats = []  # (word, context) of all tokens
+    for text in rows:
+        vocab = pa.array([text])
+        keys, ids, context, _ = pitman_yor.token_stream(vocab, contexts)
+        seats += [(key.index(int(keys[i])), int(c)) for i, c in zip(ids, context)]
+    m, n_words = contexts.classes, len(key)
+    discount, base = [totals.discount, totals.class_discount, totals.root_discounts[-1]], {}
+    tables = collections.defaultdict(lambda: collections.defaultdict(list))  # restaurant -> word -> customers of each table
+
+    def chain(c):
+        return [("word", c), ("class", int(contexts.parent[c])), ("root", 0)] if c >= m else [("class", c), ("root", 0)]
+
+    def level(r):
+        return {"word": 0, "class": 1, "root": 2}[r[0]]
+
+    def sums(r):
+        mine = tables[r].values()
+        return sum(map(sum, mine)), sum(map(len, mine))
+
+    size = collections.defaultdict(lambda: [0, 0])
+
+    def probability(path, w):
+        if not path:
+            return 0.0  # the base is diffuse: it never repeats a word
+        r, d = path[0], discount[level(path[0])]
+        n, t = size[r]
+        own = tables[r].get(w, [])
+        return (sum(own) - d * len(own) + (1 + d * t) * probability(path[1:], w)) / (1 + n)
+
+    def add(path, w):
+        if not path:
+            return
+        r, d = path[0], discount[level(path[0])]
+        own = tables[r][w]
+        weights = [x - d for x in own] + [(1 + d * size[r][1]) * probability(path[1:], w)]
+        if not own:
+            weights = [1.0]
+        k = rng.choices(range(len(weights)), weights)[0]
+        size[r][0] += 1
+        if k == len(own):
+            own.append(0)
+            size[r][1] += 1
+            add(path[1:], w)
+        own[k] += 1
+
+    def remove(path, w):
+        if not path:
+            return
+        own = tables[path[0]][w]
+        k = rng.choices(range(len(own)), own)[0]
+        own[k] -= 1
+        size[path[0]][0] -= 1
+        if not own[k]:
+            own.pop(k)
+            size[path[0]][1] -= 1
+            remove(path[1:], w)
+
+    for w, c in seats:
+        add(chain(c), w)
+    want, kept = np.zeros_like(got), 0
+    for sweep in range(40):
+        for w, c in rng.sample(seats, len(seats)):
+            remove(chain(c), w)
+            add(chain(c), w)
+        if sweep >= 10:
+            want += [[probability(chain(c), w) for c in range(len(contexts))] for w in range(n_words)]
+            kept += 1
+    want /= kept
+    used = np.zeros(len(contexts))
+    for _, c in seats:
+        used[c] += 1
+    off = np.abs(np.log10(got / want))
+    assert np.average(off.mean(0), weights=used) < 0.06 and off[:, used > 0].max() < 0.5
+
+
+@needs_data
+def test_language_model_scores_by_brute_force(spark, texts):
+    """Each text's probabilities token by token from the table of all words and contexts."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    train = docs.filter(queries.crc_remainder("doc_id") != 1)
+    settings = pitman_yor.Settings()
+    contexts = pitman_yor.choose_contexts(train, settings, "text")
+    cells = pitman_yor.count_cells(train, contexts, "text")
+    predictive = pitman_yor.Predictive(pitman_yor.gather_totals(cells, settings, contexts), settings, contexts)
+    p = {}
+    for b in cells.toArrow().to_batches(max_chunksize=2000):
+        b = pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in b.columns], names=b.schema.names)
+        s, table = predictive.table(b)
+        p |= dict(zip(s.key.tolist(), np.log10(table)))
+    unknown = np.log10(predictive.unknown)
+    top = {int(k): i for i, k in enumerate(contexts.keys)}
+    for r in queries.op8_language_model(spark, SMALL).collect()[::7]:
+        want, before = 0.0, 0
+        for w in [*re.findall(SPACE, lower(texts[r.doc_id])), None]:
+            k = int(pitman_yor.END) if w is None else xxhash.xxh64_intdigest(w.encode(), 0)
+            want += p.get(k, unknown)[before]
+            if w is not None:
+                before = contexts.classes + top[k] if k in top else int(pitman_yor.class_of(pa.array([w]), contexts.classes)[0])
+        assert r.score == pytest.approx(want, rel=1e-5)
 
 
 def test_frequent_and_rare_words_score_alike(spark):
@@ -843,7 +957,7 @@ def test_frequent_and_rare_words_score_alike(spark):
     rows = [(i, " ".join(f"w{min(rng.randrange(1, 90), rng.randrange(1, 90))}" for _ in range(25))) for i in range(80)]
     docs = spark.createDataFrame([*rows, (500, "unseen words w1"), (501, None)], "doc_id long, text string")
     train = docs.filter("doc_id < 80")
-    got = [{r.doc_id: r.score for r in pitman_yor.score_texts(docs, train, pitman_yor.Settings(contexts=16, frequent=f)).collect()} for f in (0, 10, 10**6)]
+    got = [{r.doc_id: r.score for r in pitman_yor.score_texts(docs, train, pitman_yor.Settings(classes=16, words=20, frequent=f)).collect()} for f in (0, 10, 10**6)]
     for d in got[0]:
         assert got[0][d] == pytest.approx(got[1][d], abs=1e-4) == pytest.approx(got[2][d], abs=1e-4)
 
