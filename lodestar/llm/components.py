@@ -22,15 +22,22 @@ def _mark(edges: DataFrame) -> tuple[int, int, int]:
     return r.n, r.h, r.g
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, n: int, hub_share: float = HUB_SHARE) -> DataFrame:
+    """``rows`` beside what ``groups`` (key, degree, ...) says of their key; no task gets a large group's rows to itself.
+
+    ``degree``: how many of the at most ``n`` rows have the key. At most 1 / ``hub_share`` keys are joined by broadcast.
+    """
+    bound = max(HUB_ROWS, int(n * hub_share))
+    if n <= bound:
+        return rows.join(groups.drop("degree"), key)
+    hubs = F.broadcast(written(groups.filter(F.col("degree") > bound).drop("degree"), "hubs"))
+    rest = rows.join(hubs.select(key), key, "left_anti").join(groups.filter(F.col("degree") <= bound).drop("degree"), key)
+    return rows.join(hubs, key).unionByName(rest)
+
+
 def _with_least(rows: DataFrame, edges: int) -> DataFrame:
-    """``rows`` (u, v) with the smallest v of each u as column m; no task gets a hub's rows to itself."""
-    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
-    bound = max(HUB_ROWS, int(2 * edges * HUB_SHARE))
-    if edges <= bound:
-        return rows.join(least.drop("degree"), "u")
-    hubs = F.broadcast(written(least.filter(F.col("degree") > bound).select("u", "m"), "hubs"))  # at most 1 / HUB_SHARE rows
-    rest = rows.join(hubs.select("u"), "u", "left_anti").join(least.filter(F.col("degree") <= bound).select("u", "m"), "u")
-    return rows.join(hubs, "u").unionByName(rest)
+    """``rows`` (u, v) with the smallest v of each u as column m."""
+    return join_groups(rows, rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")), "u", 2 * edges)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bitslice import column_counts, group_labels, large_group, mix64_words
-from .components import connected_components
+from .components import connected_components, join_groups
 from .storage import partitions_for, written
 from .textbatch import give_back, slices, texts_of
 
@@ -190,12 +190,13 @@ def links_within(prints: DataFrame, radius: int, tile_rows: int = 8192, task_row
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint as 16 hex digits, component_id) for each document."""
     printed = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    classes = written(printed.groupBy("fp").agg(F.min(id_col).alias("first")), "print-classes")
+    classes = written(printed.groupBy("fp").agg(F.min(id_col).alias("first"), F.count("*").alias("times")), "print-classes")
     roots = connected_components(links_within(classes.select("fp"), radius))
-    label = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
-    smallest = label.groupBy("root").agg(F.min("first").alias("component_id"))
-    label = written(label.join(smallest, "root").select("fp", "component_id"), "labels")
-    return printed.join(label, "fp").select(F.col(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    label = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first", "times")
+    smallest = label.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("degree"))
+    n, n_prints = classes.agg(F.coalesce(F.sum("times"), F.lit(0)), F.count("*")).head()
+    label = written(join_groups(label, smallest, "root", n_prints).select("fp", "component_id", F.col("times").alias("degree")), "labels")
+    return join_groups(printed, label, "fp", n).select(F.col(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def shared_bits(similarity: float) -> float:
@@ -368,9 +369,10 @@ def proved_links(docs: DataFrame, sets: DataFrame, roots: DataFrame, shingle: in
     places hang together in. A group with more than ``tile_shingles`` is dealt over pairs of tiles.
     """
     sets = sets.join(roots.select(F.col("node").alias("place"), "root"), "place", "left").withColumn("root", F.coalesce("root", "place"))
-    crowds = sets.groupBy("root").agg(F.count("*").alias("n"), F.sum("shingles").alias("total")).filter("n > 1")
+    sets = written(sets, "sets")
+    crowds = sets.groupBy("root").agg(F.count("*").alias("degree"), F.sum("shingles").alias("total")).filter("degree > 1")
     tiles = F.greatest(F.lit(1), F.ceil(F.col("total") / tile_shingles)).cast("int").alias("tiles")
-    some = written(sets.join(crowds, "root").select("node", "root", tiles, "shingles", F.col("first.id").alias("__id"), F.col("first.h").alias("__h")), "candidates")
+    some = written(join_groups(sets, crowds, "root", sets.count()).select("node", "root", tiles, "shingles", F.col("first.id").alias("__id"), F.col("first.h").alias("__h")), "candidates")
     n, total = some.agg(F.count("*"), F.coalesce(F.sum(F.col("shingles") * F.col("tiles")), F.lit(0))).head()
     keyed = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), text_key(text_col).alias("__text_hash"))
     same = keyed[id_col].eqNullSafe(F.col("__id")) & (keyed["__text_hash"] == F.col("__h"))
@@ -396,11 +398,11 @@ def one_of_each_group(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     sets = prints.groupBy("node", "place").agg(F.min("shingles").alias("shingles"), F.min(F.struct(F.col(id_col).alias("id"), F.col("text_hash").alias("h"))).alias("first"))
     roots = connected_components(proved_links(docs, sets, near, shingle, similarity, drop_broadcast, id_col, text_col))
     grouped = prints.select(id_col, "text_hash", "node").join(roots, "node", "left").select(id_col, "text_hash", F.coalesce("root", "node").alias("root"))
-    rows = grouped.groupBy(id_col, "text_hash", "root").agg(F.count("*").alias("times"))
+    rows = written(grouped.groupBy(id_col, "text_hash", "root").agg(F.count("*").alias("times")), "roots")
     # The row that stays: the smallest (id, text hash); a minimum is combined before the shuffle, however large the group.
-    first = rows.groupBy("root").agg(F.min(F.struct(F.col(id_col).alias("id"), F.col("text_hash").alias("h"))).alias("first"))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col(id_col).alias("id"), F.col("text_hash").alias("h"))).alias("first"), F.count("*").alias("degree"))
     stays = F.col(id_col).eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.h"))
-    marked = written(rows.join(first, "root").select(id_col, "text_hash", stays.alias("stays"), "times").filter(~F.col("stays") | (F.col("times") > 1)), "near-copies")
+    marked = written(join_groups(rows, first, "root", rows.count()).select(id_col, "text_hash", stays.alias("stays"), "times").filter(~F.col("stays") | (F.col("times") > 1)), "near-copies")
     n_marked, n_again = (lambda r: (r[0], r[1]))(marked.agg(F.count("*"), F.count(F.when(F.col("stays"), 1))).head())
     if not n_marked:
         return docs
