@@ -17,6 +17,7 @@ from lodestar.llm.quality import kept_documents
 from lodestar.llm.queries import TOKENIZER
 from lodestar.llm.simhash import one_of_each_group
 from lodestar.llm.storage import table, written
+from lodestar.plans.scratch import drop_scratch, mark
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +58,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each returns is written and read again by the next."""
+    """All stages over ``documents``; what each returns is written and read again by the next.
+
+    Once a stage is written, all else that the run has written is dropped.
+    """
+    began = mark()
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop_scratch(spark, began, docs)
     return docs

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scratch import Growing, cut
+from ..plans.scratch import Growing, cut, drop_scratch, mark
 from .search import beam_search, seeds_at
 
 TREE = "child long, parent long, depth long"
@@ -43,11 +43,13 @@ def sources(edges: DataFrame, ids: DataFrame) -> DataFrame:
     ids = cut(ids, "unreached")
     inside = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
     inside = cut(inside, "inside")
+    began = mark()
     label = cut(ids.select("id", F.col("id").alias("least"), F.lit(True).alias("moved")), "labels")
     while label.filter("moved").limit(1).count():
         told = label.filter("moved").join(inside, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.min("least").alias("told"))
         better = F.coalesce(F.col("told") < F.col("least"), F.lit(False))
         label = cut(label.join(told, "id", "left").select("id", F.when(better, F.col("told")).otherwise(F.col("least")).alias("least"), better.alias("moved")), "labels")
+        drop_scratch(edges.sparkSession, began, label)
     return label.filter("id = least").select("id")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import PRIME, l2_rows, seeded_id
-from ..plans.scratch import cut
+from ..plans.scratch import cut, drop_scratch, mark
 from .knn import ranked_ids, top_k, vector_table, with_distance
 
 
@@ -135,11 +135,12 @@ def nn_descent(vectors: DataFrame, k: int, degree: int = 10, max_rounds: int = 1
 
     Distances are looked up in a table of the vectors where that fits ``broadcast_bytes``, else joined by id.
     """
-    table = vector_table(vectors, broadcast_bytes)
+    table, began = vector_table(vectors, broadcast_bytes), mark()
     knn = cut(initial_knn(vectors, k, degree, seed, table).withColumn("is_new", F.lit(True)), "nnd")
     rounds = 0
     for rounds in range(1, max_rounds + 1):
         knn = cut(descent_round(knn, vectors, k, cap, strict_radius, seed, table), "nnd")
+        drop_scratch(vectors.sparkSession, began, knn)
         if not knn.filter("is_new").limit(1).count():
             break
     return knn.select("src", "rank", "dst", "dist"), rounds

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import l2, l2_rows, seeded_id
-from ..plans.scratch import cut
+from ..plans.scratch import cut, drop_scratch, mark
 from .knn import ranked_ids, vector_matrix
 
 RESULT = "qid long, rank long, id long, dist double"
@@ -170,6 +170,7 @@ def _join_search(queries: DataFrame, graph: DataFrame, vectors: DataFrame, seeds
     w = Window.partitionBy("qid").orderBy("dist", "id")
     # state: every node that a query has met; kept: in its pool; open: to be expanded.
     state = measured(seeds.distinct()).withColumn("rank", F.row_number().over(w)).select("qid", "id", "dist", (F.col("rank") <= pool).alias("kept"), (F.col("rank") <= pool).alias("open"), F.lit(False).alias("expanded"))
+    began = mark()
     state = cut(state, "beam")
     for _ in range(max_rounds):
         frontier = state.filter("open")
@@ -183,6 +184,7 @@ def _join_search(queries: DataFrame, graph: DataFrame, vectors: DataFrame, seeds
         ranked = both.withColumn("rank", F.when(F.col("kept"), F.row_number().over(Window.partitionBy("qid", "kept").orderBy("dist", "id"))))
         inside = F.col("kept") & (F.col("rank") <= pool)
         state = cut(ranked.select("qid", "id", "dist", inside.alias("kept"), (inside & F.col("open")).alias("open"), "expanded"), "beam")
+        drop_scratch(queries.sparkSession, began, state)
     else:
         if state.filter("open").limit(1).count():
             raise RuntimeError(f"a search is not done after {max_rounds} rounds")

@@ -25,7 +25,9 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     path = f"{scratch_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     _PATHS.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
 class Growing:
@@ -46,10 +48,20 @@ class Growing:
         return self.spark.read.schema(self.schema).parquet(*self.paths) if self.paths else self.spark.createDataFrame([], self.schema)
 
 
-def drop_scratch(spark: SparkSession) -> int:
-    """Delete what ``cut`` has written so far; to be called once no result that reads it is needed. Returns how many."""
-    n = len(_PATHS)
-    while _PATHS:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return n
+def mark() -> int:
+    """A point in the list of scratch tables, for ``drop_scratch``."""
+    return len(_PATHS)
+
+
+def drop_scratch(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> int:
+    """Delete what has been written since a mark; to be called once no result that reads it is needed. Returns how many.
+
+    ``keep``: a table from ``cut`` that stays. Loops drop their earlier rounds by this, each round's table being whole.
+    """
+    kept = getattr(keep, "scratch_path", None)
+    gone = [p for p in _PATHS[since:] if p != kept]
+    _PATHS[since:] = [p for p in _PATHS[since:] if p == kept]
+    for path in gone:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return len(gone)
