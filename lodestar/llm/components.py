@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import drop_scratch, mark
 from .storage import written
 
 #: A node is a hub if it has more than this share of all rows (and more than ``HUB_ROWS``).
@@ -45,6 +46,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     ``root`` is the smallest node of the component; roots themselves are not listed.
     """
+    began = mark()
     star = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
     before = _mark(star)
     for _ in range(max_rounds):
@@ -58,6 +60,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         ends = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
         small = _with_least(large, before[0]).select(F.explode(ends).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
         star = written(small, "edges")
+        drop_scratch(edges.sparkSession, began, star)
         after = _mark(star)
         if after == before:
             break

@@ -42,6 +42,11 @@ from .textbatch import give_back, slices, texts_of
 CHUNK = 1 << 16
 
 
+#: Ids of rows that are sent to every executor have at most so many bytes together, whatever their type.
+MOST_ID_BYTES = 64 << 20
+ID_BYTES = lambda c: F.coalesce(F.sum(F.octet_length(F.col(c).cast("string"))), F.lit(0))
+
+
 def shingle_hashes(text: str, size: int) -> np.ndarray:
     """XXH64 (seed 42) of each run of ``size`` words of the text, A-Z lower-cased, joined by single spaces."""
     words = text.encode().lower().split()
@@ -373,10 +378,10 @@ def proved_links(docs: DataFrame, sets: DataFrame, roots: DataFrame, shingle: in
     crowds = sets.groupBy("root").agg(F.count("*").alias("degree"), F.sum("shingles").alias("total")).filter("degree > 1")
     tiles = F.greatest(F.lit(1), F.ceil(F.col("total") / tile_shingles)).cast("int").alias("tiles")
     some = written(join_groups(sets, crowds, "root", sets.count()).select("node", "root", tiles, "shingles", F.col("first.id").alias("__id"), F.col("first.h").alias("__h")), "candidates")
-    n, total = some.agg(F.count("*"), F.coalesce(F.sum(F.col("shingles") * F.col("tiles")), F.lit(0))).head()
+    n, total, id_bytes = some.agg(F.count("*"), F.coalesce(F.sum(F.col("shingles") * F.col("tiles")), F.lit(0)), ID_BYTES("__id")).head()
     keyed = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), text_key(text_col).alias("__text_hash"))
     same = keyed[id_col].eqNullSafe(F.col("__id")) & (keyed["__text_hash"] == F.col("__h"))
-    rows = keyed.join(F.broadcast(some) if n <= broadcast_rows else some, same).select("node", "root", "tiles", "text")
+    rows = keyed.join(F.broadcast(some) if n <= broadcast_rows and id_bytes <= MOST_ID_BYTES else some, same).select("node", "root", "tiles", "text")
     rows = rows.mapInArrow(_once, rows.schema)
     tile = F.pmod(F.xxhash64(F.lit("tile"), "node"), F.col("tiles")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: F.struct(F.least(tile, j).alias("i"), F.greatest(tile, j).alias("j")))
@@ -403,16 +408,20 @@ def one_of_each_group(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     first = rows.groupBy("root").agg(F.min(F.struct(F.col(id_col).alias("id"), F.col("text_hash").alias("h"))).alias("first"), F.count("*").alias("degree"))
     stays = F.col(id_col).eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.h"))
     marked = written(join_groups(rows, first, "root", rows.count()).select(id_col, "text_hash", stays.alias("stays"), "times").filter(~F.col("stays") | (F.col("times") > 1)), "near-copies")
-    n_marked, n_again = (lambda r: (r[0], r[1]))(marked.agg(F.count("*"), F.count(F.when(F.col("stays"), 1))).head())
+    n_marked, n_again, id_bytes = marked.agg(F.count("*"), F.count(F.when(F.col("stays"), 1)), ID_BYTES(id_col)).head()
     if not n_marked:
         return docs
-    small = F.broadcast if n_marked <= drop_broadcast else lambda x: x
+    small = F.broadcast if n_marked <= drop_broadcast and id_bytes <= MOST_ID_BYTES else lambda x: x
     key = "__text_hash"
     keyed = docs.withColumn(key, text_key(text_col))
     marks = small(marked.select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__h"), "stays"))
     same = keyed[id_col].eqNullSafe(F.col("__id")) & (keyed[key] == F.col("__h"))
     out = keyed.join(marks.drop("stays"), same, "left_anti").drop(key)
-    if n_again:  # repeated rows of a document that stays: one of them
-        again = keyed.join(marks.filter("stays").drop("stays"), same, "left_semi").dropDuplicates([id_col, key]).drop(key)
+    if n_again:  # repeated rows of a document that stays: the smallest by all columns
+        again = keyed.join(marks.filter("stays").drop("stays"), same, "left_semi")
+        if "map<" in docs.schema.simpleString():  # maps have no order: one of the rows
+            again = again.dropDuplicates([id_col, key]).drop(key)
+        else:
+            again = again.groupBy(id_col, key).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__row")).select("__row.*")
         out = out.unionByName(again)
     return out

@@ -179,10 +179,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, positive_rows: int = 6000,
     if not sizes.k:
         return nothing
     toxic = marks.filter("toxic = 1")
-    # Both samples are bounded by parameters, so the ids are small enough to be sent to every executor.
+    # Both samples are bounded by parameters, so their ids can be sent to every executor.
     chosen = _sampled(toxic, sizes.k, positive_rows, id_col).select(F.col(id_col), F.lit(1).alias("toxic"))
     others = _sampled(docs.select(id_col), docs.count(), unlabelled_rows, id_col).select(F.col(id_col)).distinct().withColumn("toxic", F.lit(0))
-    chosen = F.broadcast(others.unionByName(chosen))
+    chosen = others.unionByName(chosen)
+    if chosen.count() <= 2 * (positive_rows + unlabelled_rows):  # sure but for the chance of the sample
+        chosen = F.broadcast(chosen)
     # One row for each id and side: rows that repeat an id many times must not enlarge the sample.
     rows = docs.select(F.col(id_col), F.col(text_col)).join(chosen, id_col).dropDuplicates([id_col, "toxic"]).select("toxic", text_col)
 
