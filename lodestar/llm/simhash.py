@@ -376,7 +376,9 @@ def proved_links(docs: DataFrame, sets: DataFrame, roots: DataFrame, shingle: in
     sets = sets.join(roots.select(F.col("node").alias("place"), "root"), "place", "left").withColumn("root", F.coalesce("root", "place"))
     sets = written(sets, "sets")
     crowds = sets.groupBy("root").agg(F.count("*").alias("degree"), F.sum("shingles").alias("total")).filter("degree > 1")
-    tiles = F.greatest(F.lit(1), F.ceil(F.col("total") / tile_shingles)).cast("int").alias("tiles")
+    # A group is cut into up to 16 tiles of at least an eighth of ``tile_shingles``, then into full ones.
+    tile = F.greatest(F.lit(tile_shingles / 8), F.least(F.lit(float(tile_shingles)), F.col("total") / 16))
+    tiles = F.greatest(F.lit(1), F.ceil(F.col("total") / tile)).cast("int").alias("tiles")
     some = written(join_groups(sets, crowds, "root", sets.count()).select("node", "root", tiles, "shingles", F.col("first.id").alias("__id"), F.col("first.h").alias("__h")), "candidates")
     n, total, id_bytes = some.agg(F.count("*"), F.coalesce(F.sum(F.col("shingles") * F.col("tiles")), F.lit(0)), ID_BYTES("__id")).head()
     keyed = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), text_key(text_col).alias("__text_hash"))
