@@ -15,7 +15,7 @@ from ..plans.scratch import drop_scratch, mark
 from .storage import written
 
 #: A node is a hub if it has more than this share of all rows (and more than ``HUB_ROWS``).
-HUB_SHARE, HUB_ROWS = 1e-4, 500
+HUB_SHARE, HUB_ROWS = 1e-4, 100
 
 
 def _mark(edges: DataFrame) -> tuple[int, int, int]:
