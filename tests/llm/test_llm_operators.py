@@ -952,6 +952,26 @@ def test_language_model_scores_by_brute_force(spark, texts):
         assert r.score == pytest.approx(want, rel=1e-5)
 
 
+def test_lookup_finds_the_probabilities_of_the_table():
+    """Words with cells of words and classes, of classes only, and contexts that no word has."""
+    contexts = pitman_yor.Contexts(3, np.array([7, 9], np.uint64), np.array([0, 1, 2, 1, 2]))
+    predictive = pitman_yor.Predictive.__new__(pitman_yor.Predictive)
+    predictive.contexts, predictive.kept = contexts, [1, 2]
+    predictive.back = np.array([[1, 1, 1, 0.5, 0.25], [1, 1, 1, 0.75, 0.5]])
+    predictive.class_back = np.array([[0.5, 0.25, 0.125], [0.25, 0.5, 0.75]])
+    root, in_class, p = [[0.5, 0.25], [0.125, 0.0625]], {(0, 1): [0.5, 0.75], (1, 0): [0.25, 0.125], (1, 2): [1.0, 0.5]}, {(0, 1): 0.625, (0, 3): 0.875, (1, 0): 0.1875, (1, 2): 0.75}
+    of = lambda d, w: [c for v, c in d if v == w]
+    columns = {"key": [50, 40], "n": [5, 6], "root": root, "classes": [of(in_class, w) for w in (0, 1)], "in_class": [sum((in_class[w, c] for c in of(in_class, w)), []) for w in (0, 1)], "contexts": [of(p, w) for w in (0, 1)], "p": [[p[w, c] for c in of(p, w)] for w in (0, 1)]}
+    known = pitman_yor.Lookup(pa.table(columns), predictive)
+    assert known.keys.tolist() == [40, 50] and known.n.tolist() == [6, 5]
+    for place, w in enumerate((1, 0)):
+        for c in range(5):
+            above = int(contexts.parent[c])
+            want = [predictive.back[k, c] * (in_class[w, above][k] if (w, above) in in_class else root[w][k] * predictive.class_back[k, above]) for k in (0, 1)]
+            want = p[w, c] if c >= 3 and (w, c) in p else sum(want) / 2
+            assert known.probabilities(np.array([place]), np.array([c]))[0] == pytest.approx(want)
+
+
 def test_frequent_and_rare_words_score_alike(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(f"w{min(rng.randrange(1, 90), rng.randrange(1, 90))}" for _ in range(25))) for i in range(80)]
