@@ -1,7 +1,8 @@
 """Partitioning of vectors along the spanning tree, with replication.
 
 Subtree sizes are sums by level, deepest first. The plan itself is a sequential walk over (node, parent, size) on the
-driver: it reads three integers a node, and only when a plan is asked for. Moving rows is one shuffle on the worker.
+driver, but only over the top of the tree: a subtree that fits between the load bounds is never entered, so what is
+below it stays where it is and inherits its worker by levels. Moving rows is one shuffle on the worker.
 """
 
 from __future__ import annotations
@@ -75,14 +76,37 @@ def load_bounds(n: int, workers: int) -> tuple[int, int]:
     return n // workers - slack, n // workers + slack
 
 
-def plan(tree: DataFrame, sizes: DataFrame, workers: int, closest: Callable[[int, list[int]], int] | None = None) -> list[tuple[int, int]]:
-    """(id, worker) for every node of the tree.
+def top_of_tree(tree: DataFrame, sizes: DataFrame, n: int, workers: int) -> list:
+    """Rows (child, parent, size) that ``plan`` can visit: the children of subtrees larger than the bounds are apart.
+
+    At most depth x 50 (workers - 1) subtrees are that large; a smaller one never overfills a worker that still lacks nodes.
+    """
+    least, most = load_bounds(n, workers)
+    large = sizes.filter(F.col("size") > most - least).select(F.col("id").alias("parent"))
+    rows = tree.select("child", "parent").join(large, "parent", "left_semi")
+    return rows.join(sizes, rows["child"] == sizes["id"]).select("child", "parent", "size").collect()
+
+
+def inherited(tree: DataFrame, owners: DataFrame) -> DataFrame:
+    """(id, worker): every node of the tree with its worker in ``owners``, or else its parent's, level by level."""
+    deepest = tree.agg(F.max("depth")).head()[0]
+    done, above = Growing(tree.sparkSession, ASSIGNMENT, "assignment"), None
+    owners = owners.select(F.col("id"), F.col("worker").alias("own"))
+    for depth in range(-1 if deepest is None else deepest + 1):
+        level = tree.filter(F.col("depth") == depth).select(F.col("child").alias("id"), "parent").join(owners, "id", "left")
+        level = level.withColumn("up", F.lit(None).cast("int")) if above is None else level.join(above, "parent", "left")
+        placed = done.append(level.select("id", F.coalesce("own", "up").cast("int").alias("worker")))
+        above = placed.select(F.col("id").alias("parent"), F.col("worker").alias("up"))
+    return done.table()
+
+
+def plan(rows: list, n: int, workers: int, closest: Callable[[int, list[int]], int] | None = None) -> list[tuple[int, int]]:
+    """(id, worker) for the nodes of ``rows`` (child, parent, size), the whole tree of ``n`` nodes or its top.
 
     Subtrees are gathered on a waiting list until they reach a worker's share: one that is too small is queued and its
     parent looked at again, one that is too large is left for a child. ``closest`` picks the child (default: the
     first) given the node queued last; the last worker takes what is left.
     """
-    rows = tree.join(sizes, tree["child"] == sizes["id"]).select("child", "parent", "size").collect()
     parent = {r.child: r.parent for r in rows}
     rest = {r.child: r.size for r in rows}
     children: dict[int, list[int]] = {r.child: [] for r in rows}
@@ -91,7 +115,7 @@ def plan(tree: DataFrame, sizes: DataFrame, workers: int, closest: Callable[[int
         if r.child != root:
             children[r.parent].append(r.child)
     full = {x: list(c) for x, c in children.items()}
-    least, most = load_bounds(len(rows), workers)
+    least, most = load_bounds(n, workers)
     owner: dict[int, int] = {}
 
     def claim(nodes: list[int], worker: int) -> None:
@@ -160,7 +184,10 @@ def assignment(tree: DataFrame, workers: int, vectors: DataFrame | None = None,
             vec = fetched([last, *options])
             return min(options, key=lambda x: (float(((vec[last] - vec[x]) ** 2).sum()), x))
 
-    return spark.createDataFrame(plan(tree, sizes, workers, pick), ASSIGNMENT)
+    n = tree.count()
+    placed = plan(top_of_tree(tree, sizes, n, workers), n, workers, pick)
+    owners = spark.createDataFrame(placed, ASSIGNMENT)
+    return owners if len(placed) == n else inherited(tree, owners)
 
 
 def ancestors(tree: DataFrame) -> DataFrame:

@@ -406,3 +406,23 @@ def test_config(spark):
         assert c.k == 33 and c.workers == 2 and "k = 33" in c.describe()
     finally:
         spark.conf.unset("lodestar.k")
+
+
+def test_plan_from_the_top_of_the_tree_is_that_of_the_whole(spark):
+    rng = np.random.default_rng(3)
+    parent, depth = [0], [0]
+    for i in range(1, 1200):
+        parent.append(int(rng.integers((i - 1) // 8, (i - 1) // 3 + 1)))
+        depth.append(depth[parent[-1]] + 1)
+    size = [1] * 1200
+    for i in range(1199, 0, -1):
+        size[parent[i]] += size[i]
+    rows = list(zip(range(1200), parent, depth))
+    tree = cut(spark.createDataFrame(rows, "child long, parent long, depth int"), "tree")
+    sizes = redistribute.subtree_sizes(tree)
+    top = redistribute.top_of_tree(tree, sizes, 1200, 3)
+    assert 0 < len(top) < 600
+    whole = spark.createDataFrame(list(zip(range(1200), parent, size)), "child long, parent long, size long").collect()
+    want = dict(redistribute.plan(whole, 1200, 3))
+    got = {r.id: r.worker for r in redistribute.assignment(tree, 3).collect()}
+    assert got == want and set(want.values()) == {0, 1, 2}
