@@ -1,23 +1,25 @@
 """Language-model scoring (operator 8): a hierarchical Pitman-Yor model with sampled Chinese-restaurant seatings.
 
-Contexts. The next token is predicted from the word before it. The ``words`` most frequent words of the training side are
-restaurants of their own; their parents are ``classes`` class restaurants (by the last two bytes of the word before, one
-for the beginning of a text), which also seat the tokens after all other words themselves. All class restaurants share one
-parent, whose customers are their tables, and its base measure is diffuse: its new tables are words never seen. A
-restaurant's tables are customers of its parent throughout. Restaurants for all words would need every token to meet its
-pair of words by a shuffle; see the README for what that costs. Every count covers every training token.
+Contexts. The next token is predicted from the word before it, and every such word is a restaurant of its own, whatever its
+count. Parents are ``classes`` class restaurants (by the last two bytes of the word before, one for the beginning of a
+text). All class restaurants share one parent, whose customers are their tables, and its base measure is diffuse: its new
+tables are words never seen. A restaurant's tables are customers of its parent throughout. The totals of at most ``words``
+restaurants, those of the most frequent words (``Contexts``), are sent to every executor; the others are rows (`rest_of`) which
+the tokens after their word meet in a join. Every count covers every training token.
 
 Sampling. A sweep reseats all customers of each (context, word) one after another, given the parent's predictive
 probability of the word and the tables of the restaurant from the sweep before; then those of the class restaurants, with
 the new tables among them. Sweeps run for all words in parallel;
 only totals by context are gathered between sweeps. Random numbers are hashes of (word, context, step, sweep), so a
 task that is run again after a lost executor draws the same seating. Customers beyond the first ``exact_steps`` of a
-cell are seated in growing groups with a normal draw for the number of new tables. Probabilities are averages over the
+cell are seated in growing groups with a normal draw for the number of new tables. The pull of a new table in a restaurant beyond
+``words`` has its tables of the start (one for each of its words) instead of those of the sweep before; the predictive
+probabilities have the drawn ones. Probabilities are averages over the
 sweeps after ``burn_in``. Discounts come from the counts of counts of each level, strengths are parameters.
 
-Scale. Words and cells (word, context, count) are aggregated before the shuffle and merged in sorted streams. The rows of the
-most frequent words, as many as have at most ``frequent`` cells together, are sent to every executor; tokens of all other
-words meet their word's row in a shuffled join, one row a token. Both ways look up the same numbers. Nothing is left out.
+Scale. Cells (word, context, count) are summed before the shuffle and dealt out as compressed blocks. The class cells of the most
+frequent words and their largest cells, ``frequent`` together, are sent to every executor; other tokens are dealt out
+in blocks to where their word's row is or, for frequent words, their cell. Both ways look up the same numbers. Nothing is left out.
 A word stands as its 64-bit hash.
 
 Defined cases: a null, empty or white-space text is the end token alone; tokens unknown to the training side share the
@@ -34,6 +36,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +51,7 @@ END = np.uint64(0xE0D0E0D0E0D0E0D1)
 @dataclass
 class Settings:
     classes: int = 64
-    words: int = 4032
+    words: int = 1_000_000
     burn_in: int = 2
     samples: int = 2
     strength: float = 1.0
@@ -68,6 +72,10 @@ class Contexts:
     def __len__(self) -> int:
         return len(self.parent)
 
+    def __reduce__(self):
+        # Broadcasts lie on the disk of every executor: they are sent compressed.
+        return _contexts, (self.classes, len(self.keys), _pack(_steps(self.keys)), len(self.parent), _pack(self.parent))
+
     def of(self, vocab: pa.Array, keys: np.ndarray) -> np.ndarray:
         """The restaurant for the token after each distinct word."""
         out = class_of(vocab, self.classes)
@@ -77,6 +85,10 @@ class Contexts:
         return out
 
 
+def _contexts(classes: int, n: int, keys: bytes, m: int, parent: bytes) -> Contexts:
+    return Contexts(classes, np.cumsum(_unpack(keys, n, 1)[0]).view(np.uint64), _unpack(parent, m, 1)[0].astype(np.int32))
+
+
 @dataclass
 class Totals:
     """Sums over the whole training side; those that a sweep changes are lists by sweep."""
@@ -91,6 +103,15 @@ class Totals:
     class_tables: list[np.ndarray] = field(default_factory=list)
     root_discounts: list[float] = field(default_factory=list)
 
+    def __getstate__(self) -> dict:
+        rows = [self.customers, *self.tables]
+        return self.__dict__ | {"customers": (len(rows), len(self.customers), _pack(*rows)), "tables": None}
+
+    def __setstate__(self, state: dict) -> None:
+        k, n, blob = state["customers"]
+        rows = _unpack(blob, n, k)
+        self.__dict__ = state | {"customers": rows[0], "tables": [x.astype(np.int32) for x in rows[1:]]}
+
 
 def class_of(vocab: pa.Array, classes: int) -> np.ndarray:
     """Class of each distinct word as a context: 1 .. classes - 1, by its last two bytes."""
@@ -102,6 +123,48 @@ def class_of(vocab: pa.Array, classes: int) -> np.ndarray:
     return (mix64(last * np.uint64(256) + before + np.uint64(1)) % np.uint64(classes - 1)).astype(np.int64) + 1
 
 
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Integer arrays of one length, compressed by planes of bytes: what is small or sorted takes few bytes."""
+    x = np.ascontiguousarray(np.stack([np.asarray(a).astype(np.int64) for a in arrays]))
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(arrays), -1, 8).transpose(0, 2, 1))
+    return pa.Codec("zstd", compression_level=1).compress(planes.tobytes(), asbytes=True)
+
+
+def _unpack(blob: bytes, n: int, columns: int) -> np.ndarray:
+    """(columns, n) int64."""
+    raw = pa.Codec("zstd").decompress(blob, decompressed_size=8 * n * columns, asbytes=True)
+    planes = np.frombuffer(raw, np.uint8).reshape(columns, 8, n)
+    return np.array(planes.transpose(0, 2, 1), order="C").view(np.int64).reshape(columns, n)
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Differences of sorted numbers, the first from 0 (modulo 2^64); ``np.cumsum`` undoes it."""
+    x = x.view(np.int64)
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
+#: Rows that are dealt out by bucket: compressed arrays of ``n`` entries, of one kind.
+DEALT = "bucket int, kind int, n int, blob binary"
+
+
+def _dealt(bucket: list, kind: list, n: list, blob: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(kind, pa.int32()), pa.array(n, pa.int32()), pa.array(blob, pa.binary())], names=["bucket", "kind", "n", "blob"])
+
+
+def _by_bucket(bucket: np.ndarray, kind: int, *arrays: np.ndarray, steps: int = 0) -> Iterator[tuple[int, int, int, bytes]]:
+    """Deal rows out; array 0 is sorted within a bucket and goes as steps if ``steps``."""
+    order = np.argsort(arrays[0]) if steps else np.arange(len(bucket))
+    narrow = bucket.astype(np.uint16) if len(bucket) and bucket.max() < 1 << 16 else bucket  # sorted by counting
+    order = order[np.argsort(narrow[order], kind="stable")]
+    bucket = bucket[order]
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    for a, b in zip(first, np.append(first[1:], len(bucket))):
+        columns = [x[order[a:b]] for x in arrays]
+        if steps:
+            columns[0] = _steps(columns[0])
+        yield int(bucket[a]), kind, int(b - a), _pack(*columns)
+
+
 def token_stream(texts: pa.Array, contexts: Contexts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Keys of the distinct tokens; id and context of every token (each text is closed by the end token); offsets."""
     words = Words(texts, lower=True)
@@ -118,7 +181,7 @@ def token_stream(texts: pa.Array, contexts: Contexts) -> tuple[np.ndarray, np.nd
 
 
 def choose_contexts(docs: DataFrame, settings: Settings, text_col: str) -> Contexts:
-    """The most frequent words of all training texts get restaurants; at most ``words`` rows come back."""
+    """The words of all training texts whose totals every executor holds: the most frequent, at most ``words``; see `rest_of`."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col):
@@ -128,69 +191,170 @@ def choose_contexts(docs: DataFrame, settings: Settings, text_col: str) -> Conte
                 yield pa.RecordBatch.from_arrays([pa.array(word_hashes(words.vocab).view(np.int64)), pa.array(class_of(words.vocab, settings.classes).astype(np.int16)), pa.array(n)], names=["key", "class", "n"])
 
     rows = docs.select(text_col).mapInArrow(counted, "key long, class short, n long").groupBy("key").agg(F.min("class").alias("class"), F.sum("n").alias("n"))
-    top = rows.orderBy(F.desc("n"), "key").limit(settings.words).collect()
-    keys = np.array([r.key for r in top], np.int64).view(np.uint64)
+    rows = written(rows, "lm-words")
+    bound = _bound(rows.groupBy(_scale("n").alias("b")).agg(F.count("*").alias("w"), F.min("n").alias("least")), settings.words)
+    top = rows.filter(F.col("n") >= bound).select("key", "class").toArrow()
+    keys = top["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    parent = np.array([r["class"] for r in top], np.int64)[order] if len(top) else np.zeros(0, np.int64)
-    return Contexts(settings.classes, keys[order], np.concatenate([np.arange(settings.classes), parent]))
+    parent = np.concatenate([np.arange(settings.classes), top["class"].to_numpy()[order]]).astype(np.int32)
+    return Contexts(settings.classes, keys[order], parent)
+
+
+def _scale(n):
+    """Bin of a count in a histogram with a bounded number of bins."""
+    n = F.col(n)
+    return F.when(n < 1000, n).otherwise(F.floor(1000 + 200 * F.log(n / 1000.0))).cast("long")
+
+
+def _bound(bins: DataFrame, most: int) -> int:
+    """The least count of entries that weigh at most ``most`` together, from bins (b, w, least)."""
+    total, bound = 0, 1 << 62
+    for _, w, least in sorted(((r.b, r.w, r.least) for r in bins.collect()), reverse=True):
+        total += w
+        if total > most:
+            break
+        bound = least
+    return bound
 
 
 def _merge(keys: list[np.ndarray], contexts: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells sorted by key and context, those of one summed."""
     key, context, count = np.concatenate(keys), np.concatenate(contexts), np.concatenate(counts)
-    order = np.lexsort((context, key))
-    key, context, count = key[order], context[order], count[order]
-    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (context[1:] != context[:-1])])) if len(key) else np.zeros(0, np.int64)
-    return key[first], context[first], np.add.reduceat(count, first) if len(first) else count
+    if not len(key):
+        return key, context, count
+    distinct, at = np.unique(key, return_inverse=True)
+    width = int(context.max()) + 1
+    code, n = _sums(at * width + context, count)
+    return distinct[code // width], (code % width).astype(context.dtype), n
+
+
+def _sums(code: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes, sorted, and the sum of their counts."""
+    order = np.argsort(code)
+    code = code[order]
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    return code[first], np.add.reduceat(count[order], first)
+
+
+def rest_of(docs: DataFrame, contexts: Contexts, text_col: str, flush: int = 500_000) -> DataFrame:
+    """The restaurants of all words beyond ``contexts``: key, class, n, followers (sorted), counts. Written to the shared folder."""
+    shared = docs.sparkSession.sparkContext.broadcast(contexts)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        contexts = shared.value
+        out = lambda: pa.concat_tables(held).group_by(["key", "class", "follower"]).aggregate([("n", "sum")]).rename_columns(["key", "class", "follower", "n"]).combine_chunks().to_batches()
+        for part in slices(batches, text_col):
+            keys, ids, context, offsets = token_stream(texts_of(part, text_col), contexts)
+            at = _after_rest(context, offsets, contexts)
+            columns = [pa.array(keys[ids[at - 1]].view(np.int64)), pa.array(context[at].astype(np.int16)), pa.array(keys[ids[at]].view(np.int64)), pa.array(np.ones(len(at), np.int64))]
+            held.append(pa.table(columns, names=["key", "class", "follower", "n"]))
+            if sum(map(len, held)) > flush:
+                yield from out()
+                held.clear()
+        if held:
+            yield from out()
+
+    rows = docs.select(text_col).mapInArrow(counted, "key long, class short, follower long, n long")
+    rows = rows.repartition(partitions_for(docs.sparkSession, docs.count(), 25_000), "key").groupBy("key", "class", "follower").agg(F.sum("n").alias("n"))
+    rows = rows.groupBy("key", "class").agg(F.sort_array(F.collect_list(F.struct("follower", "n"))).alias("c"))
+    out = written(rows.select("key", "class", F.aggregate("c", F.lit(0).cast("long"), lambda t, x: t + x["n"]).alias("n"), F.col("c.follower").alias("followers"), F.col("c.n").alias("counts")), "lm-rest")
+    shared.destroy()
+    return out
+
 
+def _after_rest(context: np.ndarray, offsets: np.ndarray, contexts: Contexts) -> np.ndarray:
+    """Places of the tokens after a word beyond ``contexts``."""
+    plain = context < contexts.classes
+    plain[offsets[:-1]] = False
+    return np.flatnonzero(plain)
 
-def count_cells(docs: DataFrame, contexts: Contexts, text_col: str, flush: int = 1_500_000) -> DataFrame:
-    """One row per word: key, n, contexts (ascending), counts. Written to the shared folder."""
-    spark = docs.sparkSession
+
+def count_cells(docs: DataFrame, contexts: Contexts, text_col: str, rest: DataFrame | None = None, flush: int = 1_500_000) -> DataFrame:
+    """One row per word: key, n, contexts (ascending), counts. Written to the shared folder.
+
+    With ``rest`` the restaurants of the other words are rows' lists rest_key, rest_class, rest_n, rest_start (their words at the
+    start), where they seat the word twice or more; where once, its only table is a customer of the class. Without it the
+    tokens after other words sit in the class restaurants themselves.
+    """
+    spark, m = docs.sparkSession, len(contexts)
+    parts = partitions_for(spark, docs.count(), 25_000)
+    shared = spark.sparkContext.broadcast(contexts)
+    whole = rest is None
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        contexts = shared.value
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # keys of a slice's words, its cells (word, context), counts
 
         def out() -> pa.RecordBatch:
-            key, context, count = _merge(*map(list, zip(*held)))
+            distinct, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+            starts = np.concatenate([[0], np.cumsum([len(h[0]) for h in held])])
+            code = np.concatenate([at[start + cell // m] * m + cell % m for start, (_, cell, _) in zip(starts, held)])
+            code, count = _sums(code, np.concatenate([h[2] for h in held]))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(context.astype(np.int16)), pa.array(count)], names=["key", "context", "n"])
+            key = distinct[code // m]
+            bucket = (mix64(distinct) % np.uint64(8 * parts)).astype(np.int32)[code // m]
+            return _dealt(*map(list, zip(*_by_bucket(bucket, 0, key.view(np.int64), code % m, count, steps=1))))
 
         for part in slices(batches, text_col):
-            keys, ids, context, _ = token_stream(texts_of(part, text_col), contexts)
-            cell, n = np.unique(ids * len(contexts) + context, return_counts=True)
-            held.append((keys[cell // len(contexts)], cell % len(contexts), n.astype(np.int64)))
-            if sum(len(h[0]) for h in held) > flush:
+            keys, ids, context, offsets = token_stream(texts_of(part, text_col), contexts)
+            if not whole:
+                kept = np.ones(len(ids), bool)
+                kept[_after_rest(context, offsets, contexts)] = False
+                ids, context = ids[kept], context[kept]
+            cell, n = np.unique(ids * m + context, return_counts=True)
+            if len(cell):
+                held.append((keys, cell, n.astype(np.int64)))
+            if sum(len(h[1]) for h in held) > flush:
                 yield out()
         if held:
             yield out()
 
-    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by key and context; the last word of a batch waits for the next one."""
-        rest: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
-
-        def rows(key: np.ndarray, context: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            key, context, n = _merge([key], [context], [n])
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            ends = pa.array(np.append(first, len(key)).astype(np.int32))
-            return pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(np.add.reduceat(n, first)), pa.ListArray.from_arrays(ends, pa.array(context)), pa.ListArray.from_arrays(ends, pa.array(n))], names=["key", "n", "contexts", "counts"])
-
+    def from_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            now = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-            if rest is not None:
-                now = [np.concatenate(x) for x in zip(rest, now)]
-            last = int(np.searchsorted(now[0], now[0][-1]))
-            if last:
-                yield rows(*[x[:last] for x in now])
-            rest = tuple(x[last:] for x in now)
-        if rest is not None:
-            yield rows(*rest)
-
-    parts = partitions_for(spark, docs.count(), 50_000)
-    cells = docs.select(text_col).mapInArrow(counted, "key long, context short, n long")
-    cells = cells.repartition(parts, "key").sortWithinPartitions("key", "context")
-    return written(cells.mapInArrow(grouped, "key long, n long, contexts array<short>, counts array<long>"), "lm-cells")
+            size = np.diff(b.column(2).offsets.to_numpy())
+            of = np.repeat(np.arange(b.num_rows), size)
+            key, at = (b.column(i).to_numpy(zero_copy_only=False)[of] for i in (0, 1))
+            word, n = (b.column(i).flatten().to_numpy(zero_copy_only=False) for i in (2, 3))
+            bucket = (mix64(word.view(np.uint64)) % np.uint64(8 * parts)).astype(np.int32)
+            once, more = np.flatnonzero(n == 1), np.flatnonzero(n > 1)
+            rows = [*_by_bucket(bucket[once], 0, word[once], at[once], n[once], steps=1), *_by_bucket(bucket[more], 1, word[more], key[more], at[more], n[more], size[of[more]], steps=1)]
+            if rows:
+                yield _dealt(*map(list, zip(*rows)))
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_bucket: dict[int, list[tuple[int, int, bytes]]] = {}
+        for b in batches:
+            for bucket, kind, n, blob in zip(*(c.to_pylist() for c in b.columns)):
+                by_bucket.setdefault(bucket, []).append((kind, n, blob))
+        for bucket in sorted(by_bucket):
+            cells, others = [np.zeros((3, 0), np.int64)], [np.zeros((5, 0), np.int64)]
+            for kind, n, blob in by_bucket.pop(bucket):
+                x = _unpack(blob, n, 5 if kind else 3)
+                x[0] = np.cumsum(x[0])
+                (others if kind else cells).append(x)
+            word, context, n = np.concatenate(cells, axis=1)
+            word, context, n = _merge([word.view(np.uint64)], [context], [n])
+            more = np.concatenate(others, axis=1)
+            more = more[:, np.lexsort((more[1], more[0].view(np.uint64)))]
+            key = np.union1d(word, more[0].view(np.uint64))
+            at, at_more = np.searchsorted(key, word), np.searchsorted(key, more[0].view(np.uint64))
+            ends, ends_more = (pa.array(np.searchsorted(x, np.arange(len(key) + 1)).astype(np.int32)) for x in (at, at_more))
+            total = np.bincount(at, n, len(key)) + np.bincount(at_more, more[3], len(key))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (context.astype(np.int32), n)] + [pa.ListArray.from_arrays(ends_more, pa.array(x)) for x in (more[1], more[2].astype(np.int16), more[3], more[4].astype(np.int32))]
+            out = pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(total.astype(np.int64)), *lists], names=["key", "n", "contexts", "counts", "rest_key", "rest_class", "rest_n", "rest_start"])
+            for start in range(0, len(key), 2000):
+                yield out.slice(start, 2000)
+
+    dealt = docs.select(text_col).mapInArrow(counted, DEALT)
+    if rest is not None:
+        dealt = dealt.unionAll(rest.select("key", "class", "followers", "counts").mapInArrow(from_rest, DEALT))
+    dealt = dealt.repartition(parts, "bucket")
+    cells = written(dealt.mapInArrow(merged, "key long, n long, contexts array<int>, counts array<long>, rest_key array<long>, rest_class array<short>, rest_n array<long>, rest_start array<int>"), "lm-cells")
+    shared.destroy()
+    return cells
 
 
 def _uniform(x: np.ndarray, step: int, sweep: int) -> np.ndarray:
@@ -236,18 +400,23 @@ class Seating:
         m = contexts.classes
         self.key = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
         self.n = batch.column(1).to_numpy(zero_copy_only=False)
-        lists = batch.column(2)
-        ends = lists.offsets.to_numpy().astype(np.int64)
-        context = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        count = batch.column(3).flatten().to_numpy(zero_copy_only=False)
-        word = np.repeat(np.arange(len(self.key)), np.diff(ends))
-        code, at = np.unique(word * m + contexts.parent[context], return_inverse=True)
-        own = context >= m
-        self.word, self.context, self.count, self.above = word[own], context[own], count[own], at[own]
+        flat = lambda i: batch.column(i).flatten().to_numpy(zero_copy_only=False)
+        words = lambda i: np.repeat(np.arange(len(self.key)), np.diff(batch.column(i).offsets.to_numpy()))
+        context, count, word = flat(2).astype(np.int64), flat(3), words(2)
+        self.rest_key, rest_class, rest_n, self.rest_start = (flat(i) for i in (4, 5, 6, 7))
+        rest_word = words(4)
+        code, at = np.unique(np.concatenate([word * m + contexts.parent[context], rest_word * m + rest_class]), return_inverse=True)
+        own, of = np.flatnonzero(context >= m), slice(len(context), None)
+        direct = context < m
+        #: Cells of ``contexts`` are the first ``held``; those of other words' restaurants follow, with their class as context.
+        self.held = len(own)
+        self.word, self.context = np.concatenate([word[own], rest_word]), np.concatenate([context[own], rest_class.astype(np.int64)])
+        self.count, self.above = np.concatenate([count[own], rest_n]), np.concatenate([at[own], at[of]])
         self.class_word, self.class_of = code // m, code % m
         self.class_offsets = np.searchsorted(self.class_word, np.arange(len(self.key) + 1))
-        self.direct = np.bincount(at[~own], count[~own], len(code))
-        self.mark = mix64(self.key[self.word] + self.context.astype(np.uint64))
+        self.direct = np.bincount(at[: len(context)][direct], count[direct], len(code))
+        which = np.concatenate([context[own].astype(np.uint64), mix64(self.rest_key.view(np.uint64))])
+        self.mark = mix64(self.key[self.word] + which)
         self.class_mark = mix64(self.key[self.class_word] + self.class_of.astype(np.uint64))
 
     def customers(self, tables: np.ndarray) -> np.ndarray:
@@ -272,7 +441,7 @@ class Seating:
         tables, class_tables = np.ones(len(self.count)), np.ones(len(self.direct))
         yield 0, tables, class_tables
         for sweep in range(1, last + 1):
-            pull = (s.strength + t.discount * t.tables[sweep - 1])[self.context]
+            pull = s.strength + t.discount * np.concatenate([t.tables[sweep - 1][self.context[: self.held]], self.rest_start])
             class_pull = (s.class_strength + t.class_discount * t.class_tables[sweep - 1])[self.class_of]
             root = self.root(class_tables, sweep - 1)
             new = seat(self.count, pull * self.in_class(tables, class_tables, sweep - 1)[self.above], t.discount, self.mark, sweep, s.exact_steps)
@@ -285,40 +454,61 @@ def _discount(ones: float, twos: float) -> float:
     return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones + twos > 0 else 0.5
 
 
-def gather_totals(cells: DataFrame, settings: Settings, contexts: Contexts) -> Totals:
-    """Run the sweeps; each gathers 2 x (contexts + classes) + 8 numbers a task."""
+def gather_totals(cells: DataFrame, settings: Settings, contexts: Contexts, ranges: int = 32) -> Totals:
+    """Run the sweeps; each gathers 2 x (contexts + classes) + 8 numbers, compressed, summed by ranges of them."""
+    spark = cells.sparkSession
     totals, m, k = Totals(), len(contexts), contexts.classes
     size = 2 * (m + k) + 8
+    width = -(-size // ranges)
+    held = spark.sparkContext.broadcast(contexts)
+
+    def dealt(out: np.ndarray) -> pa.RecordBatch:
+        pieces = [(i, out[i * width : (i + 1) * width]) for i in range(ranges)]
+        pieces = [(i, x) for i, x in pieces if x.any()]
+        return _dealt([i for i, _ in pieces], [0] * len(pieces), [len(x) for _, x in pieces], [_pack(x) for _, x in pieces])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, _, n, blob in zip(*(c.to_pylist() for c in b.columns)):
+                out[i] = out.get(i, 0) + _unpack(blob, n, 1)[0]
+        if out:
+            yield _dealt(list(out), [0] * len(out), [len(x) for x in out.values()], [_pack(x) for x in out.values()])
+
     for sweep in range(settings.burn_in + settings.samples + 1):
+        sent = spark.sparkContext.broadcast(totals)
 
-        def summed(batches: Iterator[pa.RecordBatch], totals: Totals = totals, sweep: int = sweep) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(size)
+        def summed(batches: Iterator[pa.RecordBatch], sent=sent, sweep: int = sweep) -> Iterator[pa.RecordBatch]:
+            out, contexts = np.zeros(size), held.value
             for b in batches:
                 if not b.num_rows:
                     continue
-                s = Seating(b, totals, settings, contexts)
+                s = Seating(b, sent.value, settings, contexts)
                 for _, tables, class_tables in s.sweeps(sweep):
                     pass
-                customers, root = s.customers(tables), segment_sums(class_tables, s.class_offsets)
-                out[:m] += np.bincount(s.context, tables, m)
-                out[m : 2 * m] += np.bincount(s.context, s.count, m)
+                h, customers, root = s.held, s.customers(tables), segment_sums(class_tables, s.class_offsets)
+                np.add.at(out, s.context[:h], tables[:h])
+                if sweep == 0:
+                    np.add.at(out, m + s.context[:h], s.count[:h])
                 out[2 * m : 2 * m + k] += np.bincount(s.class_of, customers, k)
                 out[2 * m + k : 2 * m + 2 * k] += np.bincount(s.class_of, class_tables, k)
-                out[2 * m + 2 * k :] += [len(s.key), s.n.sum(), *((x == i).sum() for x in (s.count, customers, root) for i in (1, 2))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(out)], names=["at", "x"])
+                out[2 * m + 2 * k :] += [len(s.key), s.n.sum(), *((x == i).sum() for x in (s.count[:h], customers, root) for i in (1, 2))]
+            yield dealt(out)
 
         got = np.zeros(size)
-        for r in cells.mapInArrow(summed, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
-            got[r["at"]] = r["x"]
+        for i, _, n, blob in zip(*(c.to_pylist() for c in cells.mapInArrow(summed, DEALT).repartition(ranges, "bucket").mapInArrow(added, DEALT).toArrow().columns)):
+            got[i * width : i * width + n] = _unpack(blob, n, 1)[0]
+        sent.destroy()
         words, tokens, *ones = got[2 * (m + k) :]
         if sweep == 0:
-            totals.customers = got[m : 2 * m]
+            totals.customers = got[m : 2 * m].astype(np.int64)
             totals.words, totals.tokens = int(words), int(tokens)
             totals.discount, totals.class_discount = _discount(*ones[:2]), _discount(*ones[2:4])
-        totals.tables.append(got[:m])
+        totals.tables.append(got[:m].astype(np.int32))
         totals.class_customers.append(got[2 * m : 2 * m + k])
         totals.class_tables.append(got[2 * m + k : 2 * (m + k)])
         totals.root_discounts.append(_discount(*ones[4:]))
+    held.destroy()
     return totals
 
 
@@ -337,44 +527,38 @@ class Predictive:
         #: Probability of a new word, by context.
         self.unknown = (self.back * self.class_back[:, contexts.parent] * self.new[:, None]).mean(0)
 
-    def words(self, batch: pa.RecordBatch) -> tuple[Seating, np.ndarray, np.ndarray, np.ndarray]:
-        """By kept sweep: the root's probabilities of the words, those of class cells, and what cells add to their class's."""
+    def __reduce__(self):
+        return Predictive, (self.totals, self.settings, self.contexts)
+
+    def words(self, batch: pa.RecordBatch) -> tuple[Seating, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """By kept sweep: the root's probabilities of the words, those of class cells, what cells of ``contexts`` add to their class's, tables."""
         s = Seating(batch, self.totals, self.settings, self.contexts)
-        root, in_class, own = [], [], []
+        root, in_class, own, seated = [], [], [], []
         for sweep, tables, class_tables in s.sweeps(self.kept[-1]):
             if sweep in self.kept:
                 root.append(s.root(class_tables, sweep))
                 in_class.append(s.in_class(tables, class_tables, sweep))
-                own.append(np.maximum(s.count - self.totals.discount * tables, 0) / (self.settings.strength + self.totals.customers[s.context]))
-        return s, np.array(root), np.array(in_class), np.array(own)
+                own.append(self.own(s.count[: s.held], tables[: s.held], s.context[: s.held]))
+                seated.append(tables)
+        return s, np.array(root), np.array(in_class), np.array(own), np.array(seated)
+
+    def own(self, count: np.ndarray, tables: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """What cells add to their class's probability."""
+        return np.maximum(count - self.totals.discount * tables, 0) / (self.settings.strength + self.totals.customers[context])
 
     def table(self, batch: pa.RecordBatch) -> tuple[Seating, np.ndarray]:
         """(words, contexts) probabilities."""
-        s, root, in_class, own = self.words(batch)
+        s, root, in_class, own, _ = self.words(batch)
         out = np.zeros((len(s.key), len(self.contexts)))
         for k in range(len(self.kept)):
             by_class = root[k][:, None] * self.class_back[k]
             by_class[s.class_word, s.class_of] = in_class[k]
             p = by_class[:, self.contexts.parent] * self.back[k]
-            p[s.word, s.context] += own[k]
+            p[s.word[: s.held], s.context[: s.held]] += own[k]
             out += p / len(self.kept)
         return s, out
 
 
-def frequent_bound(cells: DataFrame, frequent: int, classes: int) -> int:
-    """The least count of words that have at most ``frequent`` cells together, from a histogram with a bounded number of bins."""
-    scale = F.when(F.col("n") < 1000, F.col("n")).otherwise(F.floor(1000 + 200 * F.log(F.col("n") / 1000.0)))
-    held = 1 + F.size("contexts") + F.least(F.size("contexts"), F.lit(classes))
-    bins = sorted(((r.b, r.w, r.least) for r in cells.groupBy(scale.cast("long").alias("b")).agg(F.sum(held).alias("w"), F.min("n").alias("least")).collect()), reverse=True)
-    total, bound = 0, 1 << 62
-    for _, w, least in bins:
-        total += w
-        if total > frequent:
-            break
-        bound = least
-    return bound
-
-
 def _find(codes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of ``wanted`` in the sorted ``codes``, and whether they are there."""
     if not len(codes):
@@ -388,8 +572,8 @@ class Lookup:
 
     def __init__(self, rows: pa.Table, predictive: Predictive):
         contexts = predictive.contexts
-        self.classes, self.contexts, self.parent = contexts.classes, len(contexts), contexts.parent
-        self.back, self.class_back = predictive.back, predictive.class_back
+        self.classes, self.contexts = contexts.classes, len(contexts)
+        self.with_weights(predictive)
         samples = len(predictive.kept)
         rows = rows.take(np.argsort(rows["key"].to_numpy().view(np.uint64))).combine_chunks()
         self.keys, self.n = rows["key"].to_numpy().view(np.uint64), rows["n"].to_numpy()
@@ -403,6 +587,18 @@ class Lookup:
         self.codes = (np.repeat(word, sizes("contexts")) * self.contexts + flat("contexts")).astype(code)
         self.p = flat("p")
 
+    def __getstate__(self) -> dict:
+        state = {k: v for k, v in self.__dict__.items() if k not in ("back", "class_back", "parent")}
+        return state | {k: (len(state[k]), state[k].dtype, _pack(_steps(state[k].astype(np.int64)))) for k in ("class_codes", "codes")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ = state | {k: np.cumsum(_unpack(state[k][2], state[k][0], 1)[0]).astype(state[k][1]) for k in ("class_codes", "codes")}
+
+    def with_weights(self, predictive: Predictive) -> Lookup:
+        """After it was sent: what it shares with ``predictive``."""
+        self.parent, self.back, self.class_back = predictive.contexts.parent, predictive.back, predictive.class_back
+        return self
+
     def probabilities(self, word: np.ndarray, context: np.ndarray) -> np.ndarray:
         """Averaged probability of each word (a place in ``keys``) in its context."""
         out = np.zeros(len(word))
@@ -411,91 +607,294 @@ class Lookup:
         out[own[there]] = self.p[at[there]]
         rest[own[there]] = False
         rest = np.flatnonzero(rest)
-        word, context = word[rest], context[rest]
+        out[rest] = (self.back[:, context[rest]] * self.parents(word[rest], context[rest])).mean(0)
+        return out
+
+    def parents(self, word: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """By sample: the probability of each word in the class of its context."""
         above = self.parent[context]
         at, there = _find(self.class_codes, (word * self.classes + above).astype(self.class_codes.dtype))
-        for k in range(len(self.back)):
-            by_class = self.root[word, k] * self.class_back[k, above]
-            by_class[there] = self.in_class[at[there], k]
-            out[rest] += self.back[k, context] * by_class / len(self.back)
+        out = self.root[word].T * self.class_back[:, above]
+        out[:, there] = self.in_class[at[there]].T
         return out
 
+    def settled(self, word: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """Whether a token's probability is here: its cell is listed or its context is a class."""
+        return _find(self.codes, (word * self.contexts + context).astype(self.codes.dtype))[1] | (context < self.classes)
+
+
+#: Kinds of what is dealt out for scoring: words' rows; cells of frequent words; tokens that are rare words, that are frequent
+#: ones; tokens after words beyond the contexts, rare and frequent.
+ROWS, CELLS, RARE, FREQUENT, RARE_AFTER_REST, FREQUENT_AFTER_REST = range(6)
+
+
+def looked_up(b: pa.RecordBatch, predictive: Predictive, least: int = 0) -> pa.RecordBatch:
+    """What `Lookup` needs of words' rows, with the cells of ``least`` customers or more."""
+    samples = len(predictive.kept)
+    s, root, in_class, own, _ = predictive.words(b)
+    words = np.arange(len(s.key) + 1)
+    h, class_ends = s.held, s.class_offsets
+    cell = (own + predictive.back[:, s.context[:h]] * in_class[:, s.above[:h]]).mean(0)
+    kept = np.flatnonzero(s.count[:h] >= least)
+    ends = np.searchsorted(s.word[kept], words)
+    lists = lambda x, e: pa.ListArray.from_arrays(pa.array(e.astype(np.int32)), pa.array(x))
+    per_sample = lambda x, e: lists(x.T.ravel().astype(np.float32), e * samples)
+    return pa.RecordBatch.from_arrays(
+        [b.column(0), b.column(1), per_sample(root, words), lists(s.class_of.astype(np.int16), class_ends), per_sample(in_class, class_ends), lists(s.context[kept].astype(np.int32), ends), lists(cell[kept].astype(np.float32), ends)],
+        names=["key", "n", "root", "classes", "in_class", "contexts", "p"],
+    )
+
+
+LOOKED_UP = "key long, n long, root array<float>, classes array<short>, in_class array<float>, contexts array<int>, p array<float>"
+
+
+def frequent_rows(cells: DataFrame, predictive: Predictive, settings: Settings) -> tuple[Lookup, int, int]:
+    """The lookup of the most frequent words (with their class cells) and of their largest cells, and the least counts of both."""
+    held = 1 + F.least(F.size("contexts") + F.size("rest_key"), F.lit(settings.classes))
+    bound = _bound(cells.groupBy(_scale("n").alias("b")).agg(F.sum(held).alias("w"), F.min("n").alias("least")), settings.frequent // 2)
+    sent = cells.sparkSession.sparkContext.broadcast(predictive)
+    m = settings.classes
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            context, count = (b.column(i).flatten().to_numpy(zero_copy_only=False) for i in (0, 1))
+            n, w = np.unique(count[context >= m], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(w)], names=["n", "w"])
+
+    frequent = cells.filter(F.col("n") >= bound)
+    bins = frequent.select("contexts", "counts").mapInArrow(sizes, "n long, w long").groupBy(_scale("n").alias("b")).agg(F.sum("w").alias("w"), F.min("n").alias("least"))
+    least = _bound(bins, settings.frequent // 2)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield looked_up(b, sent.value, least)
+
+    lookup = Lookup(frequent.mapInArrow(rows, LOOKED_UP).toArrow(), predictive)
+    sent.destroy()
+    return lookup, bound, least
+
+
+def rest_model(rest: DataFrame, cells: DataFrame, sent: Broadcast) -> DataFrame:
+    """(key, n, followers, counts, seated): the restaurants beyond the contexts, with the tables by kept sweep where a word sits twice or more."""
+
+    def seated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            s, _, _, _, tables = sent.value[1].words(b)
+            mine = tables[:, s.held :].T.astype(np.int32)
+            ends = pa.array((np.arange(len(mine) + 1) * tables.shape[0]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(s.rest_key), pa.array(s.key[s.word[s.held :]].view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(mine.ravel()))], names=["key", "follower", "tables"])
+
+    tables = cells.filter(F.size("rest_key") > 0).mapInArrow(seated, "key long, follower long, tables array<int>")
+    tables = tables.groupBy("key").agg(F.collect_list(F.struct("follower", "tables")).alias("seated"))
+    return rest.select("key", "n", "followers", "counts").join(tables, "key", "left")
+
 
 def score_texts(docs: DataFrame, training: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
     """(id, carried columns, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``."""
     spark, settings = docs.sparkSession, settings or Settings()
     contexts = choose_contexts(training, settings, text_col)
-    samples = settings.samples
-    cells = count_cells(training, contexts, text_col)
+    rest = rest_of(training, contexts, text_col)
+    cells = count_cells(training, contexts, text_col, rest)
     totals = gather_totals(cells, settings, contexts)
     predictive = Predictive(totals, settings, contexts)
+    samples, m = len(predictive.kept), len(contexts)
     log_all = math.log10(totals.tokens + 0.5 * (totals.words + 1))
-    bound = frequent_bound(cells, settings.frequent, contexts.classes)
+    lookup, bound, least = frequent_rows(cells, predictive, settings)
+    sent = spark.sparkContext.broadcast((lookup, predictive))
+    parts = partitions_for(spark, docs.count(), 25_000)
+    buckets = 2 * parts
+    of_key = lambda key: (mix64(key) % np.uint64(buckets)).astype(np.int32)
+    of_code = lambda code: of_key(code.astype(np.uint64))
+
+    def model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, predictive = sent.value[0].with_weights(sent.value[1]), sent.value[1]
+        held: list[pa.RecordBatch] = []
+
+        def rows() -> pa.RecordBatch | None:
+            t = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            bucket = of_key(t["key"].to_numpy().view(np.uint64))
+            out = []
+            for i in np.unique(bucket):
+                mine = t.take(np.flatnonzero(bucket == i))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, mine.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                    w.write_table(mine)
+                out.append((int(i), ROWS, len(mine), sink.getvalue().to_pybytes()))
+            return _dealt(*map(list, zip(*out)))
 
-    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            s, root, in_class, own = predictive.words(b)
-            words = np.arange(len(s.key) + 1)
-            ends, class_ends = np.searchsorted(s.word, words), s.class_offsets
-            per_sample = lambda x, e: pa.ListArray.from_arrays(pa.array((e * samples).astype(np.int32)), pa.array(x.T.ravel().astype(np.float32)))
-            listed = lambda x, e: pa.ListArray.from_arrays(pa.array(e.astype(np.int32)), pa.array(x.astype(np.int16)))
-            cell = (own + predictive.back[:, s.context] * in_class[:, s.above]).mean(0)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), per_sample(root, words), listed(s.class_of, class_ends), per_sample(in_class, class_ends), listed(s.context, ends), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(cell.astype(np.float32)))],
-                names=["key", "n", "root", "classes", "in_class", "contexts", "p"],
-            )
-
-    by_word = "key long, n long, root array<float>, classes array<short>, in_class array<float>, contexts array<short>, p array<float>"
-    sent = spark.sparkContext.broadcast(Lookup(cells.filter(F.col("n") >= bound).mapInArrow(looked_up, by_word).toArrow(), predictive))  # at most `frequent` cells
+            n = b.column(1).to_numpy()
+            rare, frequent = b.filter(pa.array(n < bound)), b.filter(pa.array(n >= bound))
+            if rare.num_rows:
+                held.append(rare)
+                if sum(x.nbytes for x in held) > 64 << 20:
+                    yield rows()
+            if frequent.num_rows:
+                s, _, _, _, tables = predictive.words(frequent)
+                small = np.flatnonzero(s.count[: s.held] < least)
+                code = np.searchsorted(known.keys, s.key)[s.word[small]] * m + s.context[small]
+                out = list(_by_bucket(of_code(code), CELLS, code, s.count[small], *tables[:, small], steps=1))
+                if out:
+                    yield _dealt(*map(list, zip(*out)))
+        if held:
+            yield rows()
 
     carry = [F.col(c) for c in carried]
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
+    names = ["row_id", id_col, *carried, "n_tokens", "k", "b", "s"]
+    of_row = ", ".join(["row_id long", *(f"`{c}` {types[c]}" for c in (id_col, *carried)), "n_tokens long, k long, b double, s double"])
+
+    def scored(batches: Iterator[pa.RecordBatch], block: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+        """Documents' rows with what is known here, and the other tokens, dealt out; bucket and row of a document need not agree."""
+        known, predictive = sent.value[0].with_weights(sent.value[1]), sent.value[1]
+        contexts = predictive.contexts
         base = np.log10(known.n + 0.5) - log_all
         k = 2 + len(carried)
+        held: dict[int, list[list[np.ndarray]]] = {}
+        fields: list[pa.DataType] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for kind in sorted(held):
+                columns = [np.concatenate(x) for x in zip(*held.pop(kind))]
+                bucket = of_code(columns[0]) if kind in (FREQUENT, FREQUENT_AFTER_REST) else of_key(columns[0].view(np.uint64))
+                rows = list(_by_bucket(bucket, kind, *columns, steps=1))
+                if rows:
+                    dealt = _dealt(*map(list, zip(*rows)))
+                    yield pa.RecordBatch.from_arrays([*dealt.columns, *(pa.nulls(dealt.num_rows, t) for t in fields)], names=[*dealt.schema.names, *names])
+
         for part in slices(batches, text_col):
             keys, ids, context, offsets = token_stream(texts_of(part, text_col), contexts)
+            row = np.repeat(part.column(0).to_numpy(), np.diff(offsets))
             place, hit = _find(known.keys, keys)
-            token_hit = hit[ids]
-            at = place[ids[token_hit]]
+            place, hit = place[ids], hit[ids]
+            after_rest = np.zeros(len(ids), bool)
+            after_rest[_after_rest(context, offsets, contexts)] = True
+            here = hit & ~after_rest
+            here[here] = known.settled(place[here], context[here])
             one, two = np.zeros(len(ids)), np.zeros(len(ids))
-            one[token_hit], two[token_hit] = base[at], np.log10(known.probabilities(at, context[token_hit]))
-            rest = ~token_hit
-            ends = pa.array(np.concatenate([[0], np.cumsum(rest)])[offsets].astype(np.int32))
+            one[hit], two[here] = base[place[hit]], np.log10(known.probabilities(place[here], context[here]))
+            for kind, which in ((RARE, ~hit & ~after_rest), (RARE_AFTER_REST, ~hit & after_rest), (FREQUENT, hit & ~here & ~after_rest), (FREQUENT_AFTER_REST, hit & after_rest)):
+                which = np.flatnonzero(which)
+                first = [place[which] * m + context[which]] if kind in (FREQUENT, FREQUENT_AFTER_REST) else [keys[ids[which]].view(np.int64), context[which]]
+                before = [keys[ids[which - 1]].view(np.int64)] if kind in (RARE_AFTER_REST, FREQUENT_AFTER_REST) else []
+                held.setdefault(kind, []).append([*first, row[which], *before])
             own = [part.column(i) for i in range(k)]
-            yield pa.RecordBatch.from_arrays(
-                [*own, pa.array(np.diff(offsets)), pa.array(segment_sums(token_hit.astype(np.int64), offsets)), pa.array(segment_sums(one, offsets)), pa.array(segment_sums(two, offsets)), pa.ListArray.from_arrays(ends, pa.array(keys[ids[rest]].view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(context[rest].astype(np.int16)))],
-                names=["row_id", id_col, *carried, "n_tokens", "n_known", "base_score", "score", "rare_keys", "rare_contexts"],
-            )
-
-    schema = ", ".join(["row_id long", *(f"`{c}` {types[c]}" for c in (id_col, *carried)), "n_tokens long, n_known long, base_score double, score double, rare_keys array<long>, rare_contexts array<short>"])
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col), *carry, F.col(text_col)).mapInArrow(scored, schema)
-    rows = written(rows, "lm-rows")
-
-    # Tokens of the other words meet their word's row, one row a token; then they are summed by document.
-    tokens = rows.select("row_id", F.explode(F.arrays_zip("rare_keys", "rare_contexts")).alias("t")).select("row_id", F.col("t.rare_keys").alias("key"), F.col("t.rare_contexts").cast("int").alias("context"))
-    model = cells.filter(F.col("n") < bound).mapInArrow(looked_up, by_word)
-    met = tokens.join(model, "key", "left")
-    # Constants as one literal, folded once; an array of literals is a call from Python to the JVM for each.
-    constant = lambda x: F.split(F.lit(",".join(map(repr, x.tolist()))), ",").cast("array<long>" if x.dtype.kind == "i" else "array<double>")
-    class_id = F.get(constant(contexts.parent), F.col("context")).cast("int")
-    at_class = F.array_position("classes", class_id.cast("short")).cast("int") - 1
-    at_cell = F.array_position("contexts", F.col("context").cast("short")).cast("int") - 1
-    met = met.withColumns({"class_id": class_id, "at_class": at_class, "at_cell": at_cell})
-
-    def backed_off(k: int):
-        """The parent's probability in sample ``k``, weighted as its restaurant does."""
-        in_class = F.when(F.col("at_class") >= 0, F.get("in_class", F.col("at_class") * samples + k)).otherwise(F.get("root", F.lit(k)) * F.get(constant(predictive.class_back[k]), F.col("class_id")))
-        return F.get(constant(predictive.back[k]), F.col("context")) * in_class
-
-    through_parents = sum((backed_off(k) for k in range(samples)), F.lit(0.0)) / samples
-    p = F.when(F.col("n").isNull(), F.get(constant(predictive.unknown), F.col("context"))).when(F.col("at_cell") >= 0, F.get("p", F.col("at_cell"))).otherwise(through_parents)
-    found = met.select("row_id", F.when(F.col("n").isNull(), 0).otherwise(1).cast("long").alias("k"), (F.log10(F.coalesce("n", F.lit(0)) + 0.5) - log_all).alias("b"), F.log10(p).alias("s"))
-    sums = found.groupBy("row_id").agg(F.sum("k").alias("k"), F.sum("b").alias("b"), F.sum("s").alias("s"))
-    out = rows.drop("rare_keys", "rare_contexts").join(sums, "row_id", "left")
-    plus = lambda x, y: F.col(x) + F.coalesce(y, F.lit(0))
-    return out.select(id_col, *carried, "n_tokens", plus("n_known", "k").alias("n_known"), F.lit(totals.tokens).cast("long").alias("train_tokens"), plus("base_score", "b").alias("base_score"), plus("score", "s").alias("score"))
+            sums = [pa.array(np.diff(offsets)), pa.array(segment_sums(hit.astype(np.int64), offsets)), pa.array(segment_sums(one, offsets)), pa.array(segment_sums(two, offsets))]
+            fields = [c.type for c in (*own, *sums)]
+            bucket = pa.array((np.arange(part.num_rows) % buckets).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([bucket, *(pa.nulls(part.num_rows, t) for t in (pa.int32(), pa.int32(), pa.binary())), *own, *sums], names=["bucket", "kind", "n", "blob", *names])
+            if sum(len(x[0]) for kind in held.values() for x in kind) > block:
+                yield from out()
+        yield from out()
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col), *carry, F.col(text_col)).mapInArrow(scored, f"{DEALT}, {of_row}")
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Tokens that were dealt out meet their word's row or their cell; sums by document, and tokens after words beyond the contexts."""
+        known, predictive = sent.value[0].with_weights(sent.value[1]), sent.value[1]
+        dealt: dict[int, list[tuple[int, bytes]]] = {}
+        fields: list[pa.DataType] = []
+        for b in batches:
+            fields = [c.type for c in b.columns[4:]]
+            documents = b.column(3).is_null()
+            for kind, n, blob in zip(*(c.to_pylist() for c in b.filter(pc.invert(documents)).columns[1:4])):
+                dealt.setdefault(kind, []).append((n, blob))
+            b = b.filter(documents)
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([*b.columns[4:], *(pa.nulls(b.num_rows, t) for t in (pa.int64(), pa.int64(), pa.list_(pa.float32())))], names=[*names, "key", "follower", "q"])
+
+        def columns(kind: int, width: int) -> Iterator[np.ndarray]:
+            """The tokens of a kind, about two million at a time."""
+            held, size = [], 0
+            for n, blob in dealt.pop(kind, []):
+                x = _unpack(blob, n, width)
+                x[0] = np.cumsum(x[0])
+                held.append(x)
+                size += n
+                if size > 2_000_000:
+                    yield np.concatenate(held, axis=1)
+                    held, size = [], 0
+            if held:
+                yield np.concatenate(held, axis=1)
+
+        def sums(row: np.ndarray, hit: np.ndarray, base: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+            ids, at = np.unique(row, return_inverse=True)
+            return out(ids, np.bincount(at, hit, len(ids)).astype(np.int64), np.bincount(at, base, len(ids)), np.bincount(at, score, len(ids)))
+
+        def out(ids, hit=None, base=None, score=None, key=None, follower=None, q=None) -> pa.RecordBatch:
+            types = [pa.int64(), *fields[1:-4], pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.float32())]
+            lists = None if q is None else pa.ListArray.from_arrays(pa.array((np.arange(len(ids) + 1) * samples).astype(np.int32)), pa.array(q.T.ravel().astype(np.float32)))
+            values = [ids, *(None for _ in fields[1:-3]), hit, base, score, key, follower, lists]
+            return pa.RecordBatch.from_arrays([pa.nulls(len(ids), t) if x is None else pa.array(x, t) if isinstance(x, np.ndarray) else x for x, t in zip(values, types)], names=[*names, "key", "follower", "q"])
+
+        tables = [looked_up(b, predictive) for _, blob in dealt.pop(ROWS, []) for b in pa.ipc.open_stream(blob) if b.num_rows]
+        mine = Lookup(pa.Table.from_batches(tables), predictive) if tables else None
+
+        def parents(key: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """For rare words: place, whether known, probability by sample in the class of the context."""
+            place, hit = _find(mine.keys, key) if mine else (np.zeros(len(key), np.int64), np.zeros(len(key), bool))
+            q = predictive.class_back[:, predictive.contexts.parent[context]] * predictive.new[:, None]
+            if hit.any():
+                q[:, hit] = mine.parents(place[hit], context[hit])
+            return place, hit, q
+
+        def bases(place: np.ndarray, hit: np.ndarray) -> np.ndarray:
+            n = np.zeros(len(hit))
+            if hit.any():
+                n[hit] = mine.n[place[hit]]
+            return np.log10(n + 0.5) - log_all
+
+        for key, context, row in columns(RARE, 3):
+            place, hit = _find(mine.keys, key.view(np.uint64)) if mine else (np.zeros(len(key), np.int64), np.zeros(len(key), bool))
+            p = predictive.unknown[context]
+            if hit.any():
+                p[hit] = mine.probabilities(place[hit], context[hit])
+            yield sums(row, hit, bases(place, hit), np.log10(p))
+        for key, context, row, before in columns(RARE_AFTER_REST, 4):
+            place, hit, q = parents(key.view(np.uint64), context)
+            yield sums(row, hit, bases(place, hit), np.zeros(len(row)))
+            yield out(row, key=before, follower=key, q=q)
+        cells = [x for x in columns(CELLS, 2 + samples)]
+        cells = np.concatenate(cells, axis=1) if cells else np.zeros((2 + samples, 0), np.int64)
+        cells = cells[:, np.argsort(cells[0])]
+        for code, row in columns(FREQUENT, 2):
+            place, context = code // m, code % m
+            p = (predictive.back[:, context] * known.parents(place, context)).mean(0)
+            at, there = _find(cells[0], code)
+            at = at[there]
+            p[there] += np.mean([predictive.own(cells[1, at], cells[2 + k, at], context[there]) for k in range(samples)], axis=0)
+            yield sums(row, np.zeros(len(row)), np.zeros(len(row)), np.log10(p))
+        for code, row, before in columns(FREQUENT_AFTER_REST, 3):
+            place, context = code // m, code % m
+            yield out(row, key=before, follower=known.keys[place].view(np.int64), q=known.parents(place, context))
+
+    words = cells.mapInArrow(model, DEALT).select(*(c.split()[0] for c in DEALT.split(", ")), *(F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields[4:]))
+    dealt = rows.unionAll(words).repartition(parts, "bucket")
+    found = written(dealt.mapInArrow(met, f"{of_row}, key long, follower long, q array<float>"), "lm-sums")
+
+    # Tokens after words beyond the contexts meet the restaurant of the word before them.
+    others = found.filter("q is not null").select("row_id", "key", "follower", "q").join(rest_model(rest, cells, sent), "key", "left")
+    at = F.array_position("followers", F.col("follower")).cast("int") - 1
+    others = others.withColumn("c", F.when(at >= 0, F.get("counts", at)).otherwise(0))
+    others = others.withColumn("tables", F.when(F.col("c") > 1, F.get(F.filter("seated", lambda x: x["follower"] == F.col("follower")), F.lit(0))["tables"]))
+    d, strength = totals.discount, settings.strength
+
+    def through(k: int):
+        own = F.greatest(F.col("c") - d * F.coalesce(F.get("tables", F.lit(k)), F.least("c", F.lit(1))), F.lit(0.0))
+        all_tables = F.size("followers") + F.coalesce(F.aggregate("seated", F.lit(0), lambda t, x: t + F.get(x["tables"], F.lit(k)) - 1), F.lit(0))
+        return own + (strength + d * all_tables) * F.get("q", F.lit(k))
+
+    mean = lambda f: sum((f(k) for k in range(samples)), F.lit(0.0)) / samples
+    p = F.when(F.col("n").isNull(), mean(lambda k: F.get("q", F.lit(k)))).otherwise(mean(through) / (strength + F.col("n")))
+    sums = found.filter("q is null").drop("key", "follower", "q")
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in sums.schema.fields[1:-1]]
+    sums = sums.unionAll(others.select("row_id", *empty, F.log10(p).alias("s"))).groupBy("row_id")
+    out = sums.agg(*(F.first(F.col(f"`{c}`"), ignorenulls=True).alias(c) for c in (id_col, *carried)), *(F.sum(c).alias(c) for c in ("n_tokens", "k", "b", "s")))
+    return out.select(id_col, *carried, "n_tokens", F.col("k").alias("n_known"), F.lit(totals.tokens).cast("long").alias("train_tokens"), F.col("b").alias("base_score"), F.col("s").alias("score"))

@@ -982,6 +982,25 @@ def test_frequent_and_rare_words_score_alike(spark):
         assert got[0][d] == pytest.approx(got[1][d], abs=1e-4) == pytest.approx(got[2][d], abs=1e-4)
 
 
+def test_words_beyond_the_contexts_have_restaurants(spark):
+    """Nearly every word has one follower: texts score alike whether its word's totals are sent to all executors or not."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(150):
+        chain = [rng.randrange(60)]
+        while len(chain) < 30:
+            chain.append(chain[-1] * 7 % 61 % 60 if rng.random() < 0.85 else rng.randrange(60))
+        rows.append((i, " ".join(f"w{x}" for x in chain)))
+    docs = spark.createDataFrame([*rows, (500, "w1 unseen w7 w49")], "doc_id long, text string")
+    train = docs.filter("doc_id < 120")
+    few, all_ = ({r.doc_id: r for r in pitman_yor.score_texts(docs, train, pitman_yor.Settings(classes=2, words=w, frequent=f)).collect()} for w, f in ((3, 40), (1000, 10**6)))
+    assert len(few) == len(all_) == 151
+    for d, r in few.items():
+        assert (r.n_tokens, r.n_known) == (all_[d].n_tokens, all_[d].n_known) and r.base_score == pytest.approx(all_[d].base_score)
+        assert abs(r.score - all_[d].score) / r.n_tokens < 0.2
+    assert sum(few[d].score for d in range(120, 150)) / sum(few[d].n_tokens for d in range(120, 150)) > -1.0
+
+
 def test_seating_grows_as_it_should():
     count = np.full(4000, 200)
     few = pitman_yor.seat(count, np.full(4000, 0.01), 0.5, np.arange(4000).astype(np.uint64), 1, 48)
