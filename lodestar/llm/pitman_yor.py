@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import partitions_for, written
-from .textbatch import Words, mix64, segment_sums, slices, texts_of, word_bytes, word_hashes
+from .textbatch import Words, give_back, mix64, segment_sums, slices, texts_of, word_bytes, word_hashes
 
 #: Key of the end token.
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
@@ -104,13 +104,13 @@ class Totals:
     root_discounts: list[float] = field(default_factory=list)
 
     def __getstate__(self) -> dict:
-        rows = [self.customers, *self.tables]
-        return self.__dict__ | {"customers": (len(rows), len(self.customers), _pack(*rows)), "tables": None}
+        rows = [_pack(x) for x in (self.customers, *self.tables)]
+        return self.__dict__ | {"customers": (len(self.customers), rows), "tables": None}
 
     def __setstate__(self, state: dict) -> None:
-        k, n, blob = state["customers"]
-        rows = _unpack(blob, n, k)
-        self.__dict__ = state | {"customers": rows[0], "tables": [x.astype(np.int32) for x in rows[1:]]}
+        n, rows = state["customers"]
+        customers, *tables = (_unpack(x, n, 1)[0] for x in rows)
+        self.__dict__ = state | {"customers": customers, "tables": [x.astype(np.int32) for x in tables]}
 
 
 def class_of(vocab: pa.Array, classes: int) -> np.ndarray:
@@ -125,9 +125,10 @@ def class_of(vocab: pa.Array, classes: int) -> np.ndarray:
 
 def _pack(*arrays: np.ndarray) -> bytes:
     """Integer arrays of one length, compressed by planes of bytes: what is small or sorted takes few bytes."""
-    x = np.ascontiguousarray(np.stack([np.asarray(a).astype(np.int64) for a in arrays]))
-    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(arrays), -1, 8).transpose(0, 2, 1))
-    return pa.Codec("zstd", compression_level=1).compress(planes.tobytes(), asbytes=True)
+    planes = np.empty((len(arrays), 8, len(arrays[0])), np.uint8)
+    for plane, a in zip(planes, arrays):
+        plane[:] = np.ascontiguousarray(a, np.int64).view(np.uint8).reshape(-1, 8).T
+    return pa.Codec("zstd", compression_level=1).compress(pa.py_buffer(planes), asbytes=True)
 
 
 def _unpack(blob: bytes, n: int, columns: int) -> np.ndarray:
@@ -499,6 +500,7 @@ def gather_totals(cells: DataFrame, settings: Settings, contexts: Contexts, rang
         for i, _, n, blob in zip(*(c.to_pylist() for c in cells.mapInArrow(summed, DEALT).repartition(ranges, "bucket").mapInArrow(added, DEALT).toArrow().columns)):
             got[i * width : i * width + n] = _unpack(blob, n, 1)[0]
         sent.destroy()
+        give_back()
         words, tokens, *ones = got[2 * (m + k) :]
         if sweep == 0:
             totals.customers = got[m : 2 * m].astype(np.int64)
@@ -618,10 +620,6 @@ class Lookup:
         out[:, there] = self.in_class[at[there]].T
         return out
 
-    def settled(self, word: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """Whether a token's probability is here: its cell is listed or its context is a class."""
-        return _find(self.codes, (word * self.contexts + context).astype(self.codes.dtype))[1] | (context < self.classes)
-
 
 #: Kinds of what is dealt out for scoring: words' rows; cells of frequent words; tokens that are rare words, that are frequent
 #: ones; tokens after words beyond the contexts, rare and frequent.
@@ -672,6 +670,7 @@ def frequent_rows(cells: DataFrame, predictive: Predictive, settings: Settings)
 
     lookup = Lookup(frequent.mapInArrow(rows, LOOKED_UP).toArrow(), predictive)
     sent.destroy()
+    give_back()
     return lookup, bound, least
 
 
@@ -704,6 +703,8 @@ def score_texts(docs: DataFrame, training: DataFrame, settings: Settings | None
     log_all = math.log10(totals.tokens + 0.5 * (totals.words + 1))
     lookup, bound, least = frequent_rows(cells, predictive, settings)
     sent = spark.sparkContext.broadcast((lookup, predictive))
+    del lookup
+    give_back()
     parts = partitions_for(spark, docs.count(), 25_000)
     buckets = 2 * parts
     of_key = lambda key: (mix64(key) % np.uint64(buckets)).astype(np.int32)
@@ -751,7 +752,7 @@ def score_texts(docs: DataFrame, training: DataFrame, settings: Settings | None
     names = ["row_id", id_col, *carried, "n_tokens", "k", "b", "s"]
     of_row = ", ".join(["row_id long", *(f"`{c}` {types[c]}" for c in (id_col, *carried)), "n_tokens long, k long, b double, s double"])
 
-    def scored(batches: Iterator[pa.RecordBatch], block: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    def scored(batches: Iterator[pa.RecordBatch], block: int = 1_000_000) -> Iterator[pa.RecordBatch]:
         """Documents' rows with what is known here, and the other tokens, dealt out; bucket and row of a document need not agree."""
         known, predictive = sent.value[0].with_weights(sent.value[1]), sent.value[1]
         contexts = predictive.contexts
@@ -773,13 +774,21 @@ def score_texts(docs: DataFrame, training: DataFrame, settings: Settings | None
             keys, ids, context, offsets = token_stream(texts_of(part, text_col), contexts)
             row = np.repeat(part.column(0).to_numpy(), np.diff(offsets))
             place, hit = _find(known.keys, keys)
+            # Looked up once for each distinct pair of the slice; a class other than 0 stands for a word beyond the contexts.
+            cell, at = np.unique(ids * m + context, return_inverse=True)
+            word, before = cell // m, cell % m
+            listed, there = _find(known.codes, (place[word] * m + before).astype(known.codes.dtype))
+            there &= hit[word]
+            begin = np.flatnonzero(hit[word] & (before == 0))
+            p = np.ones(len(cell))
+            p[there] = known.p[listed[there]]
+            p[begin] = known.probabilities(place[word[begin]], before[begin])
+            there[begin] = True
+            here, two = there[at], np.where(there, np.log10(p), 0.0)[at]
             place, hit = place[ids], hit[ids]
-            after_rest = np.zeros(len(ids), bool)
-            after_rest[_after_rest(context, offsets, contexts)] = True
-            here = hit & ~after_rest
-            here[here] = known.settled(place[here], context[here])
-            one, two = np.zeros(len(ids)), np.zeros(len(ids))
-            one[hit], two[here] = base[place[hit]], np.log10(known.probabilities(place[here], context[here]))
+            after_rest = (context > 0) & (context < contexts.classes)
+            one = np.zeros(len(ids))
+            one[hit] = base[place[hit]]
             for kind, which in ((RARE, ~hit & ~after_rest), (RARE_AFTER_REST, ~hit & after_rest), (FREQUENT, hit & ~here & ~after_rest), (FREQUENT_AFTER_REST, hit & after_rest)):
                 which = np.flatnonzero(which)
                 first = [place[which] * m + context[which]] if kind in (FREQUENT, FREQUENT_AFTER_REST) else [keys[ids[which]].view(np.int64), context[which]]
@@ -811,14 +820,14 @@ def score_texts(docs: DataFrame, training: DataFrame, settings: Settings | None
                 yield pa.RecordBatch.from_arrays([*b.columns[4:], *(pa.nulls(b.num_rows, t) for t in (pa.int64(), pa.int64(), pa.list_(pa.float32())))], names=[*names, "key", "follower", "q"])
 
         def columns(kind: int, width: int) -> Iterator[np.ndarray]:
-            """The tokens of a kind, about two million at a time."""
+            """The tokens of a kind, about a million at a time."""
             held, size = [], 0
             for n, blob in dealt.pop(kind, []):
                 x = _unpack(blob, n, width)
                 x[0] = np.cumsum(x[0])
                 held.append(x)
                 size += n
-                if size > 2_000_000:
+                if size > 1_000_000:
                     yield np.concatenate(held, axis=1)
                     held, size = [], 0
             if held:
