@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import partitions_for, written
-from .textbatch import Words, give_back, mix64, segment_sums, slices, texts_of, word_bytes, word_hashes
+from .textbatch import Words, give_back, mix64, segment_sums, slices, texts_of, word_bytes, word_keys
 
 #: Key of the end token.
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
@@ -167,31 +167,70 @@ def _by_bucket(bucket: np.ndarray, kind: int, *arrays: np.ndarray, steps: int =
 
 
 def token_stream(texts: pa.Array, contexts: Contexts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the distinct tokens; id and context of every token (each text is closed by the end token); offsets."""
+    """Keys of the distinct tokens, sorted; id and context of every token (each text is closed by the end token); offsets."""
     words = Words(texts, lower=True)
     n, v = len(words.counts), len(words.vocab)
-    own = word_hashes(words.vocab)
-    keys = np.append(own, END)
+    own = word_keys(words.vocab)
+    # Ids are in the order of keys, so that what is looked up by id meets sorted tables in their order.
+    order = np.argsort(own)
+    own = own[order]
+    end = int(np.searchsorted(own, END))
+    keys = np.insert(own, end, END)
+    rank = np.empty(v, np.int64)
+    rank[order] = np.arange(v) + (np.arange(v) >= end)
     offsets = words.offsets + np.arange(n + 1)
-    ids = np.full(int(offsets[-1]), v, np.int64)
-    ids[np.arange(len(words.ids)) + words.doc_of()] = words.ids
-    after = np.append(contexts.of(words.vocab, own), 0)
+    ids = np.full(int(offsets[-1]), end, np.int64)
+    ids[np.arange(len(words.ids)) + words.doc_of()] = rank[words.ids]
+    after = np.insert(contexts.of(words.vocab.take(pa.array(order)), own), end, 0)
     context = np.concatenate([[0], after[ids[:-1]]]) if len(ids) else np.zeros(0, np.int64)
     context[offsets[:-1]] = 0
     return keys, ids, context, offsets
 
 
-def choose_contexts(docs: DataFrame, settings: Settings, text_col: str) -> Contexts:
+def choose_contexts(docs: DataFrame, settings: Settings, text_col: str, flush: int = 500_000) -> Contexts:
     """The words of all training texts whose totals every executor holds: the most frequent, at most ``words``; see `rest_of`."""
 
+    parts = partitions_for(docs.sparkSession, docs.count(), 25_000)
+
+    def summed(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct keys, sorted, their class and the sum of their counts."""
+        key, of, n = np.concatenate(held, axis=1)
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        return (key[first], np.minimum.reduceat(of[order], first), np.add.reduceat(n[order], first)) if len(key) else (key, of, n)
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            key, of, n = summed(held)
+            held.clear()
+            return _dealt(*map(list, zip(*_by_bucket((mix64(key.view(np.uint64)) % np.uint64(8 * parts)).astype(np.int32), 0, key, of, n, steps=1))))
+
         for part in slices(batches, text_col):
             words = Words(texts_of(part, text_col), lower=True)
             if len(words.vocab):
-                n = np.bincount(words.ids, minlength=len(words.vocab))
-                yield pa.RecordBatch.from_arrays([pa.array(word_hashes(words.vocab).view(np.int64)), pa.array(class_of(words.vocab, settings.classes).astype(np.int16)), pa.array(n)], names=["key", "class", "n"])
+                held.append(np.array([word_keys(words.vocab).view(np.int64), class_of(words.vocab, settings.classes), np.bincount(words.ids, minlength=len(words.vocab))]))
+            if sum(x.shape[1] for x in held) > flush:
+                yield out()
+        if held:
+            yield out()
 
-    rows = docs.select(text_col).mapInArrow(counted, "key long, class short, n long").groupBy("key").agg(F.min("class").alias("class"), F.sum("n").alias("n"))
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_bucket: dict[int, list[tuple[int, bytes]]] = {}
+        for b in batches:
+            for bucket, _, n, blob in zip(*(c.to_pylist() for c in b.columns)):
+                by_bucket.setdefault(bucket, []).append((n, blob))
+        for bucket in sorted(by_bucket):
+            held = []
+            for n, blob in by_bucket.pop(bucket):
+                held.append(_unpack(blob, n, 3))
+                held[-1][0] = np.cumsum(held[-1][0])
+            key, of, n = summed(held)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(of.astype(np.int16)), pa.array(n)], names=["key", "class", "n"])
+
+    rows = docs.select(text_col).mapInArrow(counted, DEALT).repartition(parts, "bucket").mapInArrow(merged, "key long, class short, n long")
     rows = written(rows, "lm-words")
     bound = _bound(rows.groupBy(_scale("n").alias("b")).agg(F.count("*").alias("w"), F.min("n").alias("least")), settings.words)
     top = rows.filter(F.col("n") >= bound).select("key", "class").toArrow()
@@ -359,8 +398,19 @@ def count_cells(docs: DataFrame, contexts: Contexts, text_col: str, rest: DataFr
 
 
 def _uniform(x: np.ndarray, step: int, sweep: int) -> np.ndarray:
-    h = mix64(x + np.uint64((step * 0x9E3779B97F4A7C15 + sweep * 0xD1B54A32D192ED03 + 1) & 0xFFFFFFFFFFFFFFFF))
-    return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
+    h = x + np.uint64((step * 0x9E3779B97F4A7C15 + sweep * 0xD1B54A32D192ED03 + 1) & 0xFFFFFFFFFFFFFFFF)
+    # `mix64` in place
+    shifted = h >> np.uint64(30)
+    for factor, shift in ((0xBF58476D1CE4E5B9, 27), (0x94D049BB133111EB, 31)):
+        h ^= shifted
+        h *= np.uint64(factor)
+        np.right_shift(h, np.uint64(shift), out=shifted)
+    h ^= shifted
+    h >>= np.uint64(11)
+    u = h.astype(np.float64)
+    u += 0.5
+    u *= 2.0**-53
+    return u
 
 
 def seat(count: np.ndarray, fresh: np.ndarray, discount: float, mark: np.ndarray, sweep: int, exact_steps: int) -> np.ndarray:
@@ -370,22 +420,26 @@ def seat(count: np.ndarray, fresh: np.ndarray, discount: float, mark: np.ndarray
     """
     tables = np.ones(len(count))
     live = np.flatnonzero(count > 1)
+    # By falling count: the cells that have customers left are a prefix.
+    live = live[np.argsort(-count[live])]
+    rising, pull, mark, t = count[live][::-1], fresh[live], mark[live], np.ones(len(live))
     seated, step = 1, 0
-    while len(live):
+    while n := len(live) - int(np.searchsorted(rising, seated, side="right")):
         step += 1
         size = 1 if seated < exact_steps else max(1, seated // 8)
-        left = np.minimum(count[live] - seated, size)
-        t, pull = tables[live], fresh[live]
-        p = pull / (pull + np.maximum(seated + (left - 1) / 2 - discount * t, 1e-12))
-        u = _uniform(mark[live], step, sweep)
+        u = _uniform(mark[:n], step, sweep)
         if size == 1:
-            new = u < p
+            others = seated - discount * t[:n]
+            np.maximum(others, 1e-12, out=others)
+            others += pull[:n]
+            t[:n] += u < pull[:n] / others
         else:
-            z = np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * _uniform(mark[live], step, sweep + 1_000_003))
-            new = np.clip(np.rint(left * p + z * np.sqrt(left * p * (1 - p))), 0, left)
-        tables[live] = t + new
+            left = np.minimum(rising[::-1][:n] - seated, size)
+            p = pull[:n] / (pull[:n] + np.maximum(seated + (left - 1) / 2 - discount * t[:n], 1e-12))
+            z = np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * _uniform(mark[:n], step, sweep + 1_000_003))
+            t[:n] += np.clip(np.rint(left * p + z * np.sqrt(left * p * (1 - p))), 0, left)
         seated += size
-        live = live[count[live] > seated]
+    tables[live] = t
     return tables
 
 
@@ -455,6 +509,20 @@ def _discount(ones: float, twos: float) -> float:
     return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones + twos > 0 else 0.5
 
 
+def _joined(batches: Iterator[pa.RecordBatch], cells: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """Batches of words put together until they have ``cells`` cells: a sweep has some hundred steps for each batch, however small."""
+    held, size = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            size += sum(len(b.column(i).flatten()) for i in (2, 4))
+        if size > cells:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def gather_totals(cells: DataFrame, settings: Settings, contexts: Contexts, ranges: int = 32) -> Totals:
     """Run the sweeps; each gathers 2 x (contexts + classes) + 8 numbers, compressed, summed by ranges of them."""
     spark = cells.sparkSession
@@ -481,16 +549,14 @@ def gather_totals(cells: DataFrame, settings: Settings, contexts: Contexts, rang
 
         def summed(batches: Iterator[pa.RecordBatch], sent=sent, sweep: int = sweep) -> Iterator[pa.RecordBatch]:
             out, contexts = np.zeros(size), held.value
-            for b in batches:
-                if not b.num_rows:
-                    continue
+            for b in _joined(batches):
                 s = Seating(b, sent.value, settings, contexts)
                 for _, tables, class_tables in s.sweeps(sweep):
                     pass
                 h, customers, root = s.held, s.customers(tables), segment_sums(class_tables, s.class_offsets)
-                np.add.at(out, s.context[:h], tables[:h])
+                out[:m] += np.bincount(s.context[:h], tables[:h], m)
                 if sweep == 0:
-                    np.add.at(out, m + s.context[:h], s.count[:h])
+                    out[m : 2 * m] += np.bincount(s.context[:h], s.count[:h], m)
                 out[2 * m : 2 * m + k] += np.bincount(s.class_of, customers, k)
                 out[2 * m + k : 2 * m + 2 * k] += np.bincount(s.class_of, class_tables, k)
                 out[2 * m + 2 * k :] += [len(s.key), s.n.sum(), *((x == i).sum() for x in (s.count[:h], customers, root) for i in (1, 2))]
@@ -526,8 +592,15 @@ class Predictive:
         self.back[:, :m] = 1.0
         self.class_back = np.array([(c + t.class_discount * t.class_tables[k]) / (c + t.class_customers[k]) for k in self.kept])
         self.new = np.array([(settings.root_strength + t.root_discounts[k] * t.words) / (settings.root_strength + t.class_tables[k].sum()) for k in self.kept])
-        #: Probability of a new word, by context.
-        self.unknown = (self.back * self.class_back[:, contexts.parent] * self.new[:, None]).mean(0)
+
+    @property
+    def unknown(self) -> np.ndarray:
+        """Probability of a new word, by context."""
+        return self.new_word(np.arange(len(self.contexts)))
+
+    def new_word(self, context: np.ndarray) -> np.ndarray:
+        """Probability of a new word in each of some contexts."""
+        return (self.back[:, context] * self.class_back[:, self.contexts.parent[context]] * self.new[:, None]).mean(0)
 
     def __reduce__(self):
         return Predictive, (self.totals, self.settings, self.contexts)
@@ -581,12 +654,12 @@ class Lookup:
         self.keys, self.n = rows["key"].to_numpy().view(np.uint64), rows["n"].to_numpy()
         flat = lambda c: rows[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)
         sizes = lambda c: np.diff(rows[c].combine_chunks().offsets.to_numpy())
-        word, largest = np.arange(len(self.keys)), max(len(self.keys), 1) * max(self.classes, self.contexts)
-        code = np.int32 if largest < 1 << 31 else np.int64
+        word = np.arange(len(self.keys))
+        narrow = lambda width: np.int32 if len(self.keys) * width < 1 << 31 else np.int64
         self.root = flat("root").reshape(-1, samples)
-        self.class_codes = (np.repeat(word, sizes("classes")) * self.classes + flat("classes")).astype(code)
+        self.class_codes = (np.repeat(word, sizes("classes")) * self.classes + flat("classes")).astype(narrow(self.classes))
         self.in_class = flat("in_class").reshape(-1, samples)
-        self.codes = (np.repeat(word, sizes("contexts")) * self.contexts + flat("contexts")).astype(code)
+        self.codes = (np.repeat(word, sizes("contexts")) * self.contexts + flat("contexts")).astype(narrow(self.contexts))
         self.p = flat("p")
 
     def __getstate__(self) -> dict:
@@ -621,9 +694,43 @@ class Lookup:
         return out
 
 
+class Sums:
+    """Sums by document of what a task's tokens add: one entry for each document, however many pieces its tokens come in."""
+
+    def __init__(self):
+        self.ids, self.values, self.size = [], [], 0
+
+    def add(self, row: np.ndarray, *values: np.ndarray) -> None:
+        ids, at = np.unique(row, return_inverse=True)
+        self.put(ids, np.array([np.bincount(at, x, len(ids)) for x in values]))
+
+    def put(self, ids: np.ndarray, values: np.ndarray) -> None:
+        """Distinct documents and, by row, what is added to theirs."""
+        self.ids.append(ids)
+        self.values.append(values)
+        self.size += len(ids)
+        # Merged when the pieces have doubled what the first one has.
+        if self.size > max(2 * len(self.ids[0]), 300_000):
+            self._merge()
+
+    def _merge(self) -> None:
+        ids, at = np.unique(np.concatenate(self.ids), return_inverse=True)
+        values = np.concatenate(self.values, axis=1)
+        self.ids, self.values, self.size = [ids], [np.array([np.bincount(at, x, len(ids)) for x in values])], len(ids)
+
+    def taken(self, rows: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """All sums, at most ``rows`` at a time; none are left."""
+        if self.size:
+            self._merge()
+            ids, values = self.ids[0], self.values[0]
+            self.__init__()
+            for a in range(0, len(ids), rows):
+                yield ids[a : a + rows], *values[:, a : a + rows]
+
+
 #: Kinds of what is dealt out for scoring: words' rows; cells of frequent words; tokens that are rare words, that are frequent
-#: ones; tokens after words beyond the contexts, rare and frequent.
-ROWS, CELLS, RARE, FREQUENT, RARE_AFTER_REST, FREQUENT_AFTER_REST = range(6)
+#: ones; tokens after words beyond the contexts, rare and frequent; sums by document.
+ROWS, CELLS, RARE, FREQUENT, RARE_AFTER_REST, FREQUENT_AFTER_REST, SUMS = range(7)
 
 
 def looked_up(b: pa.RecordBatch, predictive: Predictive, least: int = 0) -> pa.RecordBatch:
@@ -734,7 +841,7 @@ def score_texts(docs: DataFrame, training: DataFrame, settings: Settings | None
             rare, frequent = b.filter(pa.array(n < bound)), b.filter(pa.array(n >= bound))
             if rare.num_rows:
                 held.append(rare)
-                if sum(x.nbytes for x in held) > 64 << 20:
+                if sum(x.nbytes for x in held) > 24 << 20:
                     yield rows()
             if frequent.num_rows:
                 s, _, _, _, tables = predictive.words(frequent)
@@ -752,7 +859,7 @@ def score_texts(docs: DataFrame, training: DataFrame, settings: Settings | None
     names = ["row_id", id_col, *carried, "n_tokens", "k", "b", "s"]
     of_row = ", ".join(["row_id long", *(f"`{c}` {types[c]}" for c in (id_col, *carried)), "n_tokens long, k long, b double, s double"])
 
-    def scored(batches: Iterator[pa.RecordBatch], block: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    def scored(batches: Iterator[pa.RecordBatch], block: int = 500_000) -> Iterator[pa.RecordBatch]:
         """Documents' rows with what is known here, and the other tokens, dealt out; bucket and row of a document need not agree."""
         known, predictive = sent.value[0].with_weights(sent.value[1]), sent.value[1]
         contexts = predictive.contexts
@@ -805,10 +912,13 @@ def score_texts(docs: DataFrame, training: DataFrame, settings: Settings | None
 
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col), *carry, F.col(text_col)).mapInArrow(scored, f"{DEALT}, {of_row}")
 
-    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Tokens that were dealt out meet their word's row or their cell; sums by document, and tokens after words beyond the contexts."""
+    found_names = [*names, "key", "follower", "q", "bucket", "kind", "n", "blob"]
+
+    def met(batches: Iterator[pa.RecordBatch], piece: int = 250_000) -> Iterator[pa.RecordBatch]:
+        """Tokens that were dealt out meet their word's row or their cell; blocks of sums by document, and tokens after words beyond the contexts."""
         known, predictive = sent.value[0].with_weights(sent.value[1]), sent.value[1]
         dealt: dict[int, list[tuple[int, bytes]]] = {}
+        types = [pa.int64(), pa.int64(), pa.list_(pa.float32()), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
         fields: list[pa.DataType] = []
         for b in batches:
             fields = [c.type for c in b.columns[4:]]
@@ -817,31 +927,36 @@ def score_texts(docs: DataFrame, training: DataFrame, settings: Settings | None
                 dealt.setdefault(kind, []).append((n, blob))
             b = b.filter(documents)
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([*b.columns[4:], *(pa.nulls(b.num_rows, t) for t in (pa.int64(), pa.int64(), pa.list_(pa.float32())))], names=[*names, "key", "follower", "q"])
+                yield pa.RecordBatch.from_arrays([*b.columns[4:], *(pa.nulls(b.num_rows, t) for t in types[-7:])], names=found_names)
 
         def columns(kind: int, width: int) -> Iterator[np.ndarray]:
-            """The tokens of a kind, about a million at a time."""
+            """The tokens of a kind, about `piece` at a time."""
             held, size = [], 0
             for n, blob in dealt.pop(kind, []):
                 x = _unpack(blob, n, width)
                 x[0] = np.cumsum(x[0])
                 held.append(x)
                 size += n
-                if size > 1_000_000:
+                if size > piece:
                     yield np.concatenate(held, axis=1)
                     held, size = [], 0
             if held:
                 yield np.concatenate(held, axis=1)
 
-        def sums(row: np.ndarray, hit: np.ndarray, base: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
-            ids, at = np.unique(row, return_inverse=True)
-            return out(ids, np.bincount(at, hit, len(ids)).astype(np.int64), np.bincount(at, base, len(ids)), np.bincount(at, score, len(ids)))
+        summed = Sums()
 
-        def out(ids, hit=None, base=None, score=None, key=None, follower=None, q=None) -> pa.RecordBatch:
-            types = [pa.int64(), *fields[1:-4], pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.float32())]
+        def sums(last: bool = False) -> Iterator[pa.RecordBatch]:
+            if summed.size > 4 * piece or last:
+                for ids, *values in summed.taken(4 * piece):
+                    bucket = (mix64(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+                    dealt = _dealt(*map(list, zip(*_by_bucket(bucket, SUMS, ids, *(x.view(np.int64) for x in values), steps=1))))
+                    rows = out(np.zeros(dealt.num_rows, np.int64)).columns[: -len(DEALT.split(", "))]
+                    yield pa.RecordBatch.from_arrays([*rows, *dealt.columns], names=found_names)
+
+        def out(ids, key=None, follower=None, q=None) -> pa.RecordBatch:
             lists = None if q is None else pa.ListArray.from_arrays(pa.array((np.arange(len(ids) + 1) * samples).astype(np.int32)), pa.array(q.T.ravel().astype(np.float32)))
-            values = [ids, *(None for _ in fields[1:-3]), hit, base, score, key, follower, lists]
-            return pa.RecordBatch.from_arrays([pa.nulls(len(ids), t) if x is None else pa.array(x, t) if isinstance(x, np.ndarray) else x for x, t in zip(values, types)], names=[*names, "key", "follower", "q"])
+            values = [ids, *(None for _ in fields[1:]), key, follower, lists, *(None for _ in range(4))]
+            return pa.RecordBatch.from_arrays([pa.nulls(len(ids), t) if x is None else pa.array(x, t) if isinstance(x, np.ndarray) else x for x, t in zip(values, [*fields, *types[-7:]])], names=found_names)
 
         tables = [looked_up(b, predictive) for _, blob in dealt.pop(ROWS, []) for b in pa.ipc.open_stream(blob) if b.num_rows]
         mine = Lookup(pa.Table.from_batches(tables), predictive) if tables else None
@@ -862,13 +977,15 @@ def score_texts(docs: DataFrame, training: DataFrame, settings: Settings | None
 
         for key, context, row in columns(RARE, 3):
             place, hit = _find(mine.keys, key.view(np.uint64)) if mine else (np.zeros(len(key), np.int64), np.zeros(len(key), bool))
-            p = predictive.unknown[context]
+            p = predictive.new_word(context)
             if hit.any():
                 p[hit] = mine.probabilities(place[hit], context[hit])
-            yield sums(row, hit, bases(place, hit), np.log10(p))
+            summed.add(row, hit, bases(place, hit), np.log10(p))
+            yield from sums()
         for key, context, row, before in columns(RARE_AFTER_REST, 4):
             place, hit, q = parents(key.view(np.uint64), context)
-            yield sums(row, hit, bases(place, hit), np.zeros(len(row)))
+            summed.add(row, hit, bases(place, hit), np.zeros(len(row)))
+            yield from sums()
             yield out(row, key=before, follower=key, q=q)
         cells = [x for x in columns(CELLS, 2 + samples)]
         cells = np.concatenate(cells, axis=1) if cells else np.zeros((2 + samples, 0), np.int64)
@@ -879,14 +996,26 @@ def score_texts(docs: DataFrame, training: DataFrame, settings: Settings | None
             at, there = _find(cells[0], code)
             at = at[there]
             p[there] += np.mean([predictive.own(cells[1, at], cells[2 + k, at], context[there]) for k in range(samples)], axis=0)
-            yield sums(row, np.zeros(len(row)), np.zeros(len(row)), np.log10(p))
+            summed.add(row, np.zeros(len(row)), np.zeros(len(row)), np.log10(p))
+            yield from sums()
         for code, row, before in columns(FREQUENT_AFTER_REST, 3):
             place, context = code // m, code % m
             yield out(row, key=before, follower=known.keys[place].view(np.int64), q=known.parents(place, context))
+        yield from sums(last=True)
 
     words = cells.mapInArrow(model, DEALT).select(*(c.split()[0] for c in DEALT.split(", ")), *(F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields[4:]))
     dealt = rows.unionAll(words).repartition(parts, "bucket")
-    found = written(dealt.mapInArrow(met, f"{of_row}, key long, follower long, q array<float>"), "lm-sums")
+    found = written(dealt.mapInArrow(met, f"{of_row}, key long, follower long, q array<float>, {DEALT}"), "lm-sums")
+
+    def totalled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each document from the blocks of its sums."""
+        summed = Sums()
+        for b in batches:
+            for n, blob in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                x = _unpack(blob, n, 4)
+                summed.put(np.cumsum(x[0]), x[1:].view(np.float64))
+        for ids, hit, base, score in summed.taken(100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.rint(hit).astype(np.int64)), pa.array(base), pa.array(score)], names=["row_id", "k", "b", "s"])
 
     # Tokens after words beyond the contexts meet the restaurant of the word before them.
     others = found.filter("q is not null").select("row_id", "key", "follower", "q").join(rest_model(rest, cells, sent), "key", "left")
@@ -902,8 +1031,9 @@ def score_texts(docs: DataFrame, training: DataFrame, settings: Settings | None
 
     mean = lambda f: sum((f(k) for k in range(samples)), F.lit(0.0)) / samples
     p = F.when(F.col("n").isNull(), mean(lambda k: F.get("q", F.lit(k)))).otherwise(mean(through) / (strength + F.col("n")))
-    sums = found.filter("q is null").drop("key", "follower", "q")
+    sums = found.filter("q is null and blob is null").select(*(F.col(f"`{c}`") for c in names))
     empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in sums.schema.fields[1:-1]]
-    sums = sums.unionAll(others.select("row_id", *empty, F.log10(p).alias("s"))).groupBy("row_id")
+    of_documents = found.filter("blob is not null").select("bucket", "kind", "n", "blob").repartition(parts, "bucket").mapInArrow(totalled, "row_id long, k long, b double, s double")
+    sums = sums.unionAll(of_documents.select("row_id", *empty[:-2], "k", "b", "s")).unionAll(others.select("row_id", *empty, F.log10(p).alias("s"))).groupBy("row_id")
     out = sums.agg(*(F.first(F.col(f"`{c}`"), ignorenulls=True).alias(c) for c in (id_col, *carried)), *(F.sum(c).alias(c) for c in ("n_tokens", "k", "b", "s")))
     return out.select(id_col, *carried, "n_tokens", F.col("k").alias("n_known"), F.lit(totals.tokens).cast("long").alias("train_tokens"), F.col("b").alias("base_score"), F.col("s").alias("score"))

@@ -113,3 +113,35 @@ def word_hashes(vocab: pa.Array, seed: int = 0) -> np.ndarray:
     digest = xxhash.xxh64_digest
     joined = b"".join([digest(data[a:b], seed) for a, b in zip(ends, ends[1:])])
     return np.frombuffer(joined, dtype=">u8").astype(np.uint64)
+
+
+def word_keys(vocab: pa.Array) -> np.ndarray:
+    """`word_hashes` with seed 0, words of under 32 bytes lane by lane for all words together."""
+    raw, bounds = word_bytes(vocab)
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turned = lambda x, by: (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+    size = np.diff(bounds)
+    order = np.argsort(-np.minimum(size, 32).astype(np.int8), kind="stable")  # by falling size: words with bytes left are a prefix
+    long = int(np.count_nonzero(size >= 32))
+    order, far = order[long:], order[:long]
+    at, left = bounds[:-1][order], size[order]
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
+    h = p5 + left.astype(np.uint64)
+    for lane in range(3):
+        n = int(np.count_nonzero(left >= 8 * (lane + 1)))
+        h[:n] = turned(h[:n] ^ (turned(eight[at[:n] + 8 * lane] * p2, 31) * p1), 27) * p1 + p4
+    at, left = at + left // 8 * 8, left % 8
+    four = np.flatnonzero(left >= 4)
+    h[four] = turned(h[four] ^ ((eight[at[four]] & np.uint64(0xFFFFFFFF)) * p1), 23) * p2 + p3
+    at, left = at + left // 4 * 4, left % 4
+    for byte in range(3):
+        one = np.flatnonzero(left > byte)
+        h[one] = turned(h[one] ^ (padded[at[one] + byte].astype(np.uint64) * p5), 11) * p1
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    out = np.empty(len(size), np.uint64)
+    out[order] = h ^ (h >> np.uint64(32))
+    if long:
+        out[far] = word_hashes(vocab.take(pa.array(far)))
+    return out

@@ -18,7 +18,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestar.llm import bitslice, decontam, html_text, language, packing, pitman_yor, quality, queries, sharding, simhash, token_counts, toxicity
+from lodestar.llm import bitslice, decontam, html_text, language, packing, pitman_yor, quality, queries, sharding, simhash, textbatch, token_counts, toxicity
 from lodestar.llm.components import connected_components
 
 SPACE = r"[^\x20\x09-\x0D]+"
@@ -1012,6 +1012,54 @@ def test_seating_grows_as_it_should():
     assert ones.tolist() == [1] * 5
 
 
+def test_sums_of_documents_are_no_rows_of_their_own(spark, monkeypatch):
+    """Tokens of a document that meet their words in many tasks: its sums go on in blocks, a few for each task."""
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(900)}" for _ in range(40))) for i in range(400)], "doc_id long, text string")
+    tables = {}
+    write = pitman_yor.written
+    monkeypatch.setattr(pitman_yor, "written", lambda df, label: tables.setdefault(label, write(df, label)))
+    out = pitman_yor.score_texts(docs, docs.filter("doc_id < 300"), pitman_yor.Settings(classes=8, words=1000, frequent=200)).collect()
+    assert sorted(r.doc_id for r in out) == list(range(400)) and {r.n_tokens for r in out} == {41}
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert 400 < tables["lm-sums"].filter("q is null").count() <= 400 + parts * parts
+
+
+@pytest.mark.parametrize("pieces", [1, 7, 40])
+def test_sums_by_document_in_pieces(pieces):
+    rng = np.random.default_rng(pieces)
+    row, hit, score = rng.integers(0, 300, 5000), rng.integers(0, 2, 5000), rng.random(5000)
+    sums, got = pitman_yor.Sums(), {}
+    for at in np.array_split(np.arange(5000), pieces):
+        sums.add(row[at], hit[at], score[at])
+    for ids, hits, scores in sums.taken(64):
+        assert 0 < len(ids) <= 64 and not got.keys() & set(ids.tolist())
+        got |= {int(i): (h, s) for i, h, s in zip(ids, hits, scores)}
+    assert list(sums.taken(64)) == []
+    for i in range(300):
+        assert got[i] == pytest.approx((hit[row == i].sum(), score[row == i].sum()))
+
+
+def test_codes_of_class_cells_are_narrow():
+    """Every executor's workers hold them: 4 bytes each, though those of (word, context) need 8."""
+    m, words = 1 << 20, 4000
+    contexts = pitman_yor.Contexts(2, np.arange(m - 2, dtype=np.uint64), np.zeros(m, np.int64))
+    predictive = pitman_yor.Predictive.__new__(pitman_yor.Predictive)
+    predictive.contexts, predictive.kept, predictive.back, predictive.class_back = contexts, [1], np.ones((1, m)), np.ones((1, 2))
+    columns = {"key": list(range(words)), "n": [1] * words, "root": [[0.5]] * words, "classes": [[1]] * words, "in_class": [[0.25]] * words, "contexts": [[m - 1]] * words, "p": [[0.125]] * words}
+    known = pitman_yor.Lookup(pa.table(columns), predictive)
+    assert known.class_codes.dtype == np.int32 and known.codes.dtype == np.int64
+    assert known.probabilities(np.array([words - 1, words - 1]), np.array([m - 1, 5])).tolist() == [0.125, 0.5]
+
+
+def test_keys_of_words_are_their_xxh64():
+    rng = random.Random(2)
+    words = ["", "a", *("x" * n for n in range(1, 70)), *("".join(rng.choice("aé中😀") for _ in range(rng.randrange(1, 40))) for _ in range(500))]
+    for vocab in (words, words[2:40], []):
+        got = textbatch.word_keys(pa.array(vocab, pa.string()))
+        assert got.tolist() == [xxhash.xxh64_intdigest(w.encode(), 0) for w in vocab]
+
+
 # Sharding
 
 
