@@ -32,13 +32,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import partitions_for, written
@@ -798,12 +799,25 @@ def rest_model(rest: DataFrame, cells: DataFrame, sent: Broadcast) -> DataFrame:
     return rest.select("key", "n", "followers", "counts").join(tables, "key", "left")
 
 
+@contextmanager
+def _small_batches(spark: SparkSession, rows: int = 4000) -> Iterator[None]:
+    """Within it, what is written has at most ``rows`` rows of an Arrow batch: a task holds a batch here and in its worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(name))
+    spark.conf.set(name, str(rows if before <= 0 else min(rows, before)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, str(before))
+
+
 def score_texts(docs: DataFrame, training: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
     """(id, carried columns, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``."""
     spark, settings = docs.sparkSession, settings or Settings()
-    contexts = choose_contexts(training, settings, text_col)
-    rest = rest_of(training, contexts, text_col)
-    cells = count_cells(training, contexts, text_col, rest)
+    with _small_batches(spark):
+        contexts = choose_contexts(training, settings, text_col)
+        rest = rest_of(training, contexts, text_col)
+        cells = count_cells(training, contexts, text_col, rest)
     totals = gather_totals(cells, settings, contexts)
     predictive = Predictive(totals, settings, contexts)
     samples, m = len(predictive.kept), len(contexts)
@@ -892,6 +906,7 @@ def score_texts(docs: DataFrame, training: DataFrame, settings: Settings | None
             p[begin] = known.probabilities(place[word[begin]], before[begin])
             there[begin] = True
             here, two = there[at], np.where(there, np.log10(p), 0.0)[at]
+            del cell, at, word, before, listed, there, p
             place, hit = place[ids], hit[ids]
             after_rest = (context > 0) & (context < contexts.classes)
             one = np.zeros(len(ids))
@@ -899,13 +914,15 @@ def score_texts(docs: DataFrame, training: DataFrame, settings: Settings | None
             for kind, which in ((RARE, ~hit & ~after_rest), (RARE_AFTER_REST, ~hit & after_rest), (FREQUENT, hit & ~here & ~after_rest), (FREQUENT_AFTER_REST, hit & after_rest)):
                 which = np.flatnonzero(which)
                 first = [place[which] * m + context[which]] if kind in (FREQUENT, FREQUENT_AFTER_REST) else [keys[ids[which]].view(np.int64), context[which]]
-                before = [keys[ids[which - 1]].view(np.int64)] if kind in (RARE_AFTER_REST, FREQUENT_AFTER_REST) else []
-                held.setdefault(kind, []).append([*first, row[which], *before])
+                previous = [keys[ids[which - 1]].view(np.int64)] if kind in (RARE_AFTER_REST, FREQUENT_AFTER_REST) else []
+                held.setdefault(kind, []).append([*first, row[which], *previous])
+            del place, here, after_rest, row, first, previous, which
             own = [part.column(i) for i in range(k)]
             sums = [pa.array(np.diff(offsets)), pa.array(segment_sums(hit.astype(np.int64), offsets)), pa.array(segment_sums(one, offsets)), pa.array(segment_sums(two, offsets))]
             fields = [c.type for c in (*own, *sums)]
             bucket = pa.array((np.arange(part.num_rows) % buckets).astype(np.int32))
             yield pa.RecordBatch.from_arrays([bucket, *(pa.nulls(part.num_rows, t) for t in (pa.int32(), pa.int32(), pa.binary())), *own, *sums], names=["bucket", "kind", "n", "blob", *names])
+            del keys, ids, context, hit, one, two
             if sum(len(x[0]) for kind in held.values() for x in kind) > block:
                 yield from out()
         yield from out()
@@ -1005,7 +1022,8 @@ def score_texts(docs: DataFrame, training: DataFrame, settings: Settings | None
 
     words = cells.mapInArrow(model, DEALT).select(*(c.split()[0] for c in DEALT.split(", ")), *(F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields[4:]))
     dealt = rows.unionAll(words).repartition(parts, "bucket")
-    found = written(dealt.mapInArrow(met, f"{of_row}, key long, follower long, q array<float>, {DEALT}"), "lm-sums")
+    with _small_batches(spark):
+        found = written(dealt.mapInArrow(met, f"{of_row}, key long, follower long, q array<float>, {DEALT}"), "lm-sums")
 
     def totalled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row for each document from the blocks of its sums."""

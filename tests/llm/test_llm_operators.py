@@ -1052,6 +1052,16 @@ def test_codes_of_class_cells_are_narrow():
     assert known.probabilities(np.array([words - 1, words - 1]), np.array([m - 1, 5])).tolist() == [0.125, 0.5]
 
 
+def test_texts_come_in_small_batches_while_tables_are_written(spark, monkeypatch):
+    """A batch of texts lies in the executor and in its worker; the session's setting holds again afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen, write = spark.conf.get(name), {}, pitman_yor.written
+    monkeypatch.setattr(pitman_yor, "written", lambda df, label: (seen.update({label: int(spark.conf.get(name))}), write(df, label))[1])
+    docs = spark.createDataFrame([(1, "a b"), (2, "b a")], "doc_id long, text string")
+    assert pitman_yor.score_texts(docs, docs).count() == 2
+    assert {"lm-words", "lm-rest", "lm-cells", "lm-sums"} <= seen.keys() and max(seen.values()) <= 4000 and spark.conf.get(name) == before
+
+
 def test_keys_of_words_are_their_xxh64():
     rng = random.Random(2)
     words = ["", "a", *("x" * n for n in range(1, 70)), *("".join(rng.choice("aé中😀") for _ in range(rng.randrange(1, 40))) for _ in range(500))]
