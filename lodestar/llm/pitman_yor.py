@@ -352,9 +352,7 @@ def count_cells(docs: DataFrame, contexts: Contexts, text_col: str, rest: DataFr
             yield out()
 
     def from_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in _joined(batches, lists=(2,)):
             size = np.diff(b.column(2).offsets.to_numpy())
             of = np.repeat(np.arange(b.num_rows), size)
             key, at = (b.column(i).to_numpy(zero_copy_only=False)[of] for i in (0, 1))
@@ -510,13 +508,13 @@ def _discount(ones: float, twos: float) -> float:
     return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones + twos > 0 else 0.5
 
 
-def _joined(batches: Iterator[pa.RecordBatch], cells: int = 200_000) -> Iterator[pa.RecordBatch]:
-    """Batches of words put together until they have ``cells`` cells: a sweep has some hundred steps for each batch, however small."""
+def _joined(batches: Iterator[pa.RecordBatch], cells: int = 200_000, lists: tuple[int, ...] = (2, 4)) -> Iterator[pa.RecordBatch]:
+    """Batches of words put together until their ``lists`` have ``cells`` entries: each costs steps or blocks, however small."""
     held, size = [], 0
     for b in batches:
         if b.num_rows:
             held.append(b)
-            size += sum(len(b.column(i).flatten()) for i in (2, 4))
+            size += sum(len(b.column(i).flatten()) for i in lists)
         if size > cells:
             yield pa.concat_batches(held)
             held, size = [], 0
